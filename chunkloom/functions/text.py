@@ -78,7 +78,7 @@ def tag_array(tags: list[tuple[str, Column]]) -> Column:
 
 
 def sorted_set(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(values))
+    return F.sort_array(F.array_distinct(values))
 
 
 def joined(values: Column, separator: str = ", ") -> Column:

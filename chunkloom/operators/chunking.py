@@ -47,7 +47,7 @@ def semantic_bodies(content: Column, profile: Profile, options: Options = Option
 
     return let(
         F.struct(
-            F.array_sort(F.array_distinct(starts)).alias("starts"),
+            F.sort_array(F.array_distinct(starts)).alias("starts"),
             F.split(content, "\n", -1).alias("lines"),
         ),
         lambda cut: F.filter(spans(cut), lambda body: F.length(body) > options.min_chunk_chars),
@@ -299,9 +299,9 @@ def build_stats(files: DataFrame, chunks: DataFrame, anchored: Column) -> DataFr
 
 
 def one_row(*aggregates: DataFrame) -> DataFrame:
-    """Columns of several one-row aggregates side by side, joined on a constant key."""
-    keyed = [a.withColumn("_one", F.lit(1)) for a in aggregates]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+    """Columns of several one-row aggregates side by side: a union folded to one row, no join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aggregates)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def isolate_errors(files: DataFrame, check: Column | None = None) -> tuple[DataFrame, DataFrame]:
