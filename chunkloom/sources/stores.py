@@ -1,18 +1,18 @@
 """Chunk stores, tracking tables, index tables and reports on disk.
 
-Tables are Parquet folders. A rewrite goes to a new version folder first and becomes
-visible when the small pointer file next to it is replaced, so a reader (or a failed job)
-never sees half a store, and a job can read the version it is about to replace.
+The chunk store is Parquet, partitioned by project type and by a bucket of the path, so an
+incremental build rewrites only the buckets of the changed files (dynamic partition
+overwrite). The other tables are plain Parquet folders.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chunkloom.functions.text import joined
+from chunkloom.session import cut_lineage
 
+STORE_BUCKETS = 64
 TRACKING = (
     "path string, content_hash string, blob_sha string, commit_sha string, size bigint, "
     "modified_time double, processed_at double, tracking_method string"
@@ -23,44 +23,29 @@ INDEX_TABLES = [
 ]
 
 
-# -- versioned folders ---------------------------------------------------------------------
+# -- plain tables --------------------------------------------------------------------------
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def current_version(spark: SparkSession, table: str) -> str | None:
-    """Folder of the current version of a table, None when it was never written."""
-    if not _exists(spark, f"{table}/_current"):
-        return None
-    pointers = spark.read.schema("version string, written_at double").parquet(f"{table}/_current/pointer")
-    row = pointers.agg(F.max_by("version", "written_at").alias("version")).first()
-    return f"{table}/{row.version}" if row and row.version else None
+def table_exists(spark: SparkSession, path: str) -> bool:
+    file_system, target = _hadoop(spark, path)
+    return file_system.exists(target)
 
 
-def publish(df: DataFrame, table: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as the new current version of ``table``."""
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.partitionBy(*(partition_by or [])).parquet(f"{table}/{version}")
-    (
-        spark.range(1)
-        .select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).cast("double").alias("written_at"))
-        .coalesce(1).write.mode("append").parquet(f"{table}/_current/pointer")
-    )
-    return f"{table}/{version}"
+def overwrite(df: DataFrame, path: str) -> None:
+    """Replace a table that ``df`` may itself be reading: checkpointed first, then written."""
+    cut_lineage(df).write.mode("overwrite").parquet(path)
 
 
-def read_table(spark: SparkSession, table: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Current version; an absent table is an empty one when a schema is given."""
-    folder = current_version(spark, table)
-    if folder is None:
-        if schema is None:
-            raise FileNotFoundError(table)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A written table; an absent one is empty when a schema is given."""
+    if schema is not None and not table_exists(spark, path):
         return spark.createDataFrame([], schema)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 # -- readers -------------------------------------------------------------------------------
@@ -81,15 +66,41 @@ def load_tracking(spark: SparkSession, table: str) -> DataFrame:
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The index tables that exist; missing ones are simply absent."""
-    found = {name: current_version(spark, f"{folder}/{name}") for name in INDEX_TABLES}
-    return {name: spark.read.parquet(path) for name, path in found.items() if path}
+    return {
+        name: spark.read.parquet(f"{folder}/{name}")
+        for name in INDEX_TABLES if table_exists(spark, f"{folder}/{name}")
+    }
 
 
 # -- writers -------------------------------------------------------------------------------
 
-def write_chunks(chunks: DataFrame, store: str) -> str:
-    """Replace the whole store; one partition per project type."""
-    return publish(chunks, store, ["project_type"])
+def path_bucket(path: Column, buckets: int = STORE_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def write_chunks(chunks: DataFrame, store: str, buckets: int = STORE_BUCKETS) -> None:
+    """Replace all chunks of the project types present; other project types stay.
+
+    Rows are spread by path first, so a partition folder gets few files, and a bucket that
+    holds a large share of the rows is still written by several tasks (AQE splits it).
+    """
+    spark = chunks.sparkSession
+    rows = chunks.withColumn("bucket", path_bucket(F.col("path"), buckets))
+    for (project_type,) in chunks.select("project_type").distinct().collect():
+        # Project types are a handful of profile names.
+        file_system, target = _hadoop(spark, f"{store}/project_type={project_type}")
+        if file_system.exists(target):
+            rows = cut_lineage(rows)
+            file_system.delete(target, True)
+    _write_buckets(rows, store)
+
+
+def _write_buckets(rows: DataFrame, store: str) -> None:
+    (
+        rows.hint("rebalance", "project_type", "bucket")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("project_type", "bucket").parquet(store)
+    )
 
 
 def replace_sources(store: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
@@ -101,11 +112,25 @@ def replace_sources(store: DataFrame, changed: DataFrame, new: DataFrame) -> Dat
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def merge_chunks(spark: SparkSession, store: str, changed: DataFrame, new: DataFrame) -> str:
-    """Incremental write: the next version of the store with the changed files replaced."""
-    if current_version(spark, store) is None:
-        return write_chunks(new, store)
-    return write_chunks(replace_sources(load_chunks(spark, store), changed, new), store)
+def merge_chunks(
+    spark: SparkSession, store: str, changed: DataFrame, new: DataFrame, project_type: str,
+    buckets: int = STORE_BUCKETS,
+) -> None:
+    """Incremental write: only the buckets of the changed files are read and rewritten."""
+    if not table_exists(spark, store):
+        write_chunks(new, store, buckets)
+        return
+    bucket = path_bucket(F.col("path"), buckets)
+    # At most ``buckets`` integers reach the driver; as literals they prune the scan.
+    touched = [r.b for r in changed.select(bucket.alias("b")).distinct().collect()]
+    old = spark.read.parquet(store).filter((F.col("project_type") == project_type) & F.col("bucket").isin(touched))
+    rows = cut_lineage(replace_sources(old, changed, new.withColumn("bucket", bucket)))
+    filled = {r.bucket for r in rows.select("bucket").distinct().collect()}
+    _write_buckets(rows, store)
+    for empty in set(touched) - filled:
+        file_system, target = _hadoop(spark, f"{store}/project_type={project_type}/bucket={empty}")
+        if file_system.exists(target):
+            file_system.delete(target, True)
 
 
 def relationship_rows(edges: DataFrame) -> DataFrame:
@@ -139,7 +164,7 @@ def sanitize_metadata(df: DataFrame) -> DataFrame:
 
 def write_index(tables: dict[str, DataFrame], folder: str) -> None:
     for name, table in tables.items():
-        publish(table, f"{folder}/{name}")
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def index_json(tables: dict[str, DataFrame]) -> DataFrame:
