@@ -13,7 +13,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chunkloom.session import SMALL_ROWS, cut_lineage, is_small
+from chunkloom.session import SMALL_ROWS, is_small
 
 HITS = "query_id bigint, vec_id bigint, distance double"
 
@@ -147,56 +147,62 @@ def _meet_in_blocks(queries: DataFrame, store: DataFrame, k: int, block_rows: in
     left = dealt(queries, "query_id", "qb", query_blocks, "sb", store_blocks)
     right = dealt(store, "vec_id", "sb", store_blocks, "qb", query_blocks)
 
-    def meet(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+    return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInPandas(_meet(k), HITS)
+
+
+def _meet(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """One block of queries against one block of vectors."""
+    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype(
                 {"query_id": "int64", "vec_id": "int64", "distance": "float64"})
         row, vec, distance = _nearest(s["vec_id"].to_numpy(), _matrix(s["embedding"]), _matrix(q["embedding"]), k)
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "vec_id": vec, "distance": distance})
 
-    return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInPandas(meet, HITS)
+    return run
 
 
 # -- approximate search ----------------------------------------------------------------------
 
 def lsh_search(
-    queries: DataFrame, store: DataFrame, k: int, radius: float, bucket_length: float = 1.0, tables: int = 4,
-    seed: int = 7, salts: int = 8,
+    queries: DataFrame, store: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 4,
+    seed: int = 7, block_rows: int = 4096,
 ) -> DataFrame:
-    """Approximate search: candidates share a random-projection bucket and lie within
-    ``radius`` (Euclidean); the exact squared distance ranks them.
+    """Approximate search: candidates share a random-projection bucket with the query; the
+    exact squared distance ranks them.
 
-    The bucket join is written on the hash tables directly, store rows of a bucket spread
-    over ``salts``, because one bucket may hold a third of the store.
+    A bucket may hold a third of the store, so both sides of a bucket are dealt to blocks
+    sized by the bucket's counts, and blocks answer with k rows per query.
     """
     lsh = BucketedRandomProjectionLSH(
         inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    s = store.select("vec_id", F.col("embedding").alias("s"), array_to_vector("embedding").alias("_v"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), array_to_vector("embedding").alias("_v"))
-    model = lsh.fit(s.limit(1))    # only the dimension is learnt
-
-    def hashed(df: DataFrame, keep: list[str]) -> DataFrame:
-        buckets = F.transform(F.col("_h"), lambda h: vector_to_array_item(h))
-        return model.transform(df).select(*keep, F.posexplode(buckets).alias("table", "bucket"))
-
-    def vector_to_array_item(h: Column) -> Column:
-        return h
-
-    # The hash outputs are one-element vectors; text form is a cheap equality key.
-    def keyed(df: DataFrame, keep: list[str]) -> DataFrame:
-        return hashed(df, keep).withColumn("bucket", F.col("bucket").cast("string"))
-
-    left = keyed(q, ["query_id", "q"]).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
-    right = keyed(s, ["vec_id", "s"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
-    squared = F.aggregate(
-        F.zip_with("q", "s", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
-        F.lit(0.0), lambda acc, x: acc + x,
-    )
+    vectors = store.select("vec_id", "embedding", array_to_vector("embedding").alias("_v"))
+    model = lsh.fit(vectors.limit(1))    # only the dimension is learnt
+
+    def bucketed(df: DataFrame, id_: str) -> DataFrame:
+        return (
+            model.transform(df).select(id_, "embedding", F.posexplode("_h").alias("table", "hash"))
+            .select(id_, "embedding", F.concat_ws(":", "table", vector_to_array("hash")[0].cast("bigint")).alias("bucket"))
+        )
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.count(F.lit(1)) / block_rows)
+        return df.groupBy("bucket").agg(n.cast("bigint").alias(name))
+
+    def dealt(df: DataFrame, id_: str, sizes: DataFrame, mine: str, other: str) -> DataFrame:
+        return df.join(sizes, "bucket").select(
+            id_, "embedding", "bucket", F.pmod(F.xxhash64(id_), F.col(f"n_{mine}")).alias(mine),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{other}") - 1)).alias(other),
+        )
+
+    q = bucketed(queries.select("query_id", "embedding", array_to_vector("embedding").alias("_v")), "query_id")
+    s = bucketed(vectors, "vec_id")
+    sizes = blocks(q, "n_qb").join(blocks(s, "n_sb"), "bucket")
+    group = ["bucket", "qb", "sb"]
     near = (
-        left.join(right, ["table", "bucket", "salt"])
-        .select("query_id", "vec_id", squared.alias("distance"))
-        .filter(F.col("distance") <= radius * radius).distinct()
+        dealt(q, "query_id", sizes, "qb", "sb").groupBy(*group)
+        .cogroup(dealt(s, "vec_id", sizes, "sb", "qb").groupBy(*group))
+        .applyInPandas(_meet(k), HITS).distinct()
     )
     return _keep_best(near, k)
 
