@@ -6,11 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from chunkloom.functions.text import let, none_if_blank
+from chunkloom.functions.text import contains_any, let, none_if_blank
 
 _BLOCK = 256
 
 
+def rlike_with(text: Column, words: list[str], pattern: str) -> Column:
+    """``text.rlike(pattern)`` for a pattern whose matches contain one of ``words``.
+
+    Plain search is far cheaper than a regular expression. Without regard to case the
+    search runs on lower case; the long s, which lower-casing keeps, is always let through.
+    """
+    if pattern.startswith("(?i"):
+        found = let(F.lower(text), lambda low: contains_any(low, words)) | text.contains("\u017f")
+    else:
+        found = contains_any(text, words)
+    return found & text.rlike(pattern)
+
+
 def capture(text: Column, pattern: str, group: int = 1) -> Column:
     """First capture, null without a match."""
     return none_if_blank(F.regexp_extract(text, pattern, group))

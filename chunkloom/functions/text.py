@@ -26,7 +26,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Both ends without white space. Trimming a set of characters walks the whole text, so
+    it is skipped when neither end needs it."""
+    def trimmed(t: Column) -> Column:
+        ends = F.instr(F.lit(WHITESPACE), F.left(t, F.lit(1))) + F.instr(F.lit(WHITESPACE), F.right(t, F.lit(1)))
+        return F.when(ends > 0, F.btrim(t, F.lit(WHITESPACE))).otherwise(t)
+
+    return let(text, trimmed)
 
 
 def none_if_blank(text: Column) -> Column:
@@ -42,6 +48,14 @@ def lines_of(text: Column) -> Column:
     return F.split(text, LINE_BREAK, -1)
 
 
+def first_line(text: Column) -> Column:
+    """First line of the stripped text, without splitting the rest."""
+    line = f"[^{WHITESPACE}]{LINE_BREAK.split('|')[1].replace('[', '[^')}*"
+    end = F.right(text, F.lit(1))
+    kept = F.when(F.instr(F.lit(WHITESPACE), end) > 0, F.rtrim(text, F.lit(WHITESPACE))).otherwise(text)
+    return F.regexp_extract(kept, line, 0)
+
+
 def words_of(text: Column) -> Column:
     """White-space separated words, no empty ones."""
     return F.filter(F.split(text, WORD_GAP, -1), lambda w: w != "")

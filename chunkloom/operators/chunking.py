@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.functions import paths
-from chunkloom.functions.regex import all_captures, capture, match_lines
-from chunkloom.functions.text import head, let, lines_of, preview, strip
+from chunkloom.functions.regex import all_captures, capture, match_lines, rlike_with
+from chunkloom.functions.text import first_line, head, let, preview, strip
 from chunkloom.options import Options
 from chunkloom.profiles import (
     CLASS_SYMBOLS, COMMENT_STARTS, FUNCTION_SYMBOLS, NAME_PATTERNS, SCORE_LENGTHS, SCORE_PATTERNS, Profile,
@@ -144,18 +144,23 @@ def cut_files(
     ``files`` are kept.
     """
     keep = [c for c in files.columns if c != "content"]
-    cut = files.withColumn("_bodies", semantic_bodies(F.col("content"), profile, options))
-    cut = cut.withColumn("_semantic", F.size("_bodies") > 0)
-    if splitter is None:
-        cut = cut.filter("_semantic").withColumn("_all", F.col("_bodies"))
-    else:
-        rest = F.when(~F.col("_semantic") & (F.col("content") != ""), F.col("content"))
-        cut = cut.withColumn("_split", splitter(rest, options)).withColumn(
-            "_all", F.when(F.col("_semantic"), F.col("_bodies")).otherwise(F.col("_split"))
+    content = F.col("content")
+    # A generator is the one place the optimizer does not evaluate again further up.
+    cut = files.select(*keep, F.inline(F.array(let(
+        semantic_bodies(content, profile, options),
+        lambda bodies: F.struct(
+            bodies.alias("_all"),
+            (F.size(bodies) > 0).alias("is_semantic"),
+            F.when((F.size(bodies) == 0) & (content != ""), content).alias("_rest"),
+        ),
+    ))))
+    if splitter is not None:
+        cut = cut.withColumn("_split", splitter(F.col("_rest"), options)).withColumn(
+            "_all", F.when(F.col("is_semantic"), F.col("_all")).otherwise(F.col("_split"))
         )
     return cut.select(
-        *keep, "_semantic", F.posexplode(overlapped(F.col("_all"), options)).alias("chunk_index", "_chunk")
-    ).select(*keep, F.col("_semantic").alias("is_semantic"), "chunk_index", "_chunk.*")
+        *keep, "is_semantic", F.posexplode(overlapped(F.col("_all"), options)).alias("chunk_index", "_chunk")
+    ).select(*keep, "is_semantic", "chunk_index", "_chunk.*")
 
 
 # -- properties of one chunk -------------------------------------------------------------
@@ -190,7 +195,7 @@ def first_meaningful_line(text: Column) -> Column:
         return (line != "") & ~comment
 
     stripped = F.transform(F.split(strip(text), "\n", -1), strip)
-    return preview(F.get(F.filter(stripped, meaningful), F.lit(0)), 80)
+    return let(F.get(F.filter(stripped, meaningful), F.lit(0)), lambda line: preview(line, 80))
 
 
 def chunk_name(body: Column, ext: Column) -> Column:
@@ -211,7 +216,7 @@ def function_symbols(body: Column) -> Column:
 
 
 def semantic_score(body: Column) -> Column:
-    points = [F.when(body.rlike(p), F.lit(v)).otherwise(F.lit(0.0)) for v, p in SCORE_PATTERNS]
+    points = [F.when(rlike_with(body, words, p), F.lit(v)).otherwise(F.lit(0.0)) for v, words, p in SCORE_PATTERNS]
     points += [F.when(F.length(body) > n, F.lit(v)).otherwise(F.lit(0.0)) for v, n in SCORE_LENGTHS]
     return reduce(lambda a, b: a + b, points)
 
@@ -228,11 +233,11 @@ def chunk_hierarchy(classes: Column, functions: Column) -> Column:
 
 def summarize(content: Column, path: Column, project_type: Column) -> Column:
     """``[TYPE] From <file>: <first line>``, the line cut to 80 characters."""
-    stripped = strip(content)
-    first = F.when(stripped == "", F.lit("No content")).otherwise(F.get(lines_of(stripped), F.lit(0)))
-    full = F.concat(
-        F.lit("["), F.upper(project_type), F.lit("] From "), paths.basename(path), F.lit(": "), preview(first, 80)
+    first = let(
+        first_line(content),
+        lambda line: F.when(line == "", F.lit("No content")).otherwise(preview(line, 80)),
     )
+    full = F.concat(F.lit("["), F.upper(project_type), F.lit("] From "), paths.basename(path), F.lit(": "), first)
     empty = F.concat(F.lit("From "), path, F.lit(": No content"))
     return F.when(content.isNull() | (content == ""), empty).otherwise(full)
 

@@ -16,8 +16,13 @@ from chunkloom.operators.chunking import one_row
 from chunkloom.operators.metadata import has_value
 from chunkloom.profiles import ANCHORS
 
-LENGTH = F.length("content").cast("bigint")
-N = F.count(F.lit(1))
+
+def _length() -> Column:
+    return F.length("content").cast("bigint")
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def _as_text(df: DataFrame, column: str) -> Column:
@@ -47,7 +52,7 @@ def anchorless_chunks(chunks: DataFrame, limit: int | None = 10) -> DataFrame:
     """Chunks without anchors, longest first."""
     out = chunks.filter(~F.col("has_semantic_anchors")).select(
         "id", F.col("path").alias("source"), F.col("type").alias("chunk_type"),
-        LENGTH.alias("content_length"), head(F.col("content"), 100).alias("content_preview"),
+        _length().alias("content_length"), head(F.col("content"), 100).alias("content_preview"),
     )
     return out if limit is None else out.orderBy(F.desc("content_length"), "id").limit(limit)
 
@@ -61,14 +66,14 @@ def anchorless_summaries(chunks: DataFrame) -> DataFrame:
 def short_chunks(chunks: DataFrame, below: int = 50) -> DataFrame:
     return chunks.filter(F.length("content") < below).select(
         "id", F.col("path").alias("source"), F.col("type").alias("chunk_type"),
-        LENGTH.alias("content_length"), "content",
+        _length().alias("content_length"), "content",
     ).orderBy("content_length", "id")
 
 
 def long_chunks(chunks: DataFrame, above: int = 3000, limit: int = 10) -> DataFrame:
     return chunks.filter(F.length("content") > above).select(
         "id", F.col("path").alias("source"), F.col("type").alias("chunk_type"),
-        LENGTH.alias("content_length"), head(F.col("content"), 200).alias("content_preview"),
+        _length().alias("content_length"), head(F.col("content"), 200).alias("content_preview"),
     ).orderBy(F.desc("content_length"), "id").limit(limit)
 
 
@@ -109,29 +114,29 @@ def chunks_of_file(chunks: DataFrame, path: str) -> DataFrame:
 
 def store_overview(chunks: DataFrame) -> DataFrame:
     return chunks.agg(
-        N.alias("total_chunks"), F.count_distinct("path").alias("unique_files"),
-        F.round(F.avg(LENGTH), 6).alias("avg_chunk_length"),
-        F.min(LENGTH).alias("min_chunk_length"), F.max(LENGTH).alias("max_chunk_length"),
+        _n().alias("total_chunks"), F.count_distinct("path").alias("unique_files"),
+        F.round(F.avg(_length()), 6).alias("avg_chunk_length"),
+        F.min(_length()).alias("min_chunk_length"), F.max(_length()).alias("max_chunk_length"),
     )
 
 
 def length_band() -> Column:
     return (
-        F.when(LENGTH < 100, "Very Short (<100)").when(LENGTH < 500, "Short (100-500)")
-        .when(LENGTH < 1000, "Medium (500-1000)").when(LENGTH < 2000, "Long (1000-2000)")
+        F.when(_length() < 100, "Very Short (<100)").when(_length() < 500, "Short (100-500)")
+        .when(_length() < 1000, "Medium (500-1000)").when(_length() < 2000, "Long (1000-2000)")
         .otherwise("Very Long (>2000)")
     )
 
 
 def length_histogram(chunks: DataFrame) -> DataFrame:
-    counts = chunks.groupBy(length_band().alias("length_category")).agg(N.alias("chunk_count"))
+    counts = chunks.groupBy(length_band().alias("length_category")).agg(_n().alias("chunk_count"))
     return _with_share(counts, "chunk_count").orderBy(F.desc("chunk_count"), "length_category")
 
 
 def _file_measures() -> list[Column]:
     return [
-        N.alias("chunk_count"), F.round(F.avg(LENGTH), 6).alias("avg_chunk_length"),
-        F.min(LENGTH).alias("min_chunk_length"), F.max(LENGTH).alias("max_chunk_length"),
+        _n().alias("chunk_count"), F.round(F.avg(_length()), 6).alias("avg_chunk_length"),
+        F.min(_length()).alias("min_chunk_length"), F.max(_length()).alias("max_chunk_length"),
         F.count_distinct("type").alias("chunk_type_count"),
     ]
 
@@ -148,7 +153,7 @@ def top_files(chunks: DataFrame, limit: int = 15) -> DataFrame:
 def chunk_type_stats(chunks: DataFrame) -> DataFrame:
     """Per type: count, average length, share of all chunks (typed or not)."""
     by_type = chunks.groupBy(F.col("type").alias("chunk_type")).agg(
-        N.alias("count"), F.round(F.avg(LENGTH), 6).alias("avg_length")
+        _n().alias("count"), F.round(F.avg(_length()), 6).alias("avg_length")
     )
     return _with_share(by_type, "count").filter("chunk_type is not null").orderBy(F.desc("count"), "chunk_type")
 
@@ -158,7 +163,7 @@ def metadata_completeness(chunks: DataFrame) -> DataFrame:
         return F.count_if(F.col(column).isNotNull()) if column in chunks.columns else F.lit(0).cast("bigint")
 
     return chunks.agg(
-        N.alias("total_chunks"),
+        _n().alias("total_chunks"),
         filled("path").alias("has_source"),
         filled("class_names").alias("has_class_names"),
         filled("function_names").alias("has_function_names"),
@@ -177,7 +182,7 @@ def sample_metadata(chunks: DataFrame, limit: int = 10) -> DataFrame:
         "id", F.col("path").alias("source"), _as_text(chunks, "class_names").alias("class_names"),
         _as_text(chunks, "function_names").alias("function_names"), "screen_name",
         F.col("type").alias("chunk_type"), F.col("has_semantic_anchors").alias("has_anchors"),
-        LENGTH.alias("content_length"),
+        _length().alias("content_length"),
     )
 
 
@@ -191,7 +196,7 @@ def sample_embeddings(vectors: DataFrame, limit: int = 10) -> DataFrame:
 def value_distribution(chunks: DataFrame, column: str, limit: int | None = 20, exploded: bool = False) -> DataFrame:
     """``(value, count)`` of a metadata column, as stored or item by item."""
     value = F.explode(column) if exploded else _as_text(chunks, column)
-    out = chunks.select(value.alias("value")).filter("value is not null").groupBy("value").agg(N.alias("count"))
+    out = chunks.select(value.alias("value")).filter("value is not null").groupBy("value").agg(_n().alias("count"))
     return out if limit is None else out.orderBy(F.desc("count"), "value").limit(limit)
 
 
@@ -215,7 +220,7 @@ def anchor_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(
         F.count_if("has_semantic_anchors").alias("chunks_with_anchors"),
         F.count_if(~F.col("has_semantic_anchors")).alias("chunks_without_anchors"),
-        N.alias("total_chunks"),
+        _n().alias("total_chunks"),
     ).withColumn("anchor_percentage", _percent(F.col("chunks_with_anchors"), F.col("total_chunks")))
 
 
@@ -223,28 +228,28 @@ def semantic_entities(chunks: DataFrame, limit: int = 20) -> DataFrame:
     keys = ["class_names", "function_names", "screen_name"]
     texts = chunks.select(*[_as_text(chunks, k).alias(k) for k in keys])
     present = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in keys])
-    return texts.filter(present).groupBy(*keys).agg(N.alias("count")).orderBy(F.desc("count"), *keys).limit(limit)
+    return texts.filter(present).groupBy(*keys).agg(_n().alias("count")).orderBy(F.desc("count"), *keys).limit(limit)
 
 
 def embedding_stats(vectors: DataFrame) -> DataFrame:
     size = F.size("embedding").cast("bigint")
     return vectors.agg(
-        N.alias("total_embeddings"), F.round(F.avg(size), 6).alias("avg_embedding_size"),
+        _n().alias("total_embeddings"), F.round(F.avg(size), 6).alias("avg_embedding_size"),
         F.min(size).alias("min_embedding_size"), F.max(size).alias("max_embedding_size"),
     )
 
 
 def distance_histogram(hits: DataFrame, digits: int = 2) -> DataFrame:
     return hits.filter("distance is not null").groupBy(F.round("distance", digits).alias("distance")).agg(
-        N.alias("count")
+        _n().alias("count")
     ).orderBy("distance")
 
 
 def extension_stats(chunks: DataFrame) -> DataFrame:
     """Per last four characters of the path."""
     return chunks.filter("path is not null").groupBy(F.substring("path", -4, 4).alias("file_extension")).agg(
-        N.alias("chunk_count"), F.count_distinct("path").alias("file_count"),
-        F.round(F.avg(LENGTH), 6).alias("avg_chunk_length"),
+        _n().alias("chunk_count"), F.count_distinct("path").alias("file_count"),
+        F.round(F.avg(_length()), 6).alias("avg_chunk_length"),
     ).orderBy(F.desc("chunk_count"), "file_extension")
 
 
@@ -254,12 +259,12 @@ def table_sizes(chunks: DataFrame, vectors: DataFrame, collections: DataFrame) -
 
     def sized(name: str, df: DataFrame, content: Column, embedding: Column) -> DataFrame:
         return df.agg(
-            F.lit(name).alias("table_name"), N.alias("row_count"),
+            F.lit(name).alias("table_name"), _n().alias("row_count"),
             content.alias("total_content_size"), embedding.alias("total_embedding_size"),
         )
 
     return (
-        sized("chunks", chunks, F.coalesce(F.sum(LENGTH), none), none)
+        sized("chunks", chunks, F.coalesce(F.sum(_length()), none), none)
         .unionByName(sized("embeddings", vectors, none, F.coalesce(F.sum(F.size("embedding").cast("bigint")), none)))
         .unionByName(sized("collections", collections, none, none))
     )
@@ -267,7 +272,7 @@ def table_sizes(chunks: DataFrame, vectors: DataFrame, collections: DataFrame) -
 
 def file_type_chunks(chunks: DataFrame, suffix: str = ".kt", limit: int | None = 10) -> DataFrame:
     """Files with one suffix: chunk count and their distinct types, concatenated."""
-    by_type = chunks.filter(F.endswith("path", F.lit(suffix))).groupBy("path", "type").agg(N.alias("n"))
+    by_type = chunks.filter(F.endswith("path", F.lit(suffix))).groupBy("path", "type").agg(_n().alias("n"))
     out = by_type.groupBy(F.col("path").alias("file_path")).agg(
         F.sum("n").alias("chunk_count"),
         F.array_join(F.sort_array(F.collect_set("type")), ",").alias("chunk_types"),
@@ -288,7 +293,7 @@ def duplicate_content(chunks: DataFrame, limit: int = 10) -> DataFrame:
     """
     hashed = chunks.select("id", F.col("path").alias("source"), normalised_hash(F.col("content")).alias("content_hash"))
     top = (
-        hashed.groupBy("content_hash").agg(N.alias("duplicate_count")).filter("duplicate_count > 1")
+        hashed.groupBy("content_hash").agg(_n().alias("duplicate_count")).filter("duplicate_count > 1")
         .orderBy(F.desc("duplicate_count"), "content_hash").limit(limit)
     )
     return hashed.join(F.broadcast(top), "content_hash").select("content_hash", "duplicate_count", "source", "id")
@@ -305,8 +310,8 @@ def file_export_stats(chunks: DataFrame) -> DataFrame:
 
 def inspect_store(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(totals, rows per file)."""
-    per_file = chunks.filter("path is not null").groupBy("path").agg(N.alias("chunk_count"))
-    totals = chunks.agg(N.alias("total_chunks"), F.count_distinct("path").alias("unique_files"))
+    per_file = chunks.filter("path is not null").groupBy("path").agg(_n().alias("chunk_count"))
+    totals = chunks.agg(_n().alias("total_chunks"), F.count_distinct("path").alias("unique_files"))
     return totals, per_file
 
 
@@ -317,7 +322,7 @@ def anchor_counts(chunks: DataFrame) -> DataFrame:
     any_ = reduce(lambda a, b: a | b, filled.values())
     return chunks.agg(
         *[F.count_if(c).alias(a) for a, c in filled.items()],
-        F.count_if(~any_).alias("no_anchors"), N.alias("total_chunks"),
+        F.count_if(~any_).alias("no_anchors"), _n().alias("total_chunks"),
     ).withColumn("coverage", _percent(F.col("total_chunks") - F.col("no_anchors"), F.col("total_chunks")))
 
 
@@ -325,20 +330,20 @@ def chunks_per_file(files: DataFrame) -> DataFrame:
     """One row over the file level: average, largest and smallest chunk count, files."""
     return files.agg(
         F.round(F.avg("chunk_count"), 6).alias("avg_chunks"), F.max("chunk_count").alias("max_chunks"),
-        F.min("chunk_count").alias("min_chunks"), N.alias("total_files"),
+        F.min("chunk_count").alias("min_chunks"), _n().alias("total_files"),
     )
 
 
 def chunk_distribution(files: DataFrame) -> DataFrame:
     """Per extension of the file level: files and chunks."""
     return files.groupBy(paths.dotted_ext(F.col("path")).alias("extension")).agg(
-        N.alias("files"), F.sum("chunk_count").alias("total_chunks")
+        _n().alias("files"), F.sum("chunk_count").alias("total_chunks")
     )
 
 
 def files_by_extension(listing: DataFrame, supported: tuple[str, ...] = ()) -> DataFrame:
     """Files per extension, most first, and whether the profile reads them."""
-    return listing.groupBy(paths.dotted_ext(F.col("path")).alias("extension")).agg(N.alias("files")).select(
+    return listing.groupBy(paths.dotted_ext(F.col("path")).alias("extension")).agg(_n().alias("files")).select(
         "extension", "files", F.col("extension").isin(list(supported)).alias("supported")
     ).orderBy(F.desc("files"), "extension")
 
@@ -413,9 +418,9 @@ def report_rows(report: dict[str, DataFrame]) -> DataFrame:
 def debug_report(chunks: DataFrame, files: DataFrame, tracking: DataFrame) -> DataFrame:
     """One record: stored rows and files, chunks of the index, tracked files, last commit."""
     return one_row(
-        chunks.agg(N.alias("total_chunks"), F.count_distinct("path").alias("unique_files")),
-        files.agg(N.alias("file_count"), F.sum("chunk_count").alias("indexed_chunks")),
-        tracking.agg(N.alias("tracked_files"),
+        chunks.agg(_n().alias("total_chunks"), F.count_distinct("path").alias("unique_files")),
+        files.agg(_n().alias("file_count"), F.sum("chunk_count").alias("indexed_chunks")),
+        tracking.agg(_n().alias("tracked_files"),
                      F.coalesce(F.max_by("commit_sha", "processed_at"), F.lit("unknown")).alias("last_commit")),
     )
 
@@ -427,7 +432,7 @@ def chunk_overview(chunks: DataFrame, tracking: DataFrame) -> dict[str, DataFram
         "totals": totals,
         "top_files": per_file.orderBy(F.desc("chunk_count"), "path").limit(10),
         "processed": processed.orderBy("path").limit(10),
-        "processed_rest": processed.agg(F.greatest(N - 10, F.lit(0).cast("bigint")).alias("more_files")),
+        "processed_rest": processed.agg(F.greatest(_n() - 10, F.lit(0).cast("bigint")).alias("more_files")),
         "anchors": anchor_counts(chunks),
     }
 
@@ -437,7 +442,7 @@ def index_panel(chunks: DataFrame, files: DataFrame, listing: DataFrame) -> dict
 
     anchorless = anchorless_summaries(chunks)
     return {
-        "anchorless_total": anchorless.agg(N.alias("anchorless")),
+        "anchorless_total": anchorless.agg(_n().alias("anchorless")),
         "anchorless_first": anchorless.orderBy("path", "chunk_index").limit(20),
         "files_first": files.select("path", "chunk_count", "file_type").orderBy("path").limit(5),
         "missing_first": missing_rows(chunks).filter("level = 'missing_files'").orderBy("path", "chunk_index").limit(5),
@@ -448,7 +453,7 @@ def index_panel(chunks: DataFrame, files: DataFrame, listing: DataFrame) -> dict
 def canned_queries(chunks: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
     """Nine one-line looks at a store."""
     return {
-        "row_count": chunks.agg(N.alias("n")),
+        "row_count": chunks.agg(_n().alias("n")),
         "distinct_sources": chunks.agg(F.count_distinct("path").alias("n")),
         "length_stats": store_overview(chunks).select("avg_chunk_length", "min_chunk_length", "max_chunk_length"),
         "chunks_per_file": file_chunk_stats(chunks, 10).select("file_path", "chunk_count"),

@@ -48,10 +48,10 @@ def file_level(chunks: DataFrame) -> DataFrame:
 
 def file_members(chunks: DataFrame) -> DataFrame:
     """Distinct ``(path, kind, value)``: chunk types, functions, classes, dependencies, ..."""
-    kinds = [
-        F.transform(_items(chunks, column), lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("value")))
-        for kind, column in _MEMBERS.items()
-    ]
+    def members(kind: str, column: str) -> Column:
+        return F.transform(_items(chunks, column), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    kinds = [members(kind, column) for kind, column in _MEMBERS.items()]
     kinds.append(F.array(F.struct(
         F.lit("chunk_type").alias("kind"), F.coalesce("type", F.lit("unknown")).alias("value")
     )))

@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.functions import paths
-from chunkloom.functions.regex import all_captures, capture, first_capture
+from chunkloom.functions.regex import all_captures, capture, first_capture, rlike_with
 from chunkloom.functions.text import (
-    contains_any, lines_of, none_if_blank, none_if_empty, sorted_set, strip, tag_array, words_of,
+    contains_any, let, lines_of, none_if_blank, none_if_empty, sorted_set, strip, tag_array, words_of,
 )
 from chunkloom.operators.chunking import by_extension
 from chunkloom.options import Options
-from chunkloom.profiles import ANCHORS, IMPORT_EXTENSIONS, Profile
+from chunkloom.profiles import (
+    ANCHORS, CUSTOM_VALIDATOR_WORDS, IMPORT_EXTENSIONS, VALIDATION_PATTERNS, Profile,
+)
 
 _NONE = "array<string>"
 
@@ -77,18 +79,25 @@ def input_fields(content: Column, ext: Column, profile: Profile) -> Column:
 
 
 def ui_elements(content: Column, profile: Profile) -> Column:
-    lower = F.lower(content)
-    return tag_array([(tag, lower.contains(tag.lower())) for tag in profile.ui_elements])
+    return let(
+        F.lower(content), lambda low: tag_array([(tag, low.contains(tag.lower())) for tag in profile.ui_elements])
+    )
 
 
 def validation_rules(content: Column, profile: Profile) -> Column:
-    return tag_array([(tag, content.rlike(p)) for tag, p in profile.validation_patterns.items()])
+    def holds(pattern: str) -> Column:
+        if pattern == VALIDATION_PATTERNS["custom_validator"]:
+            return rlike_with(content, CUSTOM_VALIDATOR_WORDS, pattern)
+        return content.rlike(pattern)
+
+    return tag_array([(tag, holds(p)) for tag, p in profile.validation_patterns.items()])
 
 
 def business_indicators(content: Column, profile: Profile) -> Column:
     """Tags with any of their words in the lower-cased text; a capital never matches."""
-    lower = F.lower(content)
-    return tag_array([(tag, contains_any(lower, words)) for tag, words in profile.indicator_words.items()])
+    return let(F.lower(content), lambda low: tag_array(
+        [(tag, contains_any(low, words)) for tag, words in profile.indicator_words.items()]
+    ))
 
 
 def drop_empty_fields(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions.text import contains_any
 from chunkloom.operators.graph import impact_closure
@@ -55,7 +55,7 @@ def classify_intent(question: Column) -> Column:
 
 def query_hints(question: Column, intent: Column, profile: Profile) -> Column:
     """Anchor terms by intent, in order of appearance; empty for other intents."""
-    any_of = "|".join(HINT_PATTERNS)
+    any_of = "(?U)" + "|".join(HINT_PATTERNS)
     groups = [F.regexp_extract_all(question, F.lit(any_of), F.lit(g)) for g in (1, 2, 3)]
     named = F.transform(
         F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]),
@@ -128,11 +128,11 @@ def search_with_fallback(stages: list[DataFrame]) -> DataFrame:
     """Hits of the first stage that found anything, per question.
 
     ``stages`` are hit tables ``(query_id, vec_id, distance, rank)`` of the rewritten text,
-    the original text and the key terms. The stage number comes from an aggregate with one
-    row per question, so no hit list is sorted again.
+    the original text and the key terms. A question has at most k hits per stage, so the
+    window per question is small, and each search is evaluated once.
     """
     all_hits = stages[0].withColumn("stage", F.lit(1))
     for n, hits in enumerate(stages[1:], start=2):
         all_hits = all_hits.unionByName(hits.withColumn("stage", F.lit(n)))
-    first = all_hits.groupBy("query_id").agg(F.min("stage").alias("stage"))
-    return all_hits.join(first, ["query_id", "stage"], "left_semi")
+    first = F.min("stage").over(Window.partitionBy("query_id"))
+    return all_hits.withColumn("_first", first).filter("stage = _first").drop("_first")

@@ -141,7 +141,7 @@ def _meet_in_blocks(queries: DataFrame, store: DataFrame, k: int, block_rows: in
     def dealt(df: DataFrame, id_: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
         return df.select(
             id_, "embedding", F.pmod(F.xxhash64(id_), F.lit(blocks)).alias(mine),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).cast("bigint").alias(other),
+            F.explode(F.expr(f"sequence(0L, {others - 1}L)")).alias(other),
         )
 
     left = dealt(queries, "query_id", "qb", query_blocks, "sb", store_blocks)

@@ -60,14 +60,18 @@ NAME_PATTERNS = {
 CLASS_SYMBOLS = [r"class\s+(\w+)", r"object\s+(\w+)", r"interface\s+(\w+)"]
 FUNCTION_SYMBOLS = [r"def\s+(\w+)", r"fun\s+(\w+)", r"function\s+(\w+)"]
 COMMENT_STARTS = ["#", "//", "/*", "*", "import"]
-# (points, pattern) pairs of the semantic score; a pair counts once per chunk.
+# (points, words, pattern) of the semantic score; each counts once per chunk. A match
+# contains one of the words, so texts without them skip the regular expression.
 SCORE_PATTERNS = [
-    (2.0, r"(?U)\bclass\s+\w+"),
-    (1.5, r"(?U)\bfun\s+\w+|\bdef\s+\w+"),
-    (1.0, r"(?U)\bimport\s+|\bfrom\s+"),
-    (1.0, r"(?iU)\bconfig\b|\bsetup\b"),
-    (1.5, r"(?U)\bButton\b|\bTextView\b|\bRecyclerView\b|\bFragment\b"),
+    (2.0, ["class"], r"(?U)\bclass\s+\w+"),
+    (1.5, ["fun", "def"], r"(?U)\bfun\s+\w+|\bdef\s+\w+"),
+    (1.0, ["import", "from"], r"(?U)\bimport\s+|\bfrom\s+"),
+    (1.0, ["config", "setup"], r"(?iU)\bconfig\b|\bsetup\b"),
+    (1.5, ["Button", "TextView", "RecyclerView", "Fragment"],
+     r"(?U)\bButton\b|\bTextView\b|\bRecyclerView\b|\bFragment\b"),
 ]
+# The same for the one slow validation pattern.
+CUSTOM_VALIDATOR_WORDS = ["validate", "check", "assert"]
 SCORE_LENGTHS = [(0.5, 500), (0.5, 1000)]
 ANCHORS = ["screen_name", "class_names", "function_names", "component_name"]
 INDEX_LEVELS = {

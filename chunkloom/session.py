@@ -11,9 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_ROWS = 20_000
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on.
+
+    Spark 4.1 lets a union keep the partitioning of its branches; together with reused
+    exchanges an aggregate above it may then miss its shuffle and return wrong groups.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def local_session(cpus: int | str = 8, app: str = "chunkloom") -> SparkSession:
     """Session for tests and benchmarks on one machine. A cluster brings its own session."""
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -54,6 +64,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input came in fewer splits than there are cores.
+
+    A large table has splits enough and is left alone; the number comes from planning.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """True when ``df`` is proven to hold at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows

@@ -22,7 +22,7 @@ def log_counts(events: DataFrame, window: str = "1 day", slide: str | None = Non
 
 
 def session_activity(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions per user: a pause of ``gap`` or more starts a new one."""
+    """Sessions per user of a stream: a pause of ``gap`` or more starts a new one."""
     return (
         _watermarked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "session")
         .agg(F.count(F.lit(1)).alias("n_events"))
@@ -30,6 +30,29 @@ def session_activity(events: DataFrame, gap: str = "30 minutes", delay: str = "1
     )
 
 
+def session_activity_batch(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Batch form of ``session_activity``.
+
+    Events of one slot of ``gap`` length always belong together, so they are first folded
+    to one row per session key and slot on the map side; what is then sorted per key is
+    bounded by the covered time, not by the number of events of a busy key.
+    """
+    gap = gap_minutes * 60_000_000
+    at = F.unix_micros("ts")
+    slots = events.groupBy("session", F.floor(at / gap).alias("slot")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    in_order = Window.partitionBy("session").orderBy("slot")
+    starts = F.when(F.col("first") - F.lag("last").over(in_order) < gap, 0).otherwise(1)
+    numbered = slots.withColumn("_new", starts).withColumn(
+        "_s", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy("session", "_s").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n_events")
+    ).select(
+        "session", F.timestamp_micros("first").alias("session_start"),
+        F.timestamp_micros(F.col("last") + gap).alias("session_end"), "n_events",
+    )
+
+
 def build_timeouts(starts: DataFrame, finishes: DataFrame, options: Options = Options(), delay: str = "1 hour") -> DataFrame:
     """Builds ``(build_id, session, ts)`` without a finish of the session within the limit.
 
@@ -46,20 +69,24 @@ def build_timeouts(starts: DataFrame, finishes: DataFrame, options: Options = Op
         "build_id", F.col("s_session").alias("session"), "started_at")
 
 
-def build_timeouts_batch(events: DataFrame, options: Options = Options()) -> DataFrame:
-    """Batch form over ``(build_id, session, ts, is_start)``: one pass per session, no join.
+def build_timeouts_batch(starts: DataFrame, finishes: DataFrame, options: Options = Options()) -> DataFrame:
+    """Batch form of ``build_timeouts``, without pairing starts and finishes.
 
-    The next finish of a session is carried back over its events, so a session with very
-    many builds is sorted, never paired with itself; the window frame is a running one.
+    Time is cut into slots of the limit's length. A finish in time lies in the slot of the
+    start (then the last finish there is not before the start) or in the next one (then the
+    first finish there is not after the deadline); so two numbers per session and slot decide.
     """
-    ahead = Window.partitionBy("session").orderBy(F.col("ts").desc(), F.col("is_start").cast("int"), F.col("build_id").desc())
-    next_finish = F.last(F.when(~F.col("is_start"), F.col("ts")), ignorenulls=True).over(
-        ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    limit = F.expr(f"interval {options.build_timeout_minutes} minutes")
+    limit = options.build_timeout_minutes * 60_000_000
+    at = F.unix_micros("ts")
+    slot = F.floor(at / limit)
+    spans = finishes.groupBy("session", slot.alias("slot")).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    here = spans.select("session", "slot", F.col("last").alias("last_here"))
+    after = spans.select("session", (F.col("slot") - 1).alias("slot"), F.col("first").alias("first_after"))
+    in_time = (F.col("last_here") >= F.col("at")) | (F.col("first_after") <= F.col("at") + limit)
     return (
-        events.withColumn("next_finish", next_finish)
-        .filter("is_start and (next_finish is null or next_finish > ts + interval "
-                f"{options.build_timeout_minutes} minutes)")
+        starts.select("build_id", "session", "ts", at.alias("at"), slot.alias("slot"))
+        .join(here, ["session", "slot"], "left").join(after, ["session", "slot"], "left")
+        .filter(~F.coalesce(in_time, F.lit(False)))
         .select("build_id", "session", F.col("ts").alias("started_at"))
     )
 
