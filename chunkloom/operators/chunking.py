@@ -31,7 +31,7 @@ def semantic_bodies(content: Column, profile: Profile, options: Options = Option
     """
     if not profile.boundaries:
         return F.array().cast("array<string>")
-    starts = F.flatten(F.array(*[match_lines(content, p, profile.flags) for p in profile.boundaries]))
+    starts = match_lines(content, profile.boundaries, profile.flags)
 
     def spans(cut: Column) -> Column:
         return F.transform(

@@ -8,6 +8,7 @@ vectors; ``events`` are log lines and build events; ``part`` carries a dependenc
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -91,6 +92,9 @@ QUESTION_FORMS = [
 ]
 
 
+# The functions below return lazy DataFrames; the caches only save building the same plan
+# again within a session.
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -108,6 +112,7 @@ def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), F.col("text").alias("content"))
 
 
+@lru_cache(maxsize=16)
 def prose_chunks(spark: SparkSession, sf_dir: str, splitter=None) -> DataFrame:
     """Enriched chunks of the prose files, copies included."""
     cut = cut_files(prose_files(spark, sf_dir), PROSE, splitter=splitter)
@@ -136,12 +141,14 @@ def code_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
         path.alias("path"), code_text(F.col("text"), lang).alias("content"))
 
 
+@lru_cache(maxsize=16)
 def code_chunks(spark: SparkSession, sf_dir: str, lang: str, splitter=None) -> DataFrame:
     profile = CODE_PROFILES[lang]
     cut = cut_files(code_files(spark, sf_dir, lang), profile, splitter=splitter)
     return with_id(enrich_chunks(describe_chunks(cut, profile), profile))
 
 
+@lru_cache(maxsize=16)
 def all_code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, *rest = [code_chunks(spark, sf_dir, lang) for lang in CODE_RULES]
     for chunks in rest:
@@ -155,11 +162,13 @@ def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pages", ["url", "html"]).select(path.alias("path"), F.replace("html", F.lit(">"), F.lit(">\n")).alias("content"))
 
 
+@lru_cache(maxsize=16)
 def web_chunks(spark: SparkSession, sf_dir: str, splitter=None) -> DataFrame:
     cut = cut_files(web_files(spark, sf_dir), WEB, splitter=splitter)
     return with_id(enrich_chunks(describe_chunks(cut, WEB), WEB))
 
 
+@lru_cache(maxsize=16)
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions; the form of the question follows from the turn."""
     forms = F.array(*[F.lit(f) for f in QUESTION_FORMS])
