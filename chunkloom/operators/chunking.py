@@ -198,21 +198,21 @@ def first_meaningful_line(text: Column) -> Column:
     return let(F.get(F.filter(stripped, meaningful), F.lit(0)), lambda line: preview(line, 80))
 
 
-def chunk_name(body: Column, ext: Column) -> Column:
+def chunk_name(body: Column, ext: Column, profile: Profile) -> Column:
     named = by_extension(
         ext, NAME_PATTERNS,
-        lambda patterns: F.coalesce(*[capture(body, p) for p in patterns]),
+        lambda patterns: F.coalesce(*[capture(body, profile.regex(p)) for p in patterns]),
         F.lit(None).cast("string"),
     )
     return F.coalesce(named, first_meaningful_line(body))
 
 
-def class_symbols(body: Column) -> Column:
-    return all_captures(body, CLASS_SYMBOLS)
+def class_symbols(body: Column, profile: Profile) -> Column:
+    return all_captures(body, [profile.regex(p) for p in CLASS_SYMBOLS])
 
 
-def function_symbols(body: Column) -> Column:
-    return all_captures(body, FUNCTION_SYMBOLS)
+def function_symbols(body: Column, profile: Profile) -> Column:
+    return all_captures(body, [profile.regex(p) for p in FUNCTION_SYMBOLS])
 
 
 def semantic_score(body: Column) -> Column:
@@ -253,9 +253,9 @@ def describe_chunks(chunks: DataFrame, profile: Profile) -> DataFrame:
     return (
         chunks.withColumn("file_type", paths.file_ext(F.col("path")))
         .withColumn("type", F.when(semantic, chunk_type(body, profile)).otherwise(F.lit("text")))
-        .withColumn("name", F.when(semantic, chunk_name(body, ext)).otherwise(first_meaningful_line(body)))
-        .withColumn("class_symbols", F.when(semantic, class_symbols(body)).otherwise(none))
-        .withColumn("function_symbols", F.when(semantic, function_symbols(body)).otherwise(none))
+        .withColumn("name", F.when(semantic, chunk_name(body, ext, profile)).otherwise(first_meaningful_line(body)))
+        .withColumn("class_symbols", F.when(semantic, class_symbols(body, profile)).otherwise(none))
+        .withColumn("function_symbols", F.when(semantic, function_symbols(body, profile)).otherwise(none))
         .withColumn("chunk_hierarchy", chunk_hierarchy(F.col("class_symbols"), F.col("function_symbols")))
         .withColumn("chunk_size", F.when(semantic, F.length(body)))
         .withColumn("semantic_score", F.when(semantic, semantic_score(body)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import paths
 from chunkloom.functions.text import head, joined
@@ -34,16 +34,10 @@ def _percent(part: Column, whole: Column) -> Column:
 
 
 def _with_share(counts: DataFrame, count: str) -> DataFrame:
-    """Adds the percentage of the total to a small table of counts.
-
-    The counts are already aggregated, so the total is a join with one row, not another
-    pass over the chunks.
-    """
-    total = counts.agg(F.sum(count).alias("_total")).withColumn("_one", F.lit(1))
-    return (
-        counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-        .withColumn("percentage", _percent(F.col(count), F.col("_total"))).drop("_one", "_total")
-    )
+    """Adds the percentage of the total to a table of counts that has one row per length
+    band or chunk type; the window sees these few rows, never the chunks."""
+    total = F.sum(count).over(Window.partitionBy())
+    return counts.withColumn("percentage", _percent(F.col(count), total))
 
 
 # -- filters ---------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chunkloom.functions.text import contains_any, preview, tag_array, words_of
+from chunkloom.functions.text import contains_any, let, preview, tag_array, words_of
 from chunkloom.operators.metadata import has_value
 from chunkloom.profiles import ANCHORS
 
@@ -38,11 +38,11 @@ ADVICE = {
 
 def matching_terms(query: Column, content: Column) -> Column:
     """Lower-cased words of the query that occur in the content, in query order."""
-    return F.filter(words_of(F.lower(query)), lambda t: F.contains(F.lower(content), t))
+    return let(F.lower(content), lambda low: F.filter(words_of(F.lower(query)), lambda t: F.contains(low, t)))
 
 
 def is_relevant(query: Column, content: Column) -> Column:
-    return F.exists(words_of(F.lower(query)), lambda t: F.contains(F.lower(content), t))
+    return let(F.lower(content), lambda low: F.exists(words_of(F.lower(query)), lambda t: F.contains(low, t)))
 
 
 def query_relevance(hits: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chunkloom.functions import paths
 from chunkloom.functions.text import contains_any, head, preview
 from chunkloom.profiles import NAVIGATION_WORDS, business_key_table, level_table
+from chunkloom.session import cut_lineage
 
 _MEMBERS = {
     "function": "function_names",
@@ -164,9 +165,15 @@ def classify_dependencies(deps: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def dependency_level(chunks: DataFrame) -> DataFrame:
-    """``(src, dep, scope)``: the import graph with every token marked internal or external."""
-    edges = relationship_edges(chunks)
-    scopes = classify_dependencies(edges, chunks.select("path").distinct())
+    """``(src, dep, scope)``: the import graph with every token marked internal or external.
+
+    Edges and paths are used three times; they are cut from the chunks once and checkpointed.
+    """
+    pairs = cut_lineage(
+        chunks.select(F.col("path").alias("src"), F.explode_outer(_items(chunks, "dependencies")).alias("dep")).distinct()
+    )
+    edges = pairs.filter("dep is not null")
+    scopes = classify_dependencies(edges, pairs.select(F.col("src").alias("path")))
     return edges.join(scopes, "dep").select("src", "dep", "scope")
 
 

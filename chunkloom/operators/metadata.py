@@ -26,25 +26,25 @@ def _no_items() -> Column:
 
 def screen_name(content: Column, path: Column, profile: Profile) -> Column:
     """First screen capture; each pattern looks in the chunk, then in the path."""
-    return first_capture([(text, p) for p in profile.screens for text in (content, path)])
+    return first_capture([(text, profile.regex(p)) for p in profile.screens for text in (content, path)])
 
 
 def component_name(content: Column, profile: Profile) -> Column:
-    return first_capture([(content, p) for p in profile.components])
+    return first_capture([(content, profile.regex(p)) for p in profile.components])
 
 
 def function_names(content: Column, body: Column, ext: Column, profile: Profile) -> Column:
     """Distinct names, sorted. Python names come from the chunk without borrowed text."""
     text = F.when(ext == "py", body).otherwise(content)
     return by_extension(
-        ext, profile.function_patterns, lambda ps: sorted_set(all_captures(text, ps)), _no_items()
+        ext, profile.function_patterns, lambda ps: sorted_set(all_captures(text, [profile.regex(p) for p in ps])), _no_items()
     )
 
 
 def class_names(content: Column, body: Column, ext: Column, profile: Profile) -> Column:
     text = F.when(ext == "py", body).otherwise(content)
     return by_extension(
-        ext, profile.class_patterns, lambda ps: sorted_set(all_captures(text, ps)), _no_items()
+        ext, profile.class_patterns, lambda ps: sorted_set(all_captures(text, [profile.regex(p) for p in ps])), _no_items()
     )
 
 
@@ -59,7 +59,7 @@ def dependencies(content: Column, ext: Column, options: Options = Options()) ->
         first = word if options.full_import_name else F.get(F.split(word, "\\.", -1), F.lit(0))
         starts = F.startswith(line, F.lit("import"))
         return (
-            F.when(starts & line.contains("from"), capture(line, r"from\s+([^\s]+)"))
+            F.when(starts & line.contains("from"), capture(line, r"(?U)from\s+([^\s]+)"))
             .when(starts, none_if_blank(first))
             .when(line.contains("require("), capture(line, r"""require\(["']([^"']+)["']"""))
         )
@@ -74,7 +74,7 @@ def dependencies(content: Column, ext: Column, options: Options = Options()) ->
 
 def input_fields(content: Column, ext: Column, profile: Profile) -> Column:
     return by_extension(
-        ext, profile.input_patterns, lambda ps: sorted_set(all_captures(content, ps)), _no_items()
+        ext, profile.input_patterns, lambda ps: sorted_set(all_captures(content, [profile.regex(p) for p in ps])), _no_items()
     )
 
 
@@ -88,7 +88,7 @@ def validation_rules(content: Column, profile: Profile) -> Column:
     def holds(pattern: str) -> Column:
         if pattern == VALIDATION_PATTERNS["custom_validator"]:
             return rlike_with(content, CUSTOM_VALIDATOR_WORDS, pattern)
-        return content.rlike(pattern)
+        return content.rlike(profile.regex(pattern))
 
     return tag_array([(tag, holds(p)) for tag, p in profile.validation_patterns.items()])
 

@@ -49,10 +49,9 @@ def embed_with(function: Callable[[list[str]], list[list[float]]], text: Column)
 def check_dimensions(vectors: DataFrame) -> DataFrame:
     """``(dimension, n, matches)``: vectors per length against the most frequent length."""
     counts = vectors.groupBy(F.size("embedding").cast("bigint").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))
-    usual = counts.agg(F.max_by("dimension", F.struct(F.col("n"), -F.col("dimension"))).alias("usual")).withColumn("_k", F.lit(1))
-    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(usual), "_k").select(
-        "dimension", "n", (F.col("dimension") == F.col("usual")).alias("matches")
-    )
+    # One row per distinct length: a handful.
+    usual = F.max_by("dimension", F.struct(F.col("n"), -F.col("dimension"))).over(Window.partitionBy())
+    return counts.select("dimension", "n", (F.col("dimension") == usual).alias("matches"))
 
 
 # -- exact search ----------------------------------------------------------------------------

@@ -173,7 +173,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions; the form of the question follows from the turn."""
     forms = F.array(*[F.lit(f) for f in QUESTION_FORMS])
     form = F.get(forms, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(QUESTION_FORMS))).cast("int"))
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+    turns = texts(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return turns.filter("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "turn",
         F.concat_ws(" ", form, F.col("text")).alias("question"),
     )

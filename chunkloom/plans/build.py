@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chunkloom.operators import tracking
-from chunkloom.operators.chunking import cut_files, dedupe_chunks, describe_chunks, recursive_split
+from chunkloom.operators.chunking import (
+    cut_files, dedupe_chunks, describe_chunks, fingerprint, recursive_split,
+)
 from chunkloom.operators.context import build_prompts, pack_context
 from chunkloom.operators.metadata import enrich_chunks
 from chunkloom.operators.questions import analyse_questions
@@ -20,11 +22,11 @@ def build_chunks(
     dedupe: bool = True, tracking_method: str = "content-hash", commit: str | None = None,
 ) -> DataFrame:
     """``files(path, content)`` to the stored chunk table, duplicates removed."""
-    chunks = describe_chunks(cut_files(files, profile, options, splitter), profile)
+    chunks = cut_files(files, profile, options, splitter).withColumn("fingerprint", fingerprint(F.col("content")))
     if dedupe:
-        # Copies go before metadata is extracted: nothing is computed for a dropped chunk.
+        # Copies go before anything else is computed, so the shuffled rows are short.
         chunks = dedupe_chunks(chunks)
-    return enrich_chunks(chunks, profile, options).withColumns({
+    return enrich_chunks(describe_chunks(chunks, profile), profile, options).withColumns({
         "id": F.concat_ws("#", "path", "chunk_index"),
         "project_type": F.lit(profile.name),
         "tracking_method": F.lit(tracking_method),

@@ -38,7 +38,9 @@ def preview(e: str, n: int) -> str:
 
 
 def all_captures(e: str, patterns: list[str], group: int = 1) -> str:
-    lists = ", ".join(f"regexp_extract_all({e}, {lit(p)}, {group})" for p in patterns)
+    # DuckDB's expressions have no possessive quantifiers (and do not backtrack).
+    plain = [p.replace("++", "+").replace("*+", "*") for p in patterns]
+    lists = ", ".join(f"regexp_extract_all({e}, {lit(p)}, {group})" for p in plain)
     return f"list_concat({lists})" if len(patterns) > 1 else lists
 
 

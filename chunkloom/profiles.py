@@ -6,6 +6,7 @@ built-in one) to every operator that takes one.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,10 @@ VALIDATION_PATTERNS = {
     "length_check": r"length\s*[<>=]{1,2}\s*\d+",
     "custom_validator": r"(?iU)\b(validate|check|assert)([A-Z][a-zA-Z]+)?\b",
 }
+# Possessive quantifiers only save backtracking here: words and white space never overlap.
 FUNCTION_PATTERNS = {
     "py": [r"def\s+(\w+)"],
-    "kt kts java": [r"fun\s+(\w+)", r"(?:public|private|protected|static)?\s*\w+\s+(\w+)\s*\("],
+    "kt kts java": [r"fun\s+(\w+)", r"(?:public|private|protected|static)?\s*\w++\s++(\w++)\s*+\("],
     "js ts jsx tsx": [r"function\s+(\w+)", r"const\s+(\w+)\s*=", r"let\s+(\w+)\s*=", r"var\s+(\w+)\s*="],
 }
 CLASS_PATTERNS = {
@@ -111,6 +113,11 @@ class Profile:
         """Boundary flags: ``^`` after every newline, and only after newlines."""
         return "(?mdU)" if self.unicode_classes else "(?md)"
 
+    def regex(self, pattern: str) -> str:
+        """A search pattern with the profile's reading of ``\\w`` and ``\\s``."""
+        has_flags = re.match(r"\(\?[a-zA-Z]+\)", pattern)
+        return f"(?U){pattern}" if self.unicode_classes and not has_flags else pattern
+
     @property
     def boundaries(self) -> list[str]:
         return [p for patterns in self.chunk_types.values() for p in patterns if p.startswith("^")]
