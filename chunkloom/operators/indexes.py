@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import paths
 from chunkloom.functions.text import contains_any, head, preview
@@ -205,11 +205,9 @@ def screen_input_map(chunks: DataFrame) -> DataFrame:
         .select("screen_name", "field", F.explode_outer("rules").alias("rule"))
         .distinct()
     )
-    ruled = pairs.groupBy("screen_name", "field").agg(F.count("rule").alias("n_rules"))
-    return (
-        pairs.join(ruled, ["screen_name", "field"])
-        .filter("rule is not null or n_rules = 0").drop("n_rules")
-    )
+    # Distinct pairs: a field has at most one row per rule tag, so the window is tiny.
+    n_rules = F.count("rule").over(Window.partitionBy("screen_name", "field"))
+    return pairs.withColumn("_n", n_rules).filter("rule is not null or _n = 0").drop("_n")
 
 
 # -- quality of the index --------------------------------------------------------------------

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from chunkloom.operators import indexes
 from chunkloom.operators.graph import impact_closure
-from chunkloom.operators.questions import classify_intent
 from chunkloom.plans import bridges, oracle as o
 from chunkloom.plans.registry import flat, query
-from chunkloom.profiles import BUSINESS_KEYS, INDEX_LEVELS
+from chunkloom.profiles import BUSINESS_KEYS
 
 SHOWN = o.preview("content", 200)
 _FIRST = "arg_min(CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END, chunk_index)"
@@ -139,9 +138,6 @@ def missing_rows(spark, sf):
     return flat(indexes.missing_rows(bridges.all_code_chunks(spark, sf)))
 
 
-_LEVELS = " ".join(f"WHEN '{i}' THEN '{lvl}'" for i, lvl in INDEX_LEVELS.items())
-
-
 @query("level_for_intent", f"SELECT event_id, CASE event_type WHEN 'click' THEN 'ui_level' WHEN 'view' THEN 'file_level' WHEN 'error' THEN 'api_level' END AS level FROM events")
 def level_for_intent(spark, sf):
     intents = F.when(F.col("event_type") == "click", "ui_flow").when(F.col("event_type") == "view", "overview").when(
@@ -150,13 +146,6 @@ def level_for_intent(spark, sf):
     return indexes.level_for_intent(asked).select("event_id", "level")
 
 
-@query("question_levels", None)
-def question_levels(spark, sf):
-    """Index level per question, by its intent."""
-    asked = bridges.questions(spark, sf).select("question_id", classify_intent(F.col("question"))["intent"].alias("intent"))
-    return indexes.level_for_intent(asked).select("question_id", "intent", "level")
-
-
 @query("anchor_quality", o.all_code("""SELECT count(*) AS files, count(*) AS files_with_chunks, 100.0::DOUBLE AS anchor_quality, 'good' AS band
   FROM (SELECT DISTINCT path FROM chunks)"""))
 def anchor_quality(spark, sf):

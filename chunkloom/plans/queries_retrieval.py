@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from chunkloom.operators import context as c, evaluation as e, questions as q, vectors as v
 from chunkloom.operators.diagnostics import distance_histogram
-from chunkloom.operators.indexes import business_level, file_level, screen_input_map, ui_level
+from chunkloom.operators.indexes import (
+    business_level, file_level, level_for_intent, screen_input_map, ui_level,
+)
 from chunkloom.options import Options
 from chunkloom.plans import bridges, oracle as o
 from chunkloom.plans.bridges import PROSE, WEB
 from chunkloom.plans.build import answer_batch
 from chunkloom.plans.registry import flat, query
+from chunkloom.profiles import INDEX_LEVELS
 
 K = 10
 OPTIONS = Options(top_k=K, context_words=1000)
@@ -90,6 +93,15 @@ def classify_intent(spark, sf):
     return asked(spark, sf).select("question_id", "intent", "confidence")
 
 
+_LEVELS = " ".join(f"WHEN '{i}' THEN '{lvl}'" for i, lvl in INDEX_LEVELS.items())
+
+
+@query("question_levels", f"WITH {ASKED} SELECT question_id, intent, CASE intent {_LEVELS} END AS level FROM asked")
+def question_levels(spark, sf):
+    """Index level per question, by its intent."""
+    return level_for_intent(asked(spark, sf).select("question_id", "intent")).select("question_id", "intent", "level")
+
+
 _GROUPS = [rf'"({W}+)"', rf"'({W}+)'", rf"({W}+Field|{W}+Input|[A-Z][a-zA-Z0-9]+Screen)"]
 _HINTS = (
     f"list_transform(list_zip(" + ", ".join(f"regexp_extract_all(question, {o.lit('|'.join(_GROUPS))}, {n})" for n in (1, 2, 3))

@@ -81,21 +81,33 @@ def path_bucket(path: Column, buckets: int = STORE_BUCKETS) -> Column:
 def write_chunks(chunks: DataFrame, store: str, buckets: int = STORE_BUCKETS) -> None:
     """Replace all chunks of the project types present; other project types stay.
 
-    Rows are spread by path first, so a partition folder gets few files, and a bucket that
-    holds a large share of the rows is still written by several tasks (AQE splits it).
+    Over an existing store the new buckets are written first and left-over ones removed
+    after, so a failure never leaves a project type without chunks.
     """
     spark = chunks.sparkSession
     rows = chunks.withColumn("bucket", path_bucket(F.col("path"), buckets))
-    for (project_type,) in chunks.select("project_type").distinct().collect():
-        # Project types are a handful of profile names.
-        file_system, target = _hadoop(spark, f"{store}/project_type={project_type}")
+    if not table_exists(spark, store):
+        _write_buckets(rows, store)
+        return
+    rows = cut_lineage(rows)
+    # One row per project type and bucket: a handful of profiles times the bucket count.
+    written = {(r.project_type, r.bucket) for r in rows.select("project_type", "bucket").distinct().collect()}
+    types = sorted({t for t, _ in written})
+    before = spark.read.parquet(store).select("project_type", "bucket").filter(F.col("project_type").isin(types)).distinct().collect()
+    _write_buckets(rows, store)
+    _delete_buckets(spark, store, {(r.project_type, r.bucket) for r in before} - written)
+
+
+def _delete_buckets(spark: SparkSession, store: str, stale: set[tuple[str, int]]) -> None:
+    for project_type, bucket in stale:
+        file_system, target = _hadoop(spark, f"{store}/project_type={project_type}/bucket={bucket}")
         if file_system.exists(target):
-            rows = cut_lineage(rows)
             file_system.delete(target, True)
-    _write_buckets(rows, store)
 
 
 def _write_buckets(rows: DataFrame, store: str) -> None:
+    """Rows of a bucket come together first, so its folder gets few files; the hint lets a
+    bucket with a large share of the rows be written by several tasks."""
     (
         rows.hint("rebalance", "project_type", "bucket")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -127,10 +139,7 @@ def merge_chunks(
     rows = cut_lineage(replace_sources(old, changed, new.withColumn("bucket", bucket)))
     filled = {r.bucket for r in rows.select("bucket").distinct().collect()}
     _write_buckets(rows, store)
-    for empty in set(touched) - filled:
-        file_system, target = _hadoop(spark, f"{store}/project_type={project_type}/bucket={empty}")
-        if file_system.exists(target):
-            file_system.delete(target, True)
+    _delete_buckets(spark, store, {(project_type, bucket_) for bucket_ in set(touched) - filled})
 
 
 def relationship_rows(edges: DataFrame) -> DataFrame:

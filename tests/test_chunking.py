@@ -105,7 +105,7 @@ def test_metadata_kotlin_and_javascript(spark):
     (ki, k), (ji, j) = got["Login.kt"], got["go.js"]
     assert k.screen_name == "LoginScreen" and k.class_names == ["LoginScreen"] and k.input_fields == ["userName"]
     assert set(k.validation_rules) == {"required_check", "set_error_triggered"} and k.has_semantic_anchors
-    assert (ki.type, ki.dependencies, ji.type, ji.dependencies) == ("import", ["com"], "import", ["'y'"])
+    assert (ki.type, ki.dependencies, ji.type, ji.dependencies) == ("import", ["com"], "import", ["'y'", "lodash"])
     assert j.dependencies == ["lodash"] and j.function_names == ["a", "go"] and "Button" in j.ui_elements
     assert set(j.business_logic_indicators) >= {"workflow", "authorization"}
 
