@@ -15,7 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=3)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, "uint64"), np.full(n, _INVERSE, "uint64")
     up[0] = down[0] = 1
@@ -25,7 +25,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mixed(h: np.ndarray) -> np.ndarray:
     """The finishing step of splitmix64."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -36,7 +36,7 @@ class Substrings:
 
     def __init__(self, data: np.ndarray, lowered: bool = False):
         n = len(data)
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(21, int(n).bit_length())
         self.up, self.down = (p[:n + 1] for p in _powers(size))
         self.sums = np.zeros(n + 1, "uint64")
         np.cumsum((_LOWERED if lowered else _SIGNS)[data] * self.up[:n], out=self.sums[1:])
@@ -44,6 +44,13 @@ class Substrings:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype("uint64"))
 
+    def all(self, size: int) -> np.ndarray:
+        """Hashes of all substrings of one size."""
+        h = self.sums[size:] - self.sums[:-size]
+        h *= self.down[:len(h)]
+        h += np.uint64(size)
+        return mixed(h)
+
 
 def text_column(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts run together, and the offsets of the texts; a null is an empty text."""

@@ -30,7 +30,7 @@ from chunkloom.llm.common import written
 LENGTH = 50
 ANCHOR = 20
 REACH = LENGTH - ANCHOR
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 # What one task of step 2 and of step 3 takes on the average.
 ANCHORS_PER_PART = 1_000_000
 CONTEXTS_PER_PART = 40_000
@@ -88,10 +88,9 @@ class Block:
         self.hashes = np.zeros(0, "uint64")
         if len(data) >= LENGTH:
             sums = Substrings(data)
-            starts = np.arange(len(data) - ANCHOR + 1)
-            grams = sums.of(starts, starts + ANCHOR)
+            grams = sums.all(ANCHOR)
             # The hash above, the place below: the least of them is the leftmost of the least hashes.
-            least = (grams & np.uint64(0xFFFFFFFF00000000)) | starts.astype("uint64")
+            least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype="uint64")
             width = 1
             while 2 * width <= REACH + 1:
                 least = np.minimum(least[:-width], least[width:])
@@ -119,8 +118,10 @@ class Block:
 
     @property
     def anchors(self) -> np.ndarray:
-        """47 bits of each anchor's hash."""
-        return self.hashes >> np.uint64(17)
+        """47 bits of each anchor's hash, mixed again: the least of many hashes are small ones."""
+        from chunkloom.llm.hashing import mixed
+
+        return mixed(self.hashes) >> np.uint64(17)
 
 
 def _six(values: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def _shared_anchors(rows):
 
 # -- step 3: contexts, index, marks -----------------------------------------------------------------------------------
 
-_CONTEXTS = "part bigint, block bigint, anchors binary, contexts binary, docs binary, sizes binary, body binary"
+_CONTEXTS = "part bigint, block bigint, anchors binary, contexts binary, docs binary, sizes binary, lefts binary, body binary"
 
 
 def _send_contexts(parts: int):
@@ -216,18 +217,18 @@ def _send_contexts(parts: int):
                 continue
             owner = _parts(block.anchors[chosen], parts).astype("int64")
             cuts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]])
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(8)]
             for a, z in zip(cuts, cuts[1:]):
                 mine = chosen[a:z]
                 body = b"".join([block.bytes[s:e] for s, e in zip(block.starts[mine].tolist(), block.ends[mine].tolist())])
                 for column, value in zip(rows, (
                     owner[a], number, block.anchors[mine].tobytes(), block.contexts[mine].tobytes(), block.ids[block.doc[mine]].tobytes(),
-                    (block.ends[mine] - block.starts[mine]).astype("uint8").tobytes(), body,
+                    (block.ends[mine] - block.starts[mine]).astype("uint8").tobytes(), (block.places[mine] - block.starts[mine]).astype("uint8").tobytes(), body,
                 )):
                     column.append(value)
-            types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+            types = [pa.int64(), pa.int64()] + [pa.binary()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, types)], names=["part", "block", "anchors", "contexts", "docs", "sizes", "body"]
+                [pa.array(c, t) for c, t in zip(rows, types)], names=["part", "block", "anchors", "contexts", "docs", "sizes", "lefts", "body"]
             )
     return run
 
@@ -328,6 +329,23 @@ class RunIndex:
         return found
 
 
+def _with_neighbour(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Whether another of these contexts goes on like this one for half of ``REACH`` bytes to a side of the anchor.
+
+    A window has ``REACH`` bytes beside its anchor, so half of them, at least, on one side.
+    """
+    from chunkloom.llm.hashing import Substrings
+
+    half, sums = (REACH + 1) // 2, Substrings(body)
+    near = np.zeros(len(starts), bool)
+    for a, z in ((places - half, places), (places + ANCHOR, places + ANCHOR + half)):
+        inside = np.flatnonzero((a >= starts) & (z <= ends))
+        keys = sums.of(a[inside], z[inside]) ^ (anchors[inside] << np.uint64(17))
+        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        near[inside] |= counts[inverse] > 1
+    return near
+
+
 def _mark(rows):
     """Windows of the contexts of one part that stand in a smaller document, as bit masks per block."""
     import pyarrow as pa
@@ -335,7 +353,10 @@ def _mark(rows):
     def column(name: str, kind: str) -> list[np.ndarray]:
         return [np.frombuffer(v.as_py(), kind) for v in rows.column(name)]
 
-    anchors, contexts, docs, sizes = (np.concatenate(column(n, k)) for n, k in (("anchors", "uint64"), ("contexts", "uint64"), ("docs", "int64"), ("sizes", "uint8")))
+    anchors, contexts, docs, sizes, lefts = (
+        np.concatenate(column(n, k))
+        for n, k in (("anchors", "uint64"), ("contexts", "uint64"), ("docs", "int64"), ("sizes", "uint8"), ("lefts", "uint8"))
+    )
     counts = [len(c) for c in column("contexts", "uint64")]
     owner = np.repeat(np.arange(len(counts)), counts)
     body = np.frombuffer(b"".join(v.as_py() for v in rows.column("body")), "uint8")
@@ -346,14 +367,19 @@ def _mark(rows):
     new = np.concatenate([[True], (contexts[order][1:] != contexts[order][:-1]) | (anchors[order][1:] != anchors[order][:-1])])
     heads = order[new]                              # distinct contexts, each with its smallest document
     group = np.cumsum(new) - 1
-    edges = np.flatnonzero(np.concatenate([[True], anchors[heads][1:] != anchors[heads][:-1]]))
+    smallest = np.full((len(heads), REACH + 1), np.iinfo("int64").max, "int64")
+    # A context that can match no other only matches itself.
+    smallest[:] = docs[heads, None]
+    near = _with_neighbour(body, starts[heads], ends[heads], starts[heads] + lefts[heads], anchors[heads])
+    chosen = np.flatnonzero(near)
+    heads = heads[chosen]
+    edges = np.flatnonzero(anchors[heads][1:] != anchors[heads][:-1]) + 1
     cuts, at = [0], 0
-    for edge in np.append(edges[1:], len(heads)):
+    for edge in np.append(edges, len(heads)) if len(heads) else ():
         if edge - at >= CONTEXTS_PER_INDEX or edge == len(heads):
             cuts.append(int(edge))
             at = edge
     bits = np.uint64(1) << np.arange(REACH + 1, dtype="uint64")
-    smallest = np.full((len(heads), REACH + 1), np.iinfo("int64").max, "int64")
     for a, z in zip(cuts, cuts[1:]):
         mine = heads[a:z]
         by_doc = np.argsort(docs[mine], kind="stable")
@@ -361,7 +387,7 @@ def _mark(rows):
         lengths = sizes[mine].astype("int64")
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         take = np.repeat(starts[mine] - offsets[:-1], lengths) + np.arange(offsets[-1])
-        smallest[a + by_doc] = RunIndex(body[take], offsets, docs[mine]).stream()
+        smallest[chosen[a:z][by_doc]] = RunIndex(body[take], offsets, docs[mine]).stream()
     for a in range(0, len(order), 100_000):
         some = order[a:a + 100_000]
         masks[some] = ((smallest[group[a:a + 100_000]] < docs[some, None]) * bits).sum(axis=1, dtype="uint64")
