@@ -35,7 +35,7 @@ BLOCK_BYTES = 1_000_000
 ANCHORS_PER_PART = 1_000_000
 CONTEXTS_PER_PART = 40_000
 # Contexts that are indexed together; anchors are never split over two indexes.
-CONTEXTS_PER_INDEX = 30_000
+CONTEXTS_PER_INDEX = 10_000
 BROADCAST_ROWS = 1_000_000
 
 _BLOCKS = "ids binary, offsets binary, body binary, size bigint"
