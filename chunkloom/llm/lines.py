@@ -30,7 +30,7 @@ MAX_BITS = 2
 EDIT_SHARE = 5
 # Words that byte-wide counters can add up before they are compared.
 CHUNK = 63
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 _BLOCK_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
@@ -73,16 +73,20 @@ def line_words(line: Column) -> Column:
 
 
 def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every line that counts: document, line number, key of the normalised line, its words, its SimHash."""
+    """Every line that counts: document, line number, key of the normalised line, its SimHash.
+
+    The words come out of the generator, so that no filter repeats the splitting. Each word counts once in the SimHash:
+    else the commonest words of a language would make all its lines alike.
+    """
     lines = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(id).cast("bigint").alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "raw")
+        F.col(id).cast("bigint").alias("doc"), F.posexplode(F.transform(F.split(text, "\n"), line_words)).alias("line", "words")
     )
     return (
-        lines.select("doc", "line", line_words(F.col("raw")).alias("words"))
-        .withColumn("norm", F.concat_ws(" ", "words")).where(F.length("norm") >= MIN_CHARS)
+        lines.withColumn("norm", F.concat_ws(" ", "words")).where(F.length("norm") >= MIN_CHARS)
+        .withColumn("features", F.array_distinct("words"))
         .select(
             "doc", "line", F.unhex(F.md5("norm")).alias("key"),
-            F.when(F.size("words") >= MIN_WORDS, simhash("words")).alias("simhash"),
+            F.when(F.size("words") >= MIN_WORDS, simhash("features")).alias("simhash"),
         )
     )
 
@@ -115,7 +119,8 @@ def _similar(pairs: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text
         pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb")), "b")
         .where(F.abs(F.length("na") - F.length("nb")) <= most).withColumn("most", most)
-        .where(F.expr("levenshtein(na, nb, most)") >= 0).select("a", "b")
+        # A narrow band settles most pairs; only the others need the wide one.
+        .where((F.expr("levenshtein(na, nb, most div 8)") >= 0) | (F.expr("levenshtein(na, nb, most)") >= 0)).select("a", "b")
     )
 
 
@@ -128,22 +133,25 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     )
     blocks = distinct.where("simhash IS NOT NULL").select("line_id", "simhash", F.explode(_block_keys()).alias("block"))
     buckets = written(
-        blocks.groupBy("block").agg(
-            F.min(F.struct("line_id", "simhash")).alias("leader"), F.max(F.struct("line_id", "simhash")).alias("other"), F.count(F.lit(1)).alias("n"),
-        ).where("n > 1"), "line-buckets",
+        blocks.groupBy("block").agg(F.min("line_id").alias("leader"), F.max("line_id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "line-buckets",
     )
     large = buckets.where("n > 2").select("block", "leader")
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
-    members = written(blocks.join(large, "block"), "line-members")
-    stars = buckets.where("n = 2").select("leader", F.col("other.line_id").alias("line_id"), F.col("other.simhash").alias("simhash")).unionByName(
-        members.select("leader", "line_id", "simhash")
-    ).where(F.col("leader.line_id") != F.col("line_id")).where(_near("leader.simhash", "simhash"))
-    pairs = written(stars.select(F.col("leader.line_id").alias("a"), F.col("line_id").alias("b")).distinct(), "line-pairs")
+    members = written(blocks.join(large, "block").where("line_id <> leader"), "line-members")
+    stars = buckets.where("n = 2").select(F.col("leader").alias("a"), F.col("other").alias("b")).unionByName(
+        members.select(F.col("leader").alias("a"), F.col("line_id").alias("b"))
+    ).distinct()
+    hashes = distinct.where("simhash IS NOT NULL").select("line_id", "simhash")
+    pairs = written(
+        stars.join(hashes.select(F.col("line_id").alias("a"), F.col("simhash").alias("ha")), "a")
+        .join(hashes.select(F.col("line_id").alias("b"), F.col("simhash").alias("hb")), "b").where(_near("ha", "hb")).select("a", "b"), "line-pairs",
+    )
     links = written(_similar(pairs, distinct, df, id, text), "line-links")
     labels = components(links)
     labelled = written(
-        members.where(F.col("leader.line_id") != F.col("line_id")).join(labels.withColumnRenamed("node", "line_id"), "line_id", "left")
+        members.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left")
         .select("block", "line_id", "simhash", F.coalesce("component", "line_id").alias("label")), "line-labels",
     )
     mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("block")

@@ -2,7 +2,7 @@
 
 Texts with equal shingle sets form a class, whose smallest id stands for it. Signatures of the classes are cut into
 bands. Classes that share a band value are candidates: each with the leader (smallest id) of the bucket first, and in
-buckets that are not yet one component afterwards, all members of different components with each other. Candidates
+buckets that are not yet one component afterwards, members of different components with each other. Candidates
 compare their signatures batch by batch; a pair is pruned once the posterior probability that its similarity reaches
 the limit falls below the miss probability. What is left is confirmed on full shingle sets.
 
@@ -30,6 +30,8 @@ BAND_MISS = 1e-7
 MISS = 1e-9
 # Buckets of three and more members, as (key, leader) rows, are shipped to the executors up to this number.
 BROADCAST_ROWS = 500_000
+# Members of a cluster that one task holds of each of its two chunks.
+CHUNK = 1000
 
 _SIGNATURE = "id bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature binary"
 
@@ -122,10 +124,7 @@ def likely(pairs: DataFrame, signed: DataFrame, limit: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of ``pairs`` those with 100 * intersection >= percent * union of the full sets. ``texts``: id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
+def _full_sets(size: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -134,8 +133,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], names=["id", "full"]
             )
+    return run
+
 
-    sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, full array<bigint>")
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of ``pairs`` those with 100 * intersection >= percent * union of the full sets. ``texts``: id, text."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    sets = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(size), "id bigint, full array<bigint>")
     sets = written(sets.dropDuplicates(["id"]), "shingle-sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
@@ -145,6 +150,57 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.where(100 * F.col("common") >= percent * (F.size("fa") + F.size("fb") - F.col("common"))).select("a", "b")
 
 
+def _links_across(open_members: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components among ``open_members`` (band, id, label), enough to join what belongs together.
+
+    Members that share bands form clusters. A cluster is dealt into chunks, and every two chunks meet in one task, which
+    compares signatures and full sets and gives links only, never the pairs it looked at.
+    """
+    hubs = open_members.groupBy("band").agg(F.min("id").alias("a"))
+    clusters = components(open_members.join(hubs, "band").select("a", F.col("id").alias("b")).distinct())
+    members = open_members.select("id", "label").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).withColumnRenamed("component", "cluster")
+    dealt = written(members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")), "dealt-members")
+    sets = texts.join(dealt.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_full_sets(size), "id bigint, full array<bigint>").dropDuplicates(["id"])
+    whole = written(dealt.join(heads.select("id", "signature"), "id").join(sets, "id"), "open-sets")
+    twice = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "id", "label", "chunk", "signature", "full"
+    )
+    least = least_matches(percent / 100)
+
+    def link(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, labels, chunks = (rows.column(c).to_numpy().copy() for c in ("id", "label", "chunk"))
+        signed = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "uint16").reshape(-1, HASHES)
+        full = [s.values.to_numpy() for s in rows.column("full")]
+        counts = np.array([len(s) for s in full])
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        left, right = np.flatnonzero(chunks == low), np.flatnonzero(chunks == high)
+        found: list[tuple[int, int]] = []
+        for x in left.tolist():
+            some = right if low != high else right[right > x]
+            some = some[(labels[some] != labels[x]) & (100 * np.minimum(counts[some], counts[x]) >= percent * np.maximum(counts[some], counts[x]))]
+            matches = np.zeros(len(some), "int64")
+            for step, fewest in enumerate(least):
+                part = slice(step * BATCH, (step + 1) * BATCH)
+                matches = matches + (signed[some, part] == signed[x, part]).sum(axis=1)
+                some, matches = some[matches >= fewest], matches[matches >= fewest]
+                if not len(some):
+                    break
+            for y in some.tolist():
+                if labels[y] == labels[x]:
+                    continue
+                common = len(np.intersect1d(full[x], full[y], assume_unique=True))
+                if 100 * common >= percent * (counts[x] + counts[y] - common):
+                    found.append((ids[x], ids[y]))
+                    labels[labels == labels[y]] = labels[x]
+        return pa.Table.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return written(twice.groupBy("cluster", "low", "high").applyInArrow(link, "a bigint, b bigint"), "links-across")
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``kept``."""
     limit = percent / 100
@@ -177,12 +233,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id: str = "
     )
     mixed = labelled.where("id <> leader").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     open_members = written(labelled.where("id <> leader").join(mixed, "band", "left_semi").select("band", "id", "label"), "open-members")
-    one, two = open_members.alias("one"), open_members.alias("two")
-    more = one.join(two, (F.col("one.band") == F.col("two.band")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.label") != F.col("two.label")))
-    more = more.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
-    rest = written(likely(more, heads, limit), "likely-pairs")
-    if not rest.isEmpty():
-        labels = components(links.unionByName(confirmed(rest, texts, size, percent)))
+    if not open_members.isEmpty():
+        labels = components(links.unionByName(_links_across(open_members, heads, texts, size, percent)))
     named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
         "set_key", F.coalesce("component", "first").alias("component")
     ).join(classes.select("set_key", "n", "first"), "set_key").where("n > 1 OR component <> first").select("set_key", "component")
