@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, types as T
 
 MARK = "▁"
 REMEMBERED_CHARS = 40
-REMEMBERED_SEGMENTS = 350_000
+REMEMBERED_SEGMENTS = 200_000
 SHORT_SEGMENT = 16
 NEVER = float("inf")
 CHECKED_TEXTS = 2
@@ -205,10 +205,19 @@ def vocabulary(path: str) -> MergeVocabulary:
     return MergeVocabulary(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
-    """``df`` with the ids of column ``text``; ``path`` is the model file, present on every machine."""
-    schema = T.StructType([f for f in df.schema if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-    at = [f.name for f in schema][:-1]
+def encode(
+    df: DataFrame, path: str, text: str = "text", ids: str = "ids", end: bool = True, decoded: str | None = None
+) -> DataFrame:
+    """``df`` with the ids of column ``text``; ``path`` is the model file, present on every machine.
+
+    With ``decoded``, the text decoded from the ids goes into that column in the same pass: one worker, one vocabulary.
+    """
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded:
+        made.append(T.StructField(decoded, T.StringType(), False))
+    names = [f.name for f in made]
+    at = [f.name for f in df.schema if f.name not in names]
+    schema = T.StructType([df.schema[c] for c in at] + made)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -217,12 +226,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", end:
         model = vocabulary(path)
         tail = array("i", [model.end] if end else []).tobytes()
         for batch in batches:
-            encoded = model.encode_batch([t or "" for t in batch.column(text).to_pylist()])
+            encoded = [x + tail for x in model.encode_batch([t or "" for t in batch.column(text).to_pylist()])]
             starts = np.zeros(len(encoded) + 1, "int32")
-            np.cumsum([(len(x) + len(tail)) // 4 for x in encoded], out=starts[1:])
-            values = np.frombuffer(b"".join(x + tail for x in encoded), "int32")
-            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in at] + [lists], names=[*at, ids])
+            np.cumsum([len(x) // 4 for x in encoded], out=starts[1:])
+            columns = [pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(encoded), "int32")))]
+            if decoded:
+                columns.append(pa.array([model.decode(array("i", x).tolist()) for x in encoded], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in at] + columns, names=[*at, *names])
 
     return df.mapInArrow(run, schema)
 
