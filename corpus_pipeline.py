@@ -59,8 +59,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     ready(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), model), model)
-    return encoded.select(
+    return pieces.encode(docs.select("doc_id", "text"), model, decoded="decoded").select(
         "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
