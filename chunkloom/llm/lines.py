@@ -1,6 +1,6 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
-A line is normalised to its lower-case words (runs of letters and digits). Equal normalised lines are one line. Lines
+A line is normalised to its lower-case words (what stands between signs and spaces of Latin-1). Equal normalised lines are one line. Lines
 of five words and more get a 64-bit SimHash of their words; two of them are linked if the hashes differ in two bits at
 most and four fifths of the longer line need no edit. Of four blocks of 16 bits two agree then, so lines meet in an
 equi-join on each pair of blocks. The group of a line is its connected component; the first occurrence in the group
@@ -61,15 +61,18 @@ def _chunked(features: Column) -> Column:
     return F.element_at(F.transform(F.array(features), chunks), 1)
 
 
-def simhash(words: str) -> Column:
-    """SimHash of a column of words; long lists are hashed chunk by chunk, the chunk hashes again, and so on."""
-    once = F.transform(F.col(words), lambda w: F.xxhash64(w))
-    short = _majority(once)
-    return F.when(F.size(words) <= CHUNK, short).otherwise(F.element_at(_chunked(_chunked(_chunked(_chunked(once)))), 1))
+def simhash(features: str) -> Column:
+    """SimHash of a column of hashes; long lists are hashed chunk by chunk, the chunk hashes again, and so on."""
+    once = F.col(features)
+    return F.when(F.size(once) <= CHUNK, _majority(once)).otherwise(F.element_at(_chunked(_chunked(_chunked(_chunked(once)))), 1))
+
+
+# Characters of Latin-1 that are neither letters nor digits; Java looks such a class up in a table.
+_BETWEEN = r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7]+"
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), _BETWEEN), "")
 
 
 def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,7 +86,7 @@ def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     )
     return (
         lines.withColumn("norm", F.concat_ws(" ", "words")).where(F.length("norm") >= MIN_CHARS)
-        .withColumn("features", F.array_distinct("words"))
+        .withColumn("features", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
         .select(
             "doc", "line", F.unhex(F.md5("norm")).alias("key"),
             F.when(F.size("words") >= MIN_WORDS, simhash("features")).alias("simhash"),

@@ -137,7 +137,7 @@ def _lines_by_hand(rows):
     import re
 
     def words(line):
-        return [w for w in re.split(r"[\W_]+", line.lower()) if w]
+        return [w for w in re.split(lines._BETWEEN, line.lower()) if w]
     seen, where = {}, {}
     for doc, text in rows:
         for n, line in enumerate(text.split("\n")) if doc is not None and text is not None else ():
