@@ -12,7 +12,6 @@ class Options:
     split_chars: int = 800          # fallback splitter: largest piece
     split_overlap: int = 100        # fallback splitter: text shared by two pieces
     top_k: int = 15                 # hits per question after a build or load
-    top_k_unchanged: int = 10       # hits per question when nothing changed
     rerank_keep: int = 5
     context_words: int = 4000
     context_fill: float = 0.8

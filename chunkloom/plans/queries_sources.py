@@ -32,10 +32,11 @@ def scan_files(spark, sf):
     return found.select("project", "path", "ext", "size", F.sha2("raw", 256).alias("sha256"), "error")
 
 
-@query("read_text_lossy", f"""SELECT path, replace(content, chr(65533), '') AS content,
-  length(replace(content, chr(65533), '')) AS n_chars FROM ({o.PROSE_FILES})""")
+@query("read_text_lossy", f"""SELECT path, content || chr(65533) AS content, length(content) + 1 AS n_chars
+  FROM ({o.PROSE_FILES})""")
 def read_text_lossy(spark, sf):
-    bad = F.concat(F.unhex(F.lit("FF")), F.encode("content", "UTF-8"), F.unhex(F.lit("C3")))
+    genuine = F.concat("content", F.lit("\ufffd"))
+    bad = F.concat(F.unhex(F.lit("FF")), F.encode(genuine, "UTF-8"), F.unhex(F.lit("C3")))
     files = bridges.prose_files(spark, sf).select("path", bad.alias("raw"))
     return file_source.read_text_lossy(files).select("path", "content", F.length("content").cast("bigint").alias("n_chars"))
 

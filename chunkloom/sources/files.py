@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +18,6 @@ from chunkloom.functions import paths
 from chunkloom.session import scratch_path
 
 LISTING = "path string, is_dir boolean, size bigint, mtime timestamp"
-_FILES_PER_TASK = 2_000
 
 
 def _list_children(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -39,16 +39,16 @@ def _list_children(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 
 def list_tree(
-    spark: SparkSession, root: str, keep_dir: Callable[[DataFrame], DataFrame] | None = None, max_depth: int = 200
+    spark: SparkSession, root: str, keep_dir: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
     """All files below ``root``: ``path`` (relative), ``size``, ``mtime``.
 
-    One round per directory level. ``keep_dir`` filters the directories of a level before
+    One round per directory level, until a level has no directories. ``keep_dir`` filters the directories of a level before
     the walk goes deeper. Each level is written to the shared folder, so it is listed once.
     """
     folder = scratch_path(spark, "listing")
     level = spark.createDataFrame([("",)], "path string")
-    for depth in range(max_depth):
+    for depth in count():
         target = f"{folder}/level={depth}"
         spread = level.repartition(max(spark.sparkContext.defaultParallelism, 1))
         spread.mapInPandas(_list_children(root), LISTING).write.parquet(target)
@@ -111,8 +111,17 @@ def scan_files(
 
 
 def lossy_text(raw: Column) -> Column:
-    """UTF-8 text with undecodable bytes dropped and all line ends turned into newlines."""
-    text = F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 text with undecodable bytes dropped and all line ends turned into newlines.
+
+    The repair writes U+FFFD for bad bytes; those that the text has itself are set aside before it, in an escape that
+    can be undone whatever the text holds.
+    """
+    given = raw.cast("string")
+    mark, aside = "\ufdd0", [("\ufdd0", "\ufdd0\ufdd1"), ("\ufffd", "\ufdd0\ufdd2")]
+    held = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), aside, given)
+    bare = F.replace(F.make_valid_utf8(held), F.lit("\ufffd"), F.lit(""))
+    back = F.replace(F.replace(bare, F.lit(aside[1][1]), F.lit("\ufffd")), F.lit(aside[0][1]), F.lit(mark))
+    text = F.when(F.is_valid_utf8(given), given).otherwise(back)
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
