@@ -28,43 +28,28 @@ MIN_WORDS = 5
 MAX_BITS = 2
 # Longest line edits are allowed for: one in so many characters.
 EDIT_SHARE = 5
-# Words that byte-wide counters can add up before they are compared.
-CHUNK = 63
 BROADCAST_ROWS = 200_000
 
+# The lowest bit of each half of 64 bits.
+_TWO_FIELDS = (1 << 32) + 1
 _BLOCK_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
-def _majority(features: Column) -> Column:
-    """SimHash of up to 63 hashes. Eight words of eight byte counters hold the counts of the 64 bits."""
-    ones = F.lit(0x0101010101010101)            # the lowest bit of each byte
+def _counters(feature: str) -> list[Column]:
+    """Sums that count the 64 bits of a column of hashes: each of the 32 holds the counts of bit b and of bit b + 32."""
+    return [F.sum(F.shiftrightunsigned(feature, b).bitwiseAND(_TWO_FIELDS)).alias(f"c{b}") for b in range(32)]
 
-    def add(s: Column, h: Column) -> Column:
-        counters = [(s[f"c{b}"] + F.shiftrightunsigned(h, b).bitwiseAND(ones)).alias(f"c{b}") for b in range(8)]
-        return F.struct(*counters, (s["n"] + 1).alias("n"))
 
-    def over_half(s: Column) -> Column:
-        # A counter is over half of n exactly if adding 63 - n div 2 sets the bit of 64; none reaches 128.
-        return reduce(Column.bitwiseOR, [
-            F.shiftleft(F.shiftrightunsigned(s[f"c{b}"] + (63 - F.shiftright(s["n"], 1)) * ones, 6).bitwiseAND(ones), b) for b in range(8)
-        ])
+def _majority(n: str) -> Column:
+    """SimHash from the counters of ``n`` hashes: the bits that over half of them have.
 
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(name) for name in (*(f"c{b}" for b in range(8)), "n")])
-    return F.aggregate(features, zero, add, over_half)
-
-
-def _chunked(features: Column) -> Column:
-    """Hashes of the chunks of a list of hashes; a list of up to 63 gives one."""
-    def chunks(f: Column) -> Column:
-        last = F.floor((F.greatest(F.lit(1), F.size(f)) - 1) / CHUNK).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: _majority(F.slice(f, i * CHUNK + 1, F.lit(CHUNK))))
-    return F.element_at(F.transform(F.array(features), chunks), 1)
-
-
-def simhash(features: str) -> Column:
-    """SimHash of a column of hashes; long lists are hashed chunk by chunk, the chunk hashes again, and so on."""
-    once = F.col(features)
-    return F.when(F.size(once) <= CHUNK, _majority(once)).otherwise(F.element_at(_chunked(_chunked(_chunked(_chunked(once)))), 1))
+    A field is over half of n exactly if adding 2^30 - 1 - n div 2 sets its bit of 2^30;
+    counts stay below that.
+    """
+    more = (F.lit((1 << 30) - 1) - F.shiftright(n, 1)) * _TWO_FIELDS
+    return reduce(Column.bitwiseOR, [
+        F.shiftleft(F.shiftrightunsigned(F.col(f"c{b}") + more, 30).bitwiseAND(_TWO_FIELDS), b) for b in range(32)
+    ])
 
 
 # Characters of Latin-1 that are neither letters nor digits; Java looks such a class up in a table.
@@ -79,19 +64,22 @@ def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     """Every line that counts: document, line number, key of the normalised line, its SimHash.
 
     The words come out of the generator, so that no filter repeats the splitting. Each word counts once in the SimHash:
-    else the commonest words of a language would make all its lines alike.
+    else the commonest words of a language would make all its lines alike. Bits are counted by sums over rows of words,
+    combined per line before the shuffle, so that a line of any length is counted in compiled code and in full.
     """
     lines = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id).cast("bigint").alias("doc"), F.posexplode(F.transform(F.split(text, "\n"), line_words)).alias("line", "words")
     )
-    return (
+    words = (
         lines.withColumn("norm", F.concat_ws(" ", "words")).where(F.length("norm") >= MIN_CHARS)
-        .withColumn("features", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
-        .select(
-            "doc", "line", F.unhex(F.md5("norm")).alias("key"),
-            F.when(F.size("words") >= MIN_WORDS, simhash("features")).alias("simhash"),
-        )
+        .select("doc", "line", F.inline(F.array(F.struct(
+            F.unhex(F.md5("norm")).alias("key"), F.size("words").alias("n_words"),
+            F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("features"),
+        ))))
+        .select("doc", "line", "key", "n_words", F.explode("features").alias("feature"))
     )
+    counted = words.groupBy("doc", "line", "key").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"), *_counters("feature"))
+    return counted.select("doc", "line", "key", F.when(F.col("n_words") >= MIN_WORDS, _majority("n")).alias("simhash"))
 
 
 def _block_keys() -> Column:

@@ -124,13 +124,7 @@ def _simhash(words):
     import xxhash
 
     hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    def fold(values):
-        return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in values) > len(values) // 2)
-    if len(hashes) <= lines.CHUNK:
-        return fold(hashes)
-    while len(hashes) > 1:
-        hashes = [fold(hashes[i:i + lines.CHUNK]) for i in range(0, len(hashes), lines.CHUNK)]
-    return hashes[0]
+    return sum(1 << b for b in range(64) if sum(v >> b & 1 for v in hashes) > len(hashes) // 2)
 
 
 def _lines_by_hand(rows):
