@@ -113,9 +113,9 @@ def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=16)
-def prose_chunks(spark: SparkSession, sf_dir: str, splitter=None) -> DataFrame:
+def prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched chunks of the prose files, copies included."""
-    cut = cut_files(prose_files(spark, sf_dir), PROSE, splitter=splitter)
+    cut = cut_files(prose_files(spark, sf_dir), PROSE)
     return with_id(enrich_chunks(describe_chunks(cut, PROSE), PROSE))
 
 
@@ -142,9 +142,9 @@ def code_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
 
 
 @lru_cache(maxsize=16)
-def code_chunks(spark: SparkSession, sf_dir: str, lang: str, splitter=None) -> DataFrame:
+def code_chunks(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     profile = CODE_PROFILES[lang]
-    cut = cut_files(code_files(spark, sf_dir, lang), profile, splitter=splitter)
+    cut = cut_files(code_files(spark, sf_dir, lang), profile)
     return with_id(enrich_chunks(describe_chunks(cut, profile), profile))
 
 
@@ -163,8 +163,8 @@ def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=16)
-def web_chunks(spark: SparkSession, sf_dir: str, splitter=None) -> DataFrame:
-    cut = cut_files(web_files(spark, sf_dir), WEB, splitter=splitter)
+def web_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_files(web_files(spark, sf_dir), WEB)
     return with_id(enrich_chunks(describe_chunks(cut, WEB), WEB))
 
 

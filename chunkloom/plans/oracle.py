@@ -81,7 +81,7 @@ def code_files(lang: str) -> str:
 
 
 def bodies(profile: Profile) -> str:
-    """CTE tail: ``files`` to ``spans(path, bodies)``."""
+    """CTE tail: ``files`` to ``spans(path, content, bodies)``."""
     starts = []
     for p in profile.boundaries:
         gaps = f"list_transform(string_split_regex(content, {lit('(?m)' + p)}), lambda x: length(x))"
@@ -97,19 +97,76 @@ def bodies(profile: Profile) -> str:
     return f"""
       parts AS (SELECT path, content, {gaps_and_hits} FROM files),
       starts AS (SELECT path, content, list_sort(list_distinct({merged})) AS b FROM parts),
-      spans AS (SELECT path, list_filter(list_transform(range(1, len(b) + 1), lambda k: {span}),
+      spans AS (SELECT path, content, list_filter(list_transform(range(1, len(b) + 1), lambda k: {span}),
                                          lambda s: length(s) > 100) AS bodies FROM starts)"""
 
 
+SEPARATORS_SQL = f"[{NL} || {NL}, {NL}, '. ', ' ', '']"
+
+
+def _separator(text: str, first: str) -> str:
+    """Number of the first separator from ``first`` on that ``text`` holds; 5 is the cut into characters."""
+    tests = " ".join(f"WHEN {first} <= {i} AND contains({text}, {SEPARATORS_SQL}[{i}]) THEN {i}" for i in range(1, 5))
+    return f"CASE {tests} ELSE 5 END"
+
+
+def _pieces(text: str, at: str) -> str:
+    """``text`` cut before each separator, without empty pieces."""
+    after = f"list_transform(string_split({text}, {SEPARATORS_SQL}[{at}])[2:], lambda x: {SEPARATORS_SQL}[{at}] || x)"
+    return (
+        f"CASE WHEN {at} = 5 THEN list_transform(range(1, length({text}) + 1), lambda k: substr({text}, k, 1)) "
+        f"ELSE list_filter(list_concat([string_split({text}, {SEPARATORS_SQL}[{at}])[1]], {after}), lambda x: x <> '') END"
+    )
+
+
+def generic_split(source: str, size: int = 800, overlap: int = 100) -> str:
+    """SELECT of ``(rid, path, bodies)``: the texts of ``source(rid, path, content)`` cut without regard to their content.
+
+    ``nodes`` are texts cut at one separator; a piece that is too long becomes a node at the next one. Runs of short
+    pieces are ``runs`` with their prefix sums ``l``. ``windows`` slides over a run: ``s`` is the first piece of a window,
+    ``e`` the first one that no longer fits.
+    """
+    follow = "list_filter(range({k} + 1, n + 1), lambda j: l[j + 1] - l[{s}] > " + str(size) + ")[1]"
+    start = (
+        f"list_filter(range(s, e + 1), lambda j: l[e] - l[j] <= {overlap} AND (l[e] = l[j] OR l[e + 1] - l[j] <= {size}))[1]"
+    )
+    return f"""WITH RECURSIVE
+      nodes AS (
+        SELECT rid, path, []::BIGINT[] AS pos, sep, {_pieces('content', 'sep')} AS pieces
+          FROM (SELECT *, {_separator('content', '1')} AS sep FROM {source})
+        UNION ALL
+        SELECT rid, path, list_append(pos, i) AS pos, sep, {_pieces('piece', 'sep')} AS pieces
+          FROM (SELECT rid, path, pos, i, piece, {_separator('piece', 'finer')} AS sep
+            FROM (SELECT rid, path, pos, sep + 1 AS finer, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece
+              FROM nodes WHERE sep < 5) WHERE length(piece) >= {size})),
+      items AS (SELECT rid, path, pos, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece FROM nodes),
+      numbered_runs AS (SELECT *, count_if(length(piece) >= {size}) OVER (PARTITION BY rid, pos ORDER BY i) AS run FROM items),
+      sums AS (SELECT *, sum(length(piece)) OVER (PARTITION BY rid, pos, run ORDER BY i)::BIGINT AS upto
+        FROM numbered_runs WHERE length(piece) < {size}),
+      runs AS (SELECT rid, path, pos, min(i) AS first, string_agg(piece, '' ORDER BY i) AS text,
+          list_concat([0::BIGINT], list(upto ORDER BY i)) AS l, count(*) AS n FROM sums GROUP BY rid, path, pos, run),
+      windows AS (
+        SELECT *, 1::BIGINT AS s, {follow.format(k='1', s='1')} AS e FROM runs
+        UNION ALL
+        SELECT rid, path, pos, first, text, l, n, s2 AS s, {follow.format(k='e', s='s2')} AS e
+          FROM (SELECT *, {start} AS s2 FROM windows WHERE e IS NOT NULL)),
+      filled AS (SELECT rid, path, list_concat(pos, [first, s]) AS place,
+          {strip('substr(text, l[s] + 1, l[coalesce(e, n + 1)] - l[s])')} AS piece FROM windows)
+      SELECT rid, path, list(piece ORDER BY place) AS bodies FROM filled WHERE piece <> '' GROUP BY rid, path"""
+
+
 def cut(profile: Profile) -> str:
-    """CTE tail: ``spans`` to ``cut(path, chunk_index, body, content, has_prev_context, has_next_context)``."""
+    """CTE tail: ``spans`` to ``cut(path, is_semantic, chunk_index, body, content, has_prev_context, has_next_context)``."""
     return f"""{bodies(profile)},
-      numbered AS (SELECT path, bodies, unnest(range(1, len(bodies) + 1)) AS i FROM spans WHERE len(bodies) > 0),
-      edges_ AS (SELECT path, i - 1 AS chunk_index, bodies[i] AS body,
+      rest AS (SELECT row_number() OVER () AS rid, path, content FROM spans WHERE len(bodies) = 0 AND content <> ''),
+      split_ AS (SELECT * FROM ({generic_split('rest')})),
+      numbered AS (SELECT path, true AS is_semantic, bodies, unnest(range(1, len(bodies) + 1)) AS i FROM spans WHERE len(bodies) > 0
+        UNION ALL SELECT path, false AS is_semantic, bodies, unnest(range(1, len(bodies) + 1)) AS i FROM split_),
+      edges_ AS (SELECT path, is_semantic, i - 1 AS chunk_index, bodies[i] AS body,
                    coalesce(i > 1 AND length(bodies[i - 1]) > 100, false) AS has_prev_context,
                    coalesce(length(bodies[i + 1]) > 100, false) AS has_next_context,
                    right(bodies[i - 1], 100) AS before, substr(bodies[i + 1], 1, 100) AS after FROM numbered),
-      cut AS (SELECT path, chunk_index, body, has_prev_context, has_next_context,
+      cut AS (SELECT path, is_semantic, chunk_index, body, has_prev_context, has_next_context,
                 CASE WHEN has_prev_context THEN '...' || before || {NL} || {NL} ELSE '' END || body ||
                 CASE WHEN has_next_context THEN {NL} || {NL} || after || '...' ELSE '' END AS content FROM edges_)"""
 
@@ -175,12 +232,12 @@ def chunks(profile: Profile, files: str) -> str:
     return f"""files AS ({files}),{cut(profile)},
       typed AS (SELECT *, path || '#' || chunk_index AS id, {text_ext('path')} AS file_type FROM cut),
       described AS (SELECT *, {text} AS txt,
-          CASE {types} ELSE 'other' END AS type,
-          coalesce({names}, {first_line('body')}) AS name,
-          {all_captures('body', CLASS_SYMBOLS)} AS class_symbols,
-          {all_captures('body', FUNCTION_SYMBOLS)} AS function_symbols,
-          ({' + '.join(points)})::DOUBLE AS semantic_score,
-          length(body) AS chunk_size,
+          CASE WHEN NOT is_semantic THEN 'text' {types} ELSE 'other' END AS type,
+          coalesce(CASE WHEN is_semantic THEN {names} END, {first_line('body')}) AS name,
+          CASE WHEN is_semantic THEN {all_captures('body', CLASS_SYMBOLS)} ELSE [] END AS class_symbols,
+          CASE WHEN is_semantic THEN {all_captures('body', FUNCTION_SYMBOLS)} ELSE [] END AS function_symbols,
+          CASE WHEN is_semantic THEN ({' + '.join(points)})::DOUBLE END AS semantic_score,
+          CASE WHEN is_semantic THEN length(body) END AS chunk_size,
           '[{profile.name.upper()}] From ' || string_split(path, '/')[-1] || ': ' || {first} AS summary,
           sha256(content) AS fingerprint,
           has_prev_context OR has_next_context AS has_context_overlap

@@ -14,7 +14,7 @@ from chunkloom.plans.build import build_chunks
 from chunkloom.plans.registry import flat, query
 
 
-@query("chunk_segments", o.prose("SELECT path, chunk_index, body, length(body) AS chunk_size FROM chunks"))
+@query("chunk_segments", o.prose("SELECT path, chunk_index, body, chunk_size FROM chunks"))
 def chunk_segments(spark, sf):
     return flat(bridges.prose_chunks(spark, sf), "path", "chunk_index", "body", "chunk_size")
 
@@ -47,14 +47,19 @@ def stats(spark, sf):
     return build_stats(bridges.prose_files(spark, sf), chunks, F.col("has_semantic_anchors"))
 
 
-@query("generic_split")
+@query("generic_split", f"""WITH rest AS (SELECT doc_id AS rid, path, content FROM ({o.PROSE_FILES}) WHERE content <> ''),
+  split_ AS (SELECT * FROM ({o.generic_split('rest')}))
+  SELECT path, i - 1 AS chunk_index, bodies[i] AS content FROM (SELECT path, bodies, unnest(range(1, len(bodies) + 1)) AS i FROM split_)""")
 def generic_split(spark, sf):
     """The fallback splitter over every document."""
     files = bridges.prose_files(spark, sf)
     return files.select("path", F.posexplode(recursive_split(F.col("content"))).alias("chunk_index", "content"))
 
 
-@query("full_build")
+@query("full_build", o.prose("""SELECT id, path, chunk_index, type, name, summary, fingerprint, has_semantic_anchors,
+    nullif(array_to_string(class_names, ', '), '') AS class_names,
+    nullif(array_to_string(function_names, ', '), '') AS function_names, 'prose' AS project_type
+  FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY path, chunk_index) AS r FROM chunks) WHERE r = 1"""))
 def full_build(spark, sf):
     """Every document through the whole job: semantic cut or fallback, duplicates removed, metadata."""
     files = bridges.prose_files(spark, sf).select("path", "content")

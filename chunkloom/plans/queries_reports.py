@@ -274,9 +274,12 @@ def file_coverage(spark, sf):
     return d.file_coverage(bridges.prose_files(spark, sf), chunks(spark, sf))
 
 
-@query("missing_files", o.prose(f"SELECT path FROM ({o.PROSE_FILES}) WHERE path NOT IN (SELECT path FROM chunks)"))
+@query("missing_files", o.prose(rf"""SELECT path FROM ({o.PROSE_FILES}) WHERE path NOT IN (
+  SELECT path FROM chunks WHERE regexp_extract(path, '/(\d+)\.', 1)::BIGINT IN (SELECT doc_id FROM labels))"""))
 def missing_files(spark, sf):
-    return d.missing_files(bridges.prose_files(spark, sf), chunks(spark, sf), None)
+    """Files without a chunk in the index of the older snapshot, which knew the labelled documents only."""
+    labelled = bridges.table(spark, sf, "labels").select("doc_id")
+    return d.missing_files(bridges.prose_files(spark, sf), chunks(spark, sf).join(labelled, "doc_id", "left_semi"), None)
 
 
 # -- bundles -----------------------------------------------------------------------------------
