@@ -298,6 +298,7 @@ _QUICK = (
     ("database_info", "1::BIGINT"), ("chunk_distribution", f"(SELECT count(DISTINCT {BAND}) FROM chunks)"),
     ("metadata_completeness", "1"), ("top_files", _FILES10), ("chunk_types", "(SELECT count(DISTINCT type) FROM chunks)"))
 _CHUNKING = (
+    ("very_short_chunks", "(SELECT count(*) FROM chunks WHERE length(content) < 50)"),
     ("very_long_chunks", f"(SELECT least(count(*), 10) FROM chunks WHERE {L} > 3000)"), ("file_distribution", _FILES15))
 _META = (
     ("missing_metadata", "(SELECT least(count(*), 20) FROM chunks WHERE len(class_names) = 0 OR len(function_names) = 0 OR screen_name IS NULL)"),
