@@ -256,7 +256,7 @@ def rerank(spark, sf):
 
 
 RANKED = """ranked2 AS (SELECT *, has_semantic_anchors AS anchored,
-    semantic_score + CASE WHEN has_semantic_anchors THEN 10 ELSE 0 END AS sort_score FROM rows),
+    coalesce(semantic_score, 0) + CASE WHEN has_semantic_anchors THEN 10 ELSE 0 END AS sort_score FROM rows),
   positions AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY anchored DESC, sort_score DESC, rank) AS position,
     count(*) FILTER (anchored) OVER (PARTITION BY question_id) AS n_anchored FROM ranked2)"""
 FORM = f"""{o.NL} || '### 📄 ' || path || coalesce(' [' || screen_name || ']', '') || ' (' || coalesce(chunk_hierarchy, type) || ')'
@@ -282,7 +282,7 @@ CONTEXT = f"""contexts AS (SELECT question_id, count(*) FILTER (taken) AS n_chun
   concat_ws({o.NL}, {o.NL} || '## 🔍 Retrieved Code Chunks (Similarity)' || {o.NL}, nullif(string_agg(text, {o.NL} ORDER BY position) FILTER (taken), ''),
     CASE WHEN bool_or(NOT within) THEN '...[Context window limit: ' || coalesce(sum(words) FILTER (taken), 0)::BIGINT || ' tokens]...' END,
     CASE WHEN max(n_anchored) > 0 THEN {o.NL} || '✅ Found ' || max(n_anchored) || ' chunks with strong semantic anchors (avg score: '
-      || printf('%.1f', round_even(avg(semantic_score) FILTER (anchored), 1)) || ')' || {o.NL}
+      || printf('%.1f', round_even(avg(coalesce(semantic_score, 0)) FILTER (anchored), 1)) || ')' || {o.NL}
     ELSE {o.NL} || '⚠️ No context blocks with strong semantic anchors found. Results may be less relevant.' || {o.NL} END) AS context
   FROM packed GROUP BY question_id)"""
 
