@@ -30,30 +30,55 @@ MAX_BITS = 2
 EDIT_SHARE = 5
 BROADCAST_ROWS = 200_000
 
-# The lowest bit of each half of 64 bits.
-_TWO_FIELDS = (1 << 32) + 1
+# Distinct words that one packed counter can count: eight fields of a long, below 2^7 each.
+CHUNK_WORDS = 127
+
 _BLOCK_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+# The lowest bit of each of eight, four and two equal fields of 64 bits.
+_EIGHT_FIELDS, _FOUR_FIELDS, _TWO_FIELDS = (sum(1 << i for i in range(0, 64, width)) for width in (8, 16, 32))
 
 
-def _counters(feature: str) -> list[Column]:
-    """Sums that count the 64 bits of a column of hashes: each of the 32 holds the counts of bit b and of bit b + 32."""
-    return [F.sum(F.shiftrightunsigned(feature, b).bitwiseAND(_TWO_FIELDS)).alias(f"c{b}") for b in range(32)]
+def _or(parts: list[Column]) -> Column:
+    return reduce(Column.bitwiseOR, parts)
 
 
-def _majority(n: str) -> Column:
-    """SimHash from the counters of ``n`` hashes: the bits that over half of them have.
+def _packed(feature: str) -> list[Column]:
+    """Sums that count the 64 bits of at most ``CHUNK_WORDS`` hashes: field k of sum j counts bit 8 k + j."""
+    return [F.sum(F.shiftrightunsigned(feature, j).bitwiseAND(_EIGHT_FIELDS)).alias(f"p{j}") for j in range(8)]
+
 
-    A field is over half of n exactly if adding 2^30 - 1 - n div 2 sets its bit of 2^30;
-    counts stay below that.
+def _packed_majority(n: str) -> Column:
+    """SimHash from the packed sums of ``n`` hashes: the bits that over half of them have.
+
+    A count is over half of n exactly if adding 2^7 - 1 - n div 2 sets its bit of 2^7. Fields are taken in two halves,
+    which leaves room for that bit.
     """
-    more = (F.lit((1 << 30) - 1) - F.shiftright(n, 1)) * _TWO_FIELDS
-    return reduce(Column.bitwiseOR, [
-        F.shiftleft(F.shiftrightunsigned(F.col(f"c{b}") + more, 30).bitwiseAND(_TWO_FIELDS), b) for b in range(32)
+    more = (F.lit(CHUNK_WORDS) - F.shiftright(n, 1)) * F.lit(_FOUR_FIELDS)
+    def over(j: int, k: int) -> Column:
+        fields = F.shiftrightunsigned(f"p{j}", 8 * k).bitwiseAND(F.lit(_FOUR_FIELDS * 0xFF))
+        return F.shiftleft(F.shiftrightunsigned(fields + more, 7).bitwiseAND(F.lit(_FOUR_FIELDS)), 8 * k + j)
+    return _or([over(j, k) for j in range(8) for k in range(2)])
+
+
+def _counters() -> list[Column]:
+    """Sums over packed sums: field k of sum b counts bit b + 32 k, up to 2^30."""
+    return [
+        F.sum(F.shiftrightunsigned(f"p{b % 8}", b // 8 * 8).bitwiseAND(F.lit(_TWO_FIELDS * 0xFF))).alias(f"c{b}") for b in range(32)
+    ]
+
+
+def _majority(n: str) -> Column:
+    """SimHash from ``_counters`` of ``n`` hashes, as above with 2^30."""
+    more = (F.lit((1 << 30) - 1) - F.shiftright(n, 1)) * F.lit(_TWO_FIELDS)
+    return _or([
+        F.shiftleft(F.shiftrightunsigned(F.col(f"c{b}") + more, 30).bitwiseAND(F.lit(_TWO_FIELDS)), b) for b in range(32)
     ])
 
 
-# Characters of Latin-1 that are neither letters nor digits; Java looks such a class up in a table.
-_BETWEEN = r"[\x00-/:-@\[-`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7]+"
+# Characters of Latin-1 that are neither letters nor digits, one by one: Java looks such a class up in a table, ranges not.
+_BETWEEN = "[" + "".join(
+    f"\\x{c:02x}" for c in range(256) if not chr(c).isalpha() and not 0x30 <= c <= 0x39
+) + "]++"
 
 
 def line_words(line: Column) -> Column:
@@ -65,7 +90,8 @@ def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
 
     The words come out of the generator, so that no filter repeats the splitting. Each word counts once in the SimHash:
     else the commonest words of a language would make all its lines alike. Bits are counted by sums over rows of words,
-    combined per line before the shuffle, so that a line of any length is counted in compiled code and in full.
+    combined per line before the shuffle, so that a line of any length is counted in compiled code and in full. Eight
+    sums count up to ``CHUNK_WORDS`` words of a line; the chunks of a longer line are added up by a second aggregation.
     """
     lines = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id).cast("bigint").alias("doc"), F.posexplode(F.transform(F.split(text, "\n"), line_words)).alias("line", "words")
@@ -76,10 +102,17 @@ def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
             F.unhex(F.md5("norm")).alias("key"), F.size("words").alias("n_words"),
             F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("features"),
         ))))
-        .select("doc", "line", "key", "n_words", F.explode("features").alias("feature"))
+        .select("doc", "line", "key", F.when(F.col("n_words") >= MIN_WORDS, F.size("features")).alias("n"), F.posexplode("features").alias("at", "feature"))
+    )
+    chunks = written(
+        words.groupBy("doc", "line", "key", F.expr(f"at div {CHUNK_WORDS}").alias("chunk")).agg(F.max("n").alias("n"), *_packed("feature")),
+        "line-occurrences",
+    )
+    short = chunks.where(F.col("n").isNull() | (F.col("n") <= CHUNK_WORDS))
+    long = chunks.where(F.col("n") > CHUNK_WORDS).groupBy("doc", "line", "key").agg(F.max("n").alias("n"), *_counters())
+    return short.select("doc", "line", "key", _packed_majority("n").alias("simhash")).unionByName(
+        long.select("doc", "line", "key", _majority("n").alias("simhash"))
     )
-    counted = words.groupBy("doc", "line", "key").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"), *_counters("feature"))
-    return counted.select("doc", "line", "key", F.when(F.col("n_words") >= MIN_WORDS, _majority("n")).alias("simhash"))
 
 
 def _block_keys() -> Column:
@@ -110,14 +143,14 @@ def _similar(pairs: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text
         pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb")), "b")
         .where(F.abs(F.length("na") - F.length("nb")) <= most).withColumn("most", most)
-        # A narrow band settles most pairs; only the others need the wide one.
-        .where((F.expr("levenshtein(na, nb, most div 8)") >= 0) | (F.expr("levenshtein(na, nb, most)") >= 0)).select("a", "b")
+        # A narrow band settles most pairs; only the others need wider ones.
+        .where(reduce(Column.__or__, [F.expr(f"levenshtein(na, nb, CAST(most div {n} AS INT))") >= 0 for n in (64, 16, 4, 1)])).select("a", "b")
     )
 
 
 def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``line`` of every occurrence that is not the first of its group."""
-    occ = written(occurrences(df, id, text), "line-occurrences")
+    occ = occurrences(df, id, text)
     distinct = written(
         occ.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"))
         .select("key", "first.doc", "first.line", "simhash", "n").withColumn("line_id", F.monotonically_increasing_id()), "distinct-lines",
