@@ -323,7 +323,7 @@ def answer(spark, sf):
     numbered = asked_.join(bridges.questions(spark, sf).select("question_id", F.col("conv_id").alias("query_id")), "question_id")
     store = _first_chunks(spark, sf).join(bridges.vectors(spark, sf), "vec_id")
     per_question = numbered.join(vecs, "query_id").select(F.col("question_id").alias("query_id"), "embedding")
-    return answer_batch(asked_, per_question, store, PROSE, OPTIONS).select("question_id", "intent", "prompt_preview")
+    return answer_batch(asked_, per_question, store, PROSE, OPTIONS).select("question_id", "intent", "prompt", "prompt_preview")
 
 
 @query("context_overview", o.prose(f"""SELECT path, '▶️ ' || path || ':' || {o.NL} || arg_min({o.preview('content', 300)}, chunk_index) || {o.NL} || {o.NL} AS text
