@@ -109,6 +109,51 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 FROM f"""
 
 
+_PHRASES = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, CAST(k AS BIGINT) AS k, array_to_string(w[i:i+k-1], ' ') AS phrase FROM i, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (
+  SELECT lang, phrase, k, f AS a, c AS cut, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[c+1:], ' ') AS tail
+  FROM f, range(1, 5) t(c) WHERE c < k),
+s AS (
+  SELECT c.lang, c.phrase, c.k, a, h.f AS l, t.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score, cut
+  FROM c JOIN f h ON h.lang = c.lang AND h.phrase = head JOIN f t ON t.lang = c.lang AND t.phrase = tail JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (
+  SELECT DISTINCT lang, array_to_string(string_split(phrase, ' ')[j:j+m-1], ' ') AS phrase, a
+  FROM b, range(1, 5) t(j), range(2, 5) u(m) WHERE m < k AND j + m - 1 <= k),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = b.lang AND x.phrase = b.phrase AND 100 * x.a >= 100 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000"""
+
+_INFILL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS plain, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS spm FROM h),
+f AS (
+  SELECT doc_id, text, n, least(a, b) AS x, greatest(a, b) AS y,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR plain >= 90 THEN 'plain'
+      WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(text, 1, x) AS prefix, substr(text, x + 1, y - x) AS middle, substr(text, y + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
+
+
 def build(shard_bytes: int, rules: list[tuple[str, str, str]]) -> dict[str, str]:
     values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in rules)
     return {
@@ -119,4 +164,6 @@ def build(shard_bytes: int, rules: list[tuple[str, str, str]]) -> dict[str, str]
         "op6_chat_formatting": _CHAT,
         "op7_suffix_dedup": _REPEATS,
         "op10_warc": _WARC,
+        "op11_phrases": _PHRASES,
+        "op13_fill_in_middle": _INFILL,
     }

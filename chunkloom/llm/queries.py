@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import chat, decontaminate, lines, minhash, oracles, pieces, quality, repeats, shards, urls, warc
+from chunkloom.llm import (
+    bytepairs, chat, decontaminate, infill, lines, minhash, oracles, phrases, pieces, quality, repeats, shards, urls, warc,
+)
 from chunkloom.llm.common import ready, table
 
 SHARD_BYTES = 1_000_000
@@ -14,10 +16,10 @@ RULES = [
 ]
 
 
-def _model() -> str:
+def _vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), _model(), decoded="decoded").select(
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocabulary("piece_bpe_32k.model"), decoded="decoded").select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -85,9 +87,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytepairs.encode(documents, _vocabulary("byte_bpe_50k.json"), decoded="decoded").select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infill.transform(documents, restored="restored").select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_quality_rules, op3_sentencepiece, op4_minhash, op5_url_filters, op6_chat_formatting, op7_suffix_dedup,
-    op8_decontamination, op9_line_dedup, op10_warc,
+    op8_decontamination, op9_line_dedup, op10_warc, op11_phrases, op12_byte_bpe, op13_fill_in_middle,
 )}
 
 ORACLES: dict[str, str] = oracles.build(SHARD_BYTES, RULES)
