@@ -13,7 +13,8 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chunkloom.session import SMALL_ROWS, is_small
+from chunkloom.session import scratch_path
+from chunkloom.sources.stores import read_table as read_written
 
 HITS = "query_id bigint, vec_id bigint, distance double"
 
@@ -91,62 +92,150 @@ def _keep_best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def topk_search(queries: DataFrame, store: DataFrame, k: int, query_limit: int = SMALL_ROWS, block_rows: int = 4096) -> DataFrame:
-    """Exact k nearest store vectors per query: ``query_id, vec_id, distance, rank``.
-
-    ``queries(query_id, embedding)``, ``store(vec_id, embedding)``; squared L2, ties by id.
-    Few queries (checked) travel to the store's partitions, which are scanned in place and
-    answer with at most k rows per query and task. Many queries meet the store in blocks.
-    No pair of a query and a vector is ever materialised as a row.
-    """
-    if is_small(queries, query_limit):
-        return _keep_best(_scan_store(queries, store, k), k)
-    return _keep_best(_meet_in_blocks(queries, store, k, block_rows), k)
+# Store vectors that centres are taken from, centres, bytes of one block of queries, queries compared at a time.
+SAMPLE_ROWS = 4096
+CENTRES = 32
+BLOCK_BYTES = 32 << 20
+QUERY_ROWS = 2048
 
 
-def _scan_store(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", "embedding").collect()    # at most query_limit rows
-    ids = np.array([r.query_id for r in rows], dtype="int64")
-    matrix = np.array([r.embedding for r in rows], dtype="float64")
-    shipped = store.sparkSession.sparkContext.broadcast((ids, matrix))
+def topk_search(queries: DataFrame, store: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact k nearest store vectors per query: ``query_id, vec_id, distance, rank``.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, points = shipped.value
-        best: pd.DataFrame | None = None
+    ``queries(query_id, embedding)``, ``store(vec_id, embedding)``; squared L2, ties by id. Vectors are compared with
+    vectors of their own length; null ones with none. The store is scanned where it lies, once per block of queries of
+    at most ``block_bytes``; a task parts what it reads by the nearest of a few centres, and a query skips a part when
+    the triangle inequality shows that nothing in it can be among its k nearest. Tasks answer with k rows per query.
+    """
+    hits = _search(queries, store, k, block_bytes).where("query_id IS NOT NULL")
+    return _keep_best(hits, k)
+
+
+def search_pruning(queries: DataFrame, store: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row: how many times a query met a part of the store (``pairs``), and how many of them were ``skipped`` unread."""
+    met = _search(queries, store, k, block_bytes).where("query_id IS NULL")
+    return met.agg(F.coalesce(F.sum("vec_id"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("distance").cast("bigint"), F.lit(0)).alias("skipped"))
+
+
+def _search(queries: DataFrame, store: DataFrame, k: int, block_bytes: int) -> DataFrame:
+    """Hits of all blocks, and per task one row without a query id that counts parts met and skipped."""
+    spark = store.sparkSession
+    folder = scratch_path(spark, "search")
+    asked = queries.where("embedding IS NOT NULL").select("query_id", "embedding", F.size("embedding").alias("dims"))
+    lengths = asked.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()     # distinct lengths: a handful
+    for length in lengths:
+        own = store.where(F.size("embedding") == length.dims).select("vec_id", "embedding")
+        sample = np.array([r.embedding for r in own.limit(SAMPLE_ROWS).collect()], dtype="float64")
+        centres = sample[:: max(1, len(sample) // CENTRES)][:CENTRES]
+        known = spark.sparkContext.broadcast((sample, centres))
+        blocks = max(1, -(-length.n * (8 * length.dims + 24) // block_bytes))
+        dealt = f"{folder}-queries-{length.dims}"
+        (
+            asked.where(F.col("dims") == length.dims)
+            .mapInPandas(_bounded(known, k), "query_id bigint, embedding array<float>, bound double")
+            .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+            .write.partitionBy("block").parquet(dealt)
+        )
+        for block in range(blocks):
+            # At most a block of queries is on the driver at a time; the blocks are even, since they are dealt by hash.
+            part = spark.read.schema("query_id bigint, embedding array<float>, bound double, block int").parquet(dealt).where(F.col("block") == block)
+            rows = part.select("query_id", "embedding", "bound").collect()
+            if rows:
+                shipped = spark.sparkContext.broadcast((
+                    np.array([r.query_id for r in rows], dtype="int64"), np.array([r.embedding for r in rows], dtype="float64"),
+                    np.array([r.bound for r in rows], dtype="float64"),
+                ))
+                own.mapInPandas(_scan(shipped, known, k), HITS).write.mode("append").parquet(folder)
+                shipped.unpersist()
+        known.unpersist()
+    return read_written(spark, folder, HITS)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, by a matrix product: rough in the last digits."""
+    return np.maximum((a ** 2).sum(axis=1)[:, None] + (b ** 2).sum(axis=1)[None, :] - 2.0 * (a @ b.T), 0.0)
+
+
+def _bounded(known, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Queries with an upper bound of their k-th distance: that within a sample of the store."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample, _ = known.value
         for batch in batches:
-            if not len(batch) or not len(query_ids):
-                continue
-            q, vec, distance = _nearest(batch["vec_id"].to_numpy(), _matrix(batch["embedding"]), points, k)
-            found = pd.DataFrame({"query_id": query_ids[q], "vec_id": vec, "distance": distance})
-            best = found if best is None else pd.concat([best, found])
-            if len(best) > len(query_ids) * k:
-                best = best.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+            bounds = np.full(len(batch), np.inf)
+            if len(sample) >= k:
+                points = _matrix(batch["embedding"])
+                for a in range(0, len(batch), QUERY_ROWS):
+                    near = _distances(points[a:a + QUERY_ROWS], sample)
+                    bounds[a:a + QUERY_ROWS] = np.partition(near, k - 1, axis=1)[:, k - 1]
+            yield pd.DataFrame({"query_id": batch["query_id"], "embedding": batch["embedding"], "bound": bounds})
+    return run
 
-    return store.select("vec_id", "embedding").mapInPandas(scan, HITS)
 
+def _slack(bound: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Squared bounds with room for rounding; ``scale`` is the size of the squares that went into a product."""
+    return bound + 1e-9 * (1.0 + scale + np.where(np.isfinite(bound), bound, 0.0))
 
-def _meet_in_blocks(queries: DataFrame, store: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Blocks of queries and blocks of store vectors meet on a block-pair key.
 
-    Rows are dealt to blocks by hash, so every block has about ``block_rows`` rows whatever
-    the data looks like; queries are repeated once per store block and store vectors once
-    per query block, and a pair of blocks answers with k rows per query.
-    """
-    store_blocks = max(1, -(-store.count() // block_rows))
-    query_blocks = max(1, -(-queries.count() // block_rows))
+class _Best:
+    """The k best hits so far of every query of a block, ties by id."""
 
-    def dealt(df: DataFrame, id_: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.select(
-            id_, "embedding", F.pmod(F.xxhash64(id_), F.lit(blocks)).alias(mine),
-            F.explode(F.expr(f"sequence(0L, {others - 1}L)")).alias(other),
-        )
+    def __init__(self, bounds: np.ndarray, k: int):
+        self.k, self.bounds = k, bounds.copy()
+        self.rows, self.ids, self.distances = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> None:
+        rows, ids, distances = (np.concatenate(p) for p in ((self.rows, rows), (self.ids, ids), (self.distances, distances)))
+        order = np.lexsort((ids, distances, rows))
+        rows, ids, distances = rows[order], ids[order], distances[order]
+        first = np.searchsorted(rows, rows)             # where the hits of the same query begin
+        place = np.arange(len(rows)) - first
+        full = rows[place == self.k - 1]
+        self.bounds[full] = np.minimum(self.bounds[full], distances[place == self.k - 1])
+        keep = place < self.k
+        self.rows, self.ids, self.distances = rows[keep], ids[keep], distances[keep]
 
-    left = dealt(queries, "query_id", "qb", query_blocks, "sb", store_blocks)
-    right = dealt(store, "vec_id", "sb", store_blocks, "qb", query_blocks)
 
-    return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInPandas(_meet(k), HITS)
+def _scan(shipped, known, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One block of queries against a task's part of the store."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query_ids, queries, bounds = shipped.value
+        _, centres = known.value
+        best, pairs, skipped = _Best(bounds, k), 0, 0
+        squares = (queries ** 2).sum(axis=1)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, points = batch["vec_id"].to_numpy(), _matrix(batch["embedding"])
+            nearest = _distances(points, centres).argmin(axis=1)
+            for centre in np.unique(nearest):
+                own = np.flatnonzero(nearest == centre)
+                part = points[own]
+                middle = part.mean(axis=0, keepdims=True)
+                radius = np.sqrt(((part - middle) ** 2).sum(axis=1).max())
+                for a in range(0, len(queries), QUERY_ROWS):
+                    some = slice(a, a + QUERY_ROWS)
+                    # Nothing in the part is nearer than the way to its middle less its radius.
+                    least = np.maximum(np.sqrt(_distances(queries[some], middle)[:, 0]) - radius, 0.0) ** 2
+                    scale = squares[some] + (middle ** 2).sum() + radius ** 2
+                    open_ = a + np.flatnonzero(least <= _slack(best.bounds[some], scale))
+                    pairs += len(least)
+                    skipped += len(least) - len(open_)
+                    if not len(open_):
+                        continue
+                    rough = _distances(queries[open_], part)
+                    limit = _slack(best.bounds[open_], squares[open_] + (part ** 2).sum(axis=1).max())
+                    if part.shape[0] > k:
+                        limit = np.minimum(limit, _slack(np.partition(rough, k - 1, axis=1)[:, k - 1], squares[open_] + (part ** 2).sum(axis=1).max()))
+                    q, v = np.nonzero(rough <= limit[:, None])
+                    exact = np.zeros(len(q))
+                    for d in range(points.shape[1]):        # term by term: the same sum however the store is read
+                        exact += (part[v, d] - queries[open_[q], d]) ** 2
+                    best.add(open_[q], ids[own[v]], exact)
+        yield pd.DataFrame({
+            "query_id": pd.array([*query_ids[best.rows].tolist(), None], dtype="Int64"),
+            "vec_id": [*best.ids.tolist(), pairs], "distance": [*best.distances.tolist(), float(skipped)],
+        })
+    return run
 
 
 def _meet(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:

@@ -38,35 +38,39 @@ def full_build(
     files: DataFrame, profile: Profile, store: str, tracking_table: str | None = None, options: Options = Options(),
     splitter=recursive_split,
 ) -> None:
-    """Store first, tracking last, so that a failed build is tried again."""
+    """Store first, tracking last, so that a failed build is tried again. Tracking knows just these files afterwards."""
     stores.write_chunks(build_chunks(files, profile, options, splitter), store)
     if tracking_table is not None:
-        processed = files.select("path", F.sha2("content", 256).alias("content_hash"))
-        spark = files.sparkSession
-        merged = tracking.tracking_merge(stores.load_tracking(spark, tracking_table), _stamped(processed))
-        stores.overwrite(merged, tracking_table)
+        stores.write_tracking(_processed(files), tracking_table)
 
 
-def _stamped(processed: DataFrame) -> DataFrame:
-    return processed.withColumn("processed_at", F.unix_micros(F.current_timestamp()).cast("double")).withColumn(
-        "tracking_method", F.lit("content-hash"))
+def _processed(files: DataFrame) -> DataFrame:
+    """Tracking rows of files: the hash of the bytes where the reader has taken it, else of the text."""
+    known = "sha256" if "sha256" in files.columns else None
+    return files.select(
+        "path", (F.col(known) if known else F.sha2("content", 256)).alias("content_hash"),
+        *[F.col(c) for c in ("size",) if c in files.columns],
+        F.unix_micros(F.current_timestamp()).cast("double").alias("processed_at"), F.lit("content-hash").alias("tracking_method"),
+    )
 
 
 def incremental_build(
     spark: SparkSession, store: str, files: DataFrame, new: DataFrame, old: DataFrame, profile: Profile,
-    options: Options = Options(), splitter=recursive_split, dedupe: bool = False,
-    buckets: int = stores.STORE_BUCKETS,
+    options: Options = Options(), splitter=recursive_split, dedupe: bool = False, tracking_table: str | None = None,
 ) -> None:
     """Reads only changed files, replaces their chunks, drops chunks of deleted files.
 
     ``new`` and ``old`` are tracking states ``(path, content_hash)``. Duplicates are removed
     within one run only when asked: a copy kept in an earlier run may have lost its original.
+    Tracking, where given, is brought up to date last.
     """
     feed = tracking.change_feed(new, old).filter("change <> 'same'").persist()
     try:
         changed = tracking.only_changed(files, feed.filter("change <> 'deleted'"))
         chunks = build_chunks(changed, profile, options, splitter, dedupe)
-        stores.merge_chunks(spark, store, feed.select("path"), chunks, profile.name, buckets)
+        stores.merge_chunks(spark, store, feed.select("path"), chunks, profile.name)
+        if tracking_table is not None:
+            stores.merge_tracking(_processed(changed), tracking_table, feed.filter("change = 'deleted'"))
     finally:
         feed.unpersist()
 

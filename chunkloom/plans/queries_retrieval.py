@@ -206,7 +206,7 @@ def topk_search(spark, sf):
 @query("topk_search_blocks", f"WITH {o.topk_cte(USERS, 15)} {_TOPK}")
 def topk_search_blocks(spark, sf):
     """The same search in the form for many queries."""
-    found = v.topk_search(bridges.question_vectors(spark, sf), bridges.vectors(spark, sf), 15, query_limit=0, block_rows=1024)
+    found = v.topk_search(bridges.question_vectors(spark, sf), bridges.vectors(spark, sf), 15, block_bytes=1 << 18)
     return _rounded(found)
 
 

@@ -81,8 +81,8 @@ def incremental(spark, sf):
     old_files = files.join(labels, "doc_id").select("path", before.alias("content"))
     new_files = files.join(labels, "doc_id", "left").filter("coalesce(toxic, 0) = 0").select("path", "content")
     store = scratch_path(spark, "store")
-    stores.write_chunks(build_chunks(old_files, PROSE, dedupe=False), store, buckets=16)
-    incremental_build(spark, store, new_files, new, old, PROSE, buckets=16)
+    stores.write_chunks(build_chunks(old_files, PROSE, dedupe=False), store)
+    incremental_build(spark, store, new_files, new, old, PROSE)
     return flat(stores.load_chunks(spark, store).select("path", "chunk_index", "fingerprint"))
 
 

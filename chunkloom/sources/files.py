@@ -29,6 +29,8 @@ def _list_children(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
         for batch in batches:
             for folder in batch["path"]:
                 found = file_system.get_file_info(arrow_fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                if not found:                   # Arrow has no type for columns without values
+                    continue
                 yield pd.DataFrame({
                     "path": [i.path[len(base) + 1:] for i in found],
                     "is_dir": [i.type == arrow_fs.FileType.Directory for i in found],

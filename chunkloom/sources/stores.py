@@ -1,8 +1,8 @@
 """Chunk stores, tracking tables, index tables and reports on disk.
 
-The chunk store is Parquet, partitioned by project type and by a bucket of the path, so an
-incremental build rewrites only the buckets of the changed files (dynamic partition
-overwrite). The other tables are plain Parquet folders.
+The chunk store and the tracking table are versioned (``sources.versions``): an incremental
+build appends the chunks of changed files and ends the earlier ones, so it writes in proportion
+to the change. The other tables are plain Parquet folders.
 """
 
 from __future__ import annotations
@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chunkloom.functions.text import joined
-from chunkloom.session import cut_lineage
+from chunkloom.sources.versions import VersionedTable
 
-STORE_BUCKETS = 64
 TRACKING = (
     "path string, content_hash string, blob_sha string, commit_sha string, size bigint, "
     "modified_time double, processed_at double, tracking_method string"
@@ -35,11 +34,6 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(target)
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a table that ``df`` may itself be reading: checkpointed first, then written."""
-    cut_lineage(df).write.mode("overwrite").parquet(path)
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A written table; an absent one is empty when a schema is given."""
     if schema is not None and not table_exists(spark, path):
@@ -55,13 +49,21 @@ def with_metadata(rows: DataFrame, metadata: str = "metadata") -> DataFrame:
     return rows.filter(F.col(metadata).isNotNull())
 
 
+def chunk_store(spark: SparkSession, store: str) -> VersionedTable:
+    return VersionedTable(spark, store, "project_type", "path")
+
+
+def tracking_table(spark: SparkSession, table: str) -> VersionedTable:
+    return VersionedTable(spark, table, "owner", "path")
+
+
 def load_chunks(spark: SparkSession, store: str) -> DataFrame:
-    """All stored chunks; rows that name no source carry no metadata and are dropped."""
-    return with_metadata(read_table(spark, store), "path")
+    """All live chunks; rows that name no source carry no metadata and are dropped."""
+    return with_metadata(chunk_store(spark, store).read(), "path")
 
 
 def load_tracking(spark: SparkSession, table: str) -> DataFrame:
-    return read_table(spark, table, TRACKING)
+    return tracking_table(spark, table).read(f"{TRACKING}, owner string").drop("owner")
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -74,45 +76,9 @@ def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 # -- writers -------------------------------------------------------------------------------
 
-def path_bucket(path: Column, buckets: int = STORE_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
-
-
-def write_chunks(chunks: DataFrame, store: str, buckets: int = STORE_BUCKETS) -> None:
-    """Replace all chunks of the project types present; other project types stay.
-
-    Over an existing store the new buckets are written first and left-over ones removed
-    after, so a failure never leaves a project type without chunks.
-    """
-    spark = chunks.sparkSession
-    rows = chunks.withColumn("bucket", path_bucket(F.col("path"), buckets))
-    if not table_exists(spark, store):
-        _write_buckets(rows, store)
-        return
-    rows = cut_lineage(rows)
-    # One row per project type and bucket: a handful of profiles times the bucket count.
-    written = {(r.project_type, r.bucket) for r in rows.select("project_type", "bucket").distinct().collect()}
-    types = sorted({t for t, _ in written})
-    before = spark.read.parquet(store).select("project_type", "bucket").filter(F.col("project_type").isin(types)).distinct().collect()
-    _write_buckets(rows, store)
-    _delete_buckets(spark, store, {(r.project_type, r.bucket) for r in before} - written)
-
-
-def _delete_buckets(spark: SparkSession, store: str, stale: set[tuple[str, int]]) -> None:
-    for project_type, bucket in stale:
-        file_system, target = _hadoop(spark, f"{store}/project_type={project_type}/bucket={bucket}")
-        if file_system.exists(target):
-            file_system.delete(target, True)
-
-
-def _write_buckets(rows: DataFrame, store: str) -> None:
-    """Rows of a bucket come together first, so its folder gets few files; the hint lets a
-    bucket with a large share of the rows be written by several tasks."""
-    (
-        rows.hint("rebalance", "project_type", "bucket")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project_type", "bucket").parquet(store)
-    )
+def write_chunks(chunks: DataFrame, store: str, token: str | None = None) -> int:
+    """Replace all chunks of the project types present; other project types stay. The new version."""
+    return chunk_store(chunks.sparkSession, store).replace(chunks, token)
 
 
 def replace_sources(store: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
@@ -125,21 +91,35 @@ def replace_sources(store: DataFrame, changed: DataFrame, new: DataFrame) -> Dat
 
 
 def merge_chunks(
-    spark: SparkSession, store: str, changed: DataFrame, new: DataFrame, project_type: str,
-    buckets: int = STORE_BUCKETS,
-) -> None:
-    """Incremental write: only the buckets of the changed files are read and rewritten."""
-    if not table_exists(spark, store):
-        write_chunks(new, store, buckets)
-        return
-    bucket = path_bucket(F.col("path"), buckets)
-    # At most ``buckets`` integers reach the driver; as literals they prune the scan.
-    touched = [r.b for r in changed.select(bucket.alias("b")).distinct().collect()]
-    old = spark.read.parquet(store).filter((F.col("project_type") == project_type) & F.col("bucket").isin(touched))
-    rows = cut_lineage(replace_sources(old, changed, new.withColumn("bucket", bucket)))
-    filled = {r.bucket for r in rows.select("bucket").distinct().collect()}
-    _write_buckets(rows, store)
-    _delete_buckets(spark, store, {(project_type, bucket_) for bucket_ in set(touched) - filled})
+    spark: SparkSession, store: str, changed: DataFrame, new: DataFrame | None, project_type: str, token: str | None = None
+) -> int:
+    """Incremental write: the chunks of ``changed(path)`` end, ``new`` ones are added. The store is not read.
+
+    A deleted file is one in ``changed`` without rows in ``new``. With a ``token``, a change that was committed under it
+    before is not committed again.
+    """
+    gone = changed.select(F.lit(project_type).alias("project_type"), "path")
+    return chunk_store(spark, store).merge(new, gone, token)
+
+
+def _tracking_rows(processed: DataFrame) -> DataFrame:
+    known = [(c.split()[0], c.split()[1]) for c in TRACKING.split(", ")]
+    return processed.select(
+        *[(F.col(c) if c in processed.columns else F.lit(None)).cast(t).alias(c) for c, t in known], F.lit("files").alias("owner")
+    )
+
+
+def write_tracking(processed: DataFrame, table: str) -> int:
+    """The state of ``processed`` files in place of all earlier ones."""
+    return tracking_table(processed.sparkSession, table).replace(_tracking_rows(processed))
+
+
+def merge_tracking(processed: DataFrame, table: str, deleted: DataFrame | None = None, token: str | None = None) -> int:
+    """Upsert: rows of processed files replace or join the old ones; ``deleted(path)`` leave."""
+    gone = processed.select("path") if deleted is None else processed.select("path").unionByName(deleted.select("path"))
+    return tracking_table(processed.sparkSession, table).merge(
+        _tracking_rows(processed), gone.select(F.lit("files").alias("owner"), "path"), token
+    )
 
 
 def relationship_rows(edges: DataFrame) -> DataFrame:

@@ -45,14 +45,36 @@ def test_search_equals_brute_force_in_both_forms(spark):
     s, a = vectors(spark, store, "vec_id"), vectors(spark, asked, "query_id")
     distance = ((asked[:, None, :].astype("float64") - store[None].astype("float64")) ** 2).sum(axis=2)
     want = {(i, int(j), n + 1) for i in range(len(asked)) for n, j in enumerate(np.lexsort((np.arange(300), distance[i]))[:7])}
-    for limit, block in ((1000, 4096), (0, 64)):
-        hits = v.topk_search(a, s, 7, query_limit=limit, block_rows=block)
+    for size in (v.BLOCK_BYTES, 500):                   # one block of queries, and many
+        hits = v.topk_search(a, s, 7, block_bytes=size)
         assert {(r.query_id, r.vec_id, r["rank"]) for r in hits.collect()} == want
     exact = v.topk_search(a, s, 7)
     near = v.lsh_search(a, s, 7, bucket_length=3.0, tables=8, block_rows=64)
     assert v.recall(exact, near).first().recall > 0.8
 
 
+def test_search_skips_parts_that_are_too_far(spark):
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(12, 6)) * 50
+    store = (middles[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6))).astype("float32")
+    asked = (middles[rng.integers(0, 12, 40)] + rng.normal(size=(40, 6))).astype("float32")
+    s, a = vectors(spark, store, "vec_id"), vectors(spark, asked, "query_id")
+    distance = ((asked[:, None, :].astype("float64") - store[None].astype("float64")) ** 2).sum(axis=2)
+    want = {(i, int(j)) for i in range(40) for j in np.lexsort((np.arange(900), distance[i]))[:5]}
+    assert {(r.query_id, r.vec_id) for r in v.topk_search(a, s, 5).collect()} == want
+    met = v.search_pruning(a, s, 5).first()
+    assert met.pairs > 0 and met.skipped > 0.5 * met.pairs
+
+
+def test_search_of_mixed_lengths_nulls_and_few_vectors(spark):
+    s = spark.createDataFrame(
+        [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [1.0]), (4, None), (5, [0.0, 0.0])], "vec_id bigint, embedding array<float>")
+    a = spark.createDataFrame([(7, [0.0, 0.0]), (8, [5.0]), (9, None), (10, [1.0, 2.0, 3.0])], "query_id bigint, embedding array<float>")
+    got = sorted((r.query_id, r.vec_id, r.distance, r["rank"]) for r in v.topk_search(a, s, 3).collect())
+    assert got == [(7, 1, 0.0, 1), (7, 2, 25.0, 3), (7, 5, 0.0, 2), (8, 3, 16.0, 1)]
+    assert v.topk_search(a.limit(0), s, 3).count() == 0 and v.topk_search(a, s.limit(0), 3).count() == 0
+
+
 def test_intents(spark):
     cases = {
         "What is the main purpose?": ("overview", 0.95), "show the overall structure": ("overview", 0.9),
