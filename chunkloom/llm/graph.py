@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from chunkloom.llm.common import written
+from chunkloom.llm.common import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +28,40 @@ def components(links: DataFrame) -> DataFrame:
             F.min("component").alias("least"), F.max(F.when(F.col("near") == F.col("node"), F.col("component"))).alias("before")
         )
         jump = labels.select(F.col("node").alias("least"), "component")
-        labels = written(
+        before, labels = labels, written(
             smallest.join(jump, "least").select("node", "component", (F.col("component") < F.col("before")).alias("moved")), "graph-labels"
         )
+        dropped(before)
+    dropped(edges)
     return labels.select("node", "component")
+
+
+def star_components(links: DataFrame) -> DataFrame:
+    """``components`` for links (a < b) in which each ``b`` has few partners, as members of buckets have leaders.
+
+    Every member is tied to its smallest partner only, and its other partners to that one; what is left is a graph of
+    the leaders, which is far smaller than the links. Members then take the label of their smallest partner.
+    """
+    tied = written(links.where("a <> b").groupBy("b").agg(F.collect_set("a").alias("all")).select("b", "all", F.array_min("all").alias("least")), "graph-ties")
+    leaders = written(tied.select(F.explode("all").alias("a")).distinct(), "graph-leaders")
+    among = tied.select(F.col("least").alias("a"), F.explode("all").alias("b")).where("a <> b").unionByName(
+        tied.join(leaders.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("least").alias("a"), "b")
+    )
+    labels = components(written(among.distinct(), "graph-leader-links"))
+    members = tied.select(F.col("b").alias("node"), "least").unionByName(
+        leaders.join(tied.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("least"))
+    )
+    out = written(
+        members.join(labels.withColumnRenamed("node", "least"), "least", "left").select("node", F.coalesce("component", "least").alias("component")),
+        "graph-labels",
+    )
+    dropped(tied, leaders)
+    return out
+
+
+def joined_components(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further links ``more`` (a, b) between components, which are named by their labels."""
+    above = components(more).withColumnsRenamed({"node": "component", "component": "better"})
+    known = labels.join(above, "component", "left").select("node", F.coalesce("better", "component").alias("component"))
+    alone = above.select(F.col("component").alias("node"), F.col("better").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return written(known.unionByName(alone), "graph-labels")

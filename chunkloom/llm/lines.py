@@ -1,22 +1,17 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 A line is normalised to its lower-case words (what stands between signs and spaces of Latin-1). Equal normalised lines are one line. Two
-lines are linked if four fifths of the longer one need no edit and their 64-bit SimHashes of words differ in
-``MAX_BITS`` at most (lines of one word have none and are linked by edits alone). The group of a line is its connected
-component; the first occurrence in the group (smallest document, then line) stays, every other is taken out. All of it
-is DataFrame expressions.
-
-Lines meet in three ways. Those whose hashes differ in ``CLOSE_BITS`` share two of four blocks of 16 bits. Lines of
-``SHORT_CHARS`` at most meet on pieces of the longer one: of one piece more than there are edits, one stands in the
-other line unedited, so every such pair is found. Longer lines meet on their longest pairs of neighbouring words, half
-of all pairs: lines that differ in a fifth of their words share ``LEAST_SHARED`` of them at least, in about the same place.
-Lines of few words share runs of ``GRAM`` characters instead.
-
-In a bucket, lines meet the leader first; then lines that are in different components meet.
-
-Defined cases: lines whose normalised form is shorter than ``MIN_CHARS`` stay, as do rows without text or id; rows with
-one id are copies of one document and keep or lose the same lines; a document may become empty; other columns pass
-through; a text of one line is a line.
+lines are linked if their 64-bit SimHashes of words differ in ``MAX_BITS`` at most and nine tenths of the longer one need
+no edit. The group of a line is its connected component; the first occurrence in the group (smallest document, then
+line) stays, every other is taken out. All of it is DataFrame expressions.
+
+Hashes that differ in three bits agree in at least two of five blocks, so lines meet on the ten pairs of blocks, and every
+linked pair does. In a bucket, lines meet the leader first; then, in buckets that are not one component, lines of different
+components meet. Texts are fetched for lines whose hashes are near, for no others.
+
+Defined cases: lines without a word stay, as do rows without text or id; rows with one id are copies of one document and
+keep or lose the same lines; a document may become empty; other columns pass through, those named ``n_lines`` and
+``n_removed`` are replaced; a text of one line is a line; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,26 +20,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chunkloom.llm.common import written
+from chunkloom.llm.common import dropped, written
 from chunkloom.llm.graph import components
 
-MIN_CHARS = 10
-MIN_WORDS = 2
-MAX_BITS = 24
-CLOSE_BITS = 2
-# Longest line edits are allowed for: one in so many characters.
-EDIT_SHARE = 5
-BROADCAST_ROWS = 200_000
-SHORT_CHARS = 30
-# Lines of so many words meet on words, those below ``FEW_WORDS`` on characters; the two overlap by the words that edits may add.
-MANY_WORDS, FEW_WORDS = 8, 11
-GRAM = 5
-LEAST_SHARED = 3
+MAX_BITS = 3
+# Edits allowed for: one in so many characters of the longer line.
+EDIT_SHARE = 10
 
 # Distinct words that one packed counter can count: eight fields of a long, below 2^7 each.
 CHUNK_WORDS = 127
 
-_BLOCK_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+# Two of ``MAX_BITS + 2`` blocks are free of differences: first bit and width of each block.
+_BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+_BLOCK_PAIRS = [(i, j) for i in range(5) for j in range(i + 1, 5)]
 # The lowest bit of each of eight, four and two equal fields of 64 bits.
 _EIGHT_FIELDS, _FOUR_FIELDS, _TWO_FIELDS = (sum(1 << i for i in range(0, 64, width)) for width in (8, 16, 32))
 
@@ -97,7 +85,7 @@ def line_words(line: Column) -> Column:
 
 
 def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every line that counts: document, line number, key of the normalised line, its SimHash.
+    """Every line with a word: document, line number, key of the normalised line, its SimHash.
 
     The words come out of the generator, so that no filter repeats the splitting. Each word counts once in the SimHash:
     else the commonest words of a language would make all its lines alike. Bits are counted by sums over rows of words,
@@ -110,18 +98,14 @@ def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
         "row", F.col(id).cast("bigint").alias("doc"), F.posexplode(F.transform(F.split(text, "\n"), line_words)).alias("line", "words")
     )
     words = (
-        lines.withColumn("norm", F.concat_ws(" ", "words")).where(F.length("norm") >= MIN_CHARS)
+        lines.where(F.size("words") > 0)
         .select("row", "doc", "line", F.inline(F.array(F.struct(
-            F.unhex(F.md5("norm")).alias("key"), F.size("words").alias("n_words"),
-            F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("features"),
+            F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("key"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("features"),
         ))))
-        .select("row", "doc", "line", "key", F.when(F.col("n_words") >= MIN_WORDS, F.size("features")).alias("n"), F.posexplode("features").alias("at", "feature"))
+        .select("row", "doc", "line", "key", F.size("features").alias("n"), F.posexplode("features").alias("at", "feature"))
     )
-    chunks = written(
-        words.groupBy("row", "doc", "line", "key", F.expr(f"at div {CHUNK_WORDS}").alias("chunk")).agg(F.max("n").alias("n"), *_packed("feature")),
-        "line-occurrences",
-    )
-    short = chunks.where(F.col("n").isNull() | (F.col("n") <= CHUNK_WORDS))
+    chunks = words.groupBy("row", "doc", "line", "key", F.expr(f"at div {CHUNK_WORDS}").alias("chunk")).agg(F.max("n").alias("n"), *_packed("feature"))
+    short = chunks.where(F.col("n") <= CHUNK_WORDS)
     long = chunks.where(F.col("n") > CHUNK_WORDS).groupBy("row", "doc", "line", "key").agg(F.max("n").alias("n"), *_counters())
     return short.select("doc", "line", "key", _packed_majority("n").alias("simhash")).unionByName(
         long.select("doc", "line", "key", _majority("n").alias("simhash"))
@@ -129,148 +113,69 @@ def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _block_keys() -> Column:
-    """Six keys: the number of the block pair above the 32 bits of its two blocks."""
+    """Ten keys: the number of the block pair above the bits of its two blocks."""
     def block(i: int) -> Column:
-        return F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF))
+        first, width = _BLOCKS[i]
+        return F.shiftrightunsigned("simhash", first).bitwiseAND(F.lit((1 << width) - 1))
     return F.array(*[
-        F.shiftleft(block(i), 16).bitwiseOR(block(j)).bitwiseOR(F.lit(n << 32)) for n, (i, j) in enumerate(_BLOCK_PAIRS)
+        F.shiftleft(block(i), 13).bitwiseOR(block(j)).bitwiseOR(F.lit(n << 26)) for n, (i, j) in enumerate(_BLOCK_PAIRS)
     ])
 
 
-def _near(a: str, b: str, bits: int = MAX_BITS) -> Column:
-    return F.coalesce(F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits, F.lit(True))
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def _line_texts(distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
-    """``line_id`` and normalised text of every distinct line."""
-    wanted = distinct.groupBy("doc").agg(F.collect_list(F.struct("line", "line_id", "key")).alias("wanted"))
-    found = df.select(F.col(id).cast("bigint").alias("doc"), F.split(text, "\n").alias("raw")).join(wanted, "doc").select("raw", F.explode("wanted").alias("w"))
+def _line_texts(ids: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
+    """``line_id`` and normalised text of the lines in ``ids`` (line_id), taken from their first documents."""
+    wanted = distinct.join(ids, "line_id").groupBy("doc").agg(F.collect_list(F.struct("line", "line_id", "key")).alias("wanted"))
+    found = df.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("raw")).join(wanted, "doc")
+    found = found.select(F.inline(F.array(F.struct(F.split("raw", "\n").alias("raw"), "wanted")))).select("raw", F.explode("wanted").alias("w"))
     norms = found.select("w", F.inline(F.array(F.struct(F.concat_ws(" ", line_words(F.get("raw", F.col("w.line")))).alias("norm")))))
     # Rows with one id may have different texts.
     return norms.where(F.unhex(F.md5("norm")) == F.col("w.key")).select("w.line_id", "norm").dropDuplicates(["line_id"])
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
     """Of ``pairs`` (a, b: line ids) those whose normalised lines are alike by edits."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
+    texts = written(_line_texts(ids, distinct, df, id, text), "line-texts")
     longer = F.greatest(F.length("na"), F.length("nb"))
     most = F.floor(longer / EDIT_SHARE).cast("int")
-    return (
+    out = written(
         pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb")), "b")
         .where(F.abs(F.length("na") - F.length("nb")) <= most).withColumn("most", most)
         # A narrow band settles most pairs; only the others need wider ones.
-        .where(reduce(Column.__or__, [F.expr(f"levenshtein(na, nb, CAST(most div {n} AS INT))") >= 0 for n in (64, 16, 4, 1)])).select("a", "b")
+        .where(reduce(Column.__or__, [F.expr(f"levenshtein(na, nb, CAST(most div {n} AS INT))") >= 0 for n in (64, 16, 4, 1)])).select("a", "b"),
+        "line-links",
     )
+    dropped(texts)
+    return out
 
 
-def _short_pairs(short: DataFrame) -> DataFrame:
-    """Pairs of lines of ``SHORT_CHARS`` at most that share a piece of the longer one where few enough edits can have put it.
+def line_links(distinct: DataFrame, df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join the lines of every group, and the labels of their components.
 
-    Of k + 1 pieces one is unedited, with no more edits before it than there are pieces, and no more after it.
+    ``distinct``: line_id, simhash, key and the place (doc, line) of every distinct line of ``df``.
     """
-    cut = f"""transform(sequence(0, most), i -> named_struct('i', i,
-        'at', i * (size div (most + 1)) + greatest(0, i - (most + 1 - size % (most + 1))),
-        'n', size div (most + 1) + IF(i >= most + 1 - size % (most + 1), 1, 0)))"""
-    indexed = short.withColumn("size", F.length("norm")).withColumn("most", F.expr(f"size div {EDIT_SHARE}"))
-    indexed = indexed.select("line_id", "label", "simhash", "size", F.expr(f"inline(transform({cut}, c -> struct(c.i AS i, substring(norm, c.at + 1, c.n) AS piece)))"))
-    probes = (
-        short.withColumn("own", F.length("norm")).withColumn("size", F.expr(f"explode(sequence(own, {SHORT_CHARS}))"))
-        .withColumn("most", F.expr(f"size div {EDIT_SHARE}")).where("size - most <= own").withColumn("c", F.expr(f"explode({cut})"))
-        .withColumn("low", F.expr("greatest(0, c.at - c.i, c.at + own - size - (most - c.i))"))
-        .withColumn("high", F.expr("least(own - c.n, c.at + c.i, c.at + own - size + (most - c.i))")).where("low <= high")
-        .select("line_id", "label", "simhash", "size", F.col("c.i").alias("i"), F.expr("explode(transform(sequence(low, high), p -> substring(norm, p + 1, c.n)))").alias("piece"))
-        .distinct()
-    )
-    one, two = probes.alias("one"), indexed.alias("two")
-    met = one.join(two, (F.col("one.size") == F.col("two.size")) & (F.col("one.i") == F.col("two.i")) & (F.col("one.piece") == F.col("two.piece"))
-                   & (F.col("one.label") != F.col("two.label")) & _near("one.simhash", "two.simhash"))
-    return met.select(F.least("one.line_id", "two.line_id").alias("a"), F.greatest("one.line_id", "two.line_id").alias("b")).distinct()
-
-
-def _postings(lines: DataFrame) -> DataFrame:
-    """What longer lines meet on: ``h``, with its place ``at`` of ``size`` in the line, the first if it recurs."""
-    long = lines.withColumn("chars", F.length("norm")).where(F.col("chars") >= SHORT_CHARS * (EDIT_SHARE - 1) // EDIT_SHARE)
-    long = long.withColumn("words", F.split("norm", " ")).withColumn("n", F.size("words"))
-    once = "filter(found, (x, i) -> i = 0 OR x.h <> found[i - 1].h)"
-    own = ["line_id", "label", "simhash", "chars"]
-    pairs = (
-        long.where(F.col("n") >= MANY_WORDS)
-        .withColumn("found", F.expr("array_sort(transform(sequence(0, n - 2), i -> struct(-length(words[i]) - length(words[i + 1]) AS o, xxhash64(words[i], words[i + 1]) AS h, i AS at)))"))
-        .select(*own, F.col("n").alias("size"), F.expr(f"inline(slice({once}, 1, 2 * (n div 4) + {LEAST_SHARED}))")).drop("o")
-    )
-    grams = (
-        long.where(F.col("n") < FEW_WORDS)
-        .withColumn("found", F.expr(f"array_sort(transform(sequence(1, chars - {GRAM - 1}), i -> struct(xxhash64('', substring(norm, i, {GRAM})) AS h, i AS at)))"))
-        .select(*own, F.col("chars").alias("size"), F.expr(f"inline({once})"))
-    )
-    return pairs.unionByName(grams)
-
-
-def _meet(one: str, two: str) -> Column:
-    """Lengths and places that the edits allowed can bring together."""
-    def col(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
-    ahead = F.abs(col(one, "at") - col(two, "at"))
-    behind = F.abs(col(one, "size") - col(one, "at") - col(two, "size") + col(two, "at"))
-    return (
-        (col(one, "label") != col(two, "label"))
-        & (EDIT_SHARE * F.abs(col(one, "chars") - col(two, "chars")) <= F.greatest(col(one, "chars"), col(two, "chars")))
-        & (4 * (ahead + behind) <= F.greatest(col(one, "size"), col(two, "size"))) & _near(f"{one}.simhash", f"{two}.simhash")
-    )
-
-
-def _often(met: DataFrame) -> DataFrame:
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SHARED).select("a", "b")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.drop("label").join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn(
-        "label", F.coalesce("component", "line_id")).drop("component")
-
-
-def _edited_links(links: DataFrame, labels: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """``links`` and those of lines in different components that differ by more than ``CLOSE_BITS``."""
-    lines = _labelled(texts.join(distinct.select("line_id", "simhash"), "line_id"), labels)
-    short = written(_short_pairs(lines.where(F.length("norm") <= SHORT_CHARS)), "short-pairs")
-    links = written(links.unionByName(_similar(short, texts)), "line-links")
-    postings = written(_postings(lines), "line-postings")
-    leaders = postings.groupBy("h").agg(F.min(F.struct("line_id", "label", "simhash", "chars", "size", "at")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(postings.join(leaders.drop("n"), "h"), "shared-postings")
-    stars = shared.alias("one").where(_meet("one", "leader")).select(F.col("leader.line_id").alias("a"), "one.line_id").toDF("a", "b")
-    links = written(links.unionByName(_similar(written(_often(stars), "line-pairs"), texts)), "line-links")
-    shared = written(_labelled(shared.drop("leader"), components(links)), "shared-postings")
-    one, two = shared.alias("one"), shared.alias("two")
-    met = one.join(two, (F.col("one.h") == F.col("two.h")) & (F.col("one.line_id") < F.col("two.line_id")) & _meet("one", "two"))
-    rest = written(_often(met.select(F.col("one.line_id").alias("a"), F.col("two.line_id").alias("b"))), "line-pairs")
-    return written(links.unionByName(_similar(rest, texts)), "line-links")
-
-
-def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc``, ``line`` of every occurrence that is not the first of its group."""
-    occ = occurrences(df, id, text)
-    distinct = written(
-        occ.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"))
-        .select("key", "first.doc", "first.line", "simhash", "n").withColumn("line_id", F.monotonically_increasing_id()), "distinct-lines",
-    )
-    texts = written(_line_texts(distinct, df, id, text), "line-texts")
-    blocks = distinct.where("simhash IS NOT NULL").select("line_id", "simhash", F.explode(_block_keys()).alias("block"))
+    blocks = distinct.select("line_id", "simhash", F.explode(_block_keys()).alias("block"))
     buckets = written(
         blocks.groupBy("block").agg(F.min("line_id").alias("leader"), F.max("line_id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1"),
         "line-buckets",
     )
-    large = buckets.where("n > 2").select("block", "leader")
-    if large.count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    members = written(blocks.join(large, "block").where("line_id <> leader"), "line-members")
+    members = written(blocks.join(buckets.where("n > 2").select("block", "leader"), "block").where("line_id <> leader"), "line-members")
     stars = buckets.where("n = 2").select(F.col("leader").alias("a"), F.col("other").alias("b")).unionByName(
         members.select(F.col("leader").alias("a"), F.col("line_id").alias("b"))
     ).distinct()
-    hashes = distinct.where("simhash IS NOT NULL").select("line_id", "simhash")
+    hashes = distinct.select("line_id", "simhash")
     pairs = written(
         stars.join(hashes.select(F.col("line_id").alias("a"), F.col("simhash").alias("ha")), "a")
-        .join(hashes.select(F.col("line_id").alias("b"), F.col("simhash").alias("hb")), "b").where(_near("ha", "hb", CLOSE_BITS)).select("a", "b"), "line-pairs",
+        .join(hashes.select(F.col("line_id").alias("b"), F.col("simhash").alias("hb")), "b").where(_near("ha", "hb")).select("a", "b"), "line-pairs",
     )
-    links = written(_similar(pairs, texts), "line-links")
+    dropped(buckets)
+    links = _similar(pairs, distinct, df, id, text)
+    dropped(pairs)
     labels = components(links)
     labelled = written(
         members.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left")
@@ -279,18 +184,30 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("block")
     open_lines = written(labelled.join(mixed, "block", "left_semi"), "open-lines")
     one, two = open_lines.alias("one"), open_lines.alias("two")
-    more = one.join(two, (F.col("one.block") == F.col("two.block")) & (F.col("one.line_id") < F.col("two.line_id")) & (F.col("one.label") != F.col("two.label")) & _near("one.simhash", "two.simhash", CLOSE_BITS))
-    rest = written(more.select(F.col("one.line_id").alias("a"), F.col("two.line_id").alias("b")).distinct(), "line-pairs")
+    met = one.join(two, (F.col("one.block") == F.col("two.block")) & (F.col("one.line_id") < F.col("two.line_id")) & (F.col("one.label") != F.col("two.label")) & _near("one.simhash", "two.simhash"))
+    rest = written(met.select(F.col("one.line_id").alias("a"), F.col("two.line_id").alias("b")).distinct(), "line-pairs")
     if not rest.isEmpty():
-        links = written(links.unionByName(_similar(rest, texts)), "line-links")
+        links = links.unionByName(_similar(rest, distinct, df, id, text))
         labels = components(links)
-    labels = components(_edited_links(links, labels, distinct, texts))
+    dropped(members, labelled, open_lines, rest)
+    return links, labels
+
+
+def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc``, ``line`` of every occurrence that is not the first of its group."""
+    occ = written(occurrences(df, id, text), "line-occurrences")
+    distinct = written(
+        occ.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"))
+        .select("key", "first.doc", "first.line", "simhash", "n").withColumn("line_id", F.monotonically_increasing_id()), "distinct-lines",
+    )
+    _, labels = line_links(distinct, df, id, text)
     # Only lines that recur or are linked matter from here on.
     grouped = distinct.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").where("n > 1 OR component IS NOT NULL").select(
         "key", "doc", "line", F.coalesce("component", "line_id").alias("group")
     )
     first = grouped.groupBy("group").agg(F.min(F.struct("doc", "line")).alias("first"))
-    kept = grouped.join(first, "group").select("key", F.col("first.doc").alias("kept_doc"), F.col("first.line").alias("kept_line"))
+    kept = written(grouped.join(first, "group").select("key", F.col("first.doc").alias("kept_doc"), F.col("first.line").alias("kept_line")), "kept-lines")
+    dropped(distinct)
     return occ.join(kept, "key").where("doc <> kept_doc OR line <> kept_line").select("doc", "line")
 
 
@@ -298,11 +215,13 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     """``df`` with its text less the repeated lines, ``n_lines`` and ``n_removed``."""
     gone = repeated_lines(df, id, text).groupBy("doc").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc", "__doc")
     rows = df.drop("n_lines", "n_removed")
-    lines = F.split(text, "\n")
     joined = rows.join(gone, rows[id].cast("bigint") == gone["__doc"], "left")
-    left = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    return joined.select(
+    # The lines come out of a generator: split once, then picked by their numbers.
+    parted = joined.select("*", F.inline(F.array(F.struct(F.split(text, "\n").alias("__lines")))))
+    numbers = F.sequence(F.lit(0), F.size("__lines") - 1)
+    left = F.transform(F.array_except(numbers, "gone"), lambda i: F.get("__lines", i))
+    return parted.select(
         *[F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(c) for c in rows.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )

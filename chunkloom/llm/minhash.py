@@ -20,8 +20,8 @@ from math import comb
 
 from pyspark.sql import DataFrame, functions as F
 
-from chunkloom.llm.common import written
-from chunkloom.llm.graph import components
+from chunkloom.llm.common import dropped, written
+from chunkloom.llm.graph import joined_components, star_components
 from chunkloom.llm.hashing import shingles
 
 HASHES = 150
@@ -147,17 +147,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         .join(sets.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
         .withColumn("common", F.size(F.array_intersect("fa", "fb")))
     )
-    return both.where(100 * F.col("common") >= percent * (F.size("fa") + F.size("fb") - F.col("common"))).select("a", "b")
+    out = written(both.where(100 * F.col("common") >= percent * (F.size("fa") + F.size("fb") - F.col("common"))).select("a", "b"), "links")
+    dropped(sets)
+    return out
 
 
 def _links_across(open_members: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between different components among ``open_members`` (band, id, label), enough to join what belongs together.
+    """Links between labels of different components among ``open_members`` (band, id, label), enough to join what belongs together.
 
     Members that share bands form clusters. A cluster is dealt into chunks, and every two chunks meet in one task, which
     compares signatures and full sets and gives links only, never the pairs it looked at.
     """
     hubs = open_members.groupBy("band").agg(F.min("id").alias("a"))
-    clusters = components(open_members.join(hubs, "band").select("a", F.col("id").alias("b")).distinct())
+    clusters = star_components(open_members.join(hubs, "band").select("a", F.col("id").alias("b")))
     members = open_members.select("id", "label").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).withColumnRenamed("component", "cluster")
     dealt = written(members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")), "dealt-members")
@@ -172,7 +174,8 @@ def _links_across(open_members: DataFrame, heads: DataFrame, texts: DataFrame, s
         import numpy as np
         import pyarrow as pa
 
-        ids, labels, chunks = (rows.column(c).to_numpy().copy() for c in ("id", "label", "chunk"))
+        named, chunks = (rows.column(c).to_numpy() for c in ("label", "chunk"))
+        labels = named.copy()
         signed = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "uint16").reshape(-1, HASHES)
         full = [s.values.to_numpy() for s in rows.column("full")]
         counts = np.array([len(s) for s in full])
@@ -194,11 +197,13 @@ def _links_across(open_members: DataFrame, heads: DataFrame, texts: DataFrame, s
                     continue
                 common = len(np.intersect1d(full[x], full[y], assume_unique=True))
                 if 100 * common >= percent * (counts[x] + counts[y] - common):
-                    found.append((ids[x], ids[y]))
+                    found.append((named[x], named[y]))
                     labels[labels == labels[y]] = labels[x]
         return pa.Table.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return written(twice.groupBy("cluster", "low", "high").applyInArrow(link, "a bigint, b bigint"), "links-across")
+    out = written(twice.groupBy("cluster", "low", "high").applyInArrow(link, "a bigint, b bigint").distinct(), "links-across")
+    dropped(dealt, whole)
+    return out
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,16 +230,20 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id: str = "
         buckets.where("n = 2").select(F.col("leader").alias("a"), F.col("other").alias("b"))
         .unionByName(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))).distinct()
     )
-    links = written(confirmed(written(likely(stars, heads, limit), "likely-pairs"), texts, size, percent), "links")
-    labels = components(links)
+    candidates = written(likely(stars, heads, limit), "likely-pairs")
+    # Leaders are the smallest ids of their buckets: a < b, and b has at most one leader per band.
+    labels = star_components(confirmed(candidates, texts, size, percent))
+    dropped(buckets, candidates)
     # Buckets that are not one component yet: what differs is compared directly. Leaders have met everyone.
     labelled = written(
         members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "labelled-members"
     )
+    dropped(members)
     mixed = labelled.where("id <> leader").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     open_members = written(labelled.where("id <> leader").join(mixed, "band", "left_semi").select("band", "id", "label"), "open-members")
     if not open_members.isEmpty():
-        labels = components(links.unionByName(_links_across(open_members, heads, texts, size, percent)))
+        labels = joined_components(labels, _links_across(open_members, heads, texts, size, percent))
+    dropped(labelled, open_members, heads)
     named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select(
         "set_key", F.coalesce("component", "first").alias("component")
     ).join(classes.select("set_key", "n", "first"), "set_key").where("n > 1 OR component <> first").select("set_key", "component")

@@ -1,8 +1,10 @@
-"""Lines edited by up to a fifth are found whatever their number of words, against edit similarity alone."""
+"""Every pair of lines within the stated bits and edits is linked, whatever its length, against all pairs of lines."""
 
 import random
 
-from chunkloom.llm import lines
+import xxhash
+
+from chunkloom.llm import lines, queries
 from chunkloom.llm.common import ready
 
 
@@ -16,22 +18,58 @@ def _edits(a, b):
     return row[-1]
 
 
+def _simhash(line):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(line.split())]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _gone(texts):
+    """Documents of one line each that are not the first of their group."""
+    hashes = {t: _simhash(t) for t in texts}
+    label = list(range(len(texts)))
+    linked = 0
+    for j, b in enumerate(texts):
+        for i, a in enumerate(texts[:j]):
+            if (hashes[a] ^ hashes[b]).bit_count() <= lines.MAX_BITS and _edits(a, b) <= max(len(a), len(b)) // lines.EDIT_SHARE:
+                linked += a != b
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return {i for i, x in enumerate(label) if i != x}, linked
+
+
 def test_edited_lines(spark):
     made = random.Random(5)
     def word():
-        return "".join(made.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(made.randrange(2, 10)))
-    rows, pairs = [], 0
-    for n in [1, 2, 3, 4, 5, 6, 8, 10, 12, 20, 30, 60, 120] * 4:
-        words = [word() for _ in range(n)] if n > 1 else ["".join(word() for _ in range(4)) + "longword"]
-        while len(" ".join(words)) < lines.MIN_CHARS:
-            words[-1] += "x"
-        changed = list(words)
-        # One word in ten is another one; a short line has one letter changed.
-        for at in made.sample(range(n), max(1, n // 10)):
-            changed[at] = word() if n >= 10 else changed[at][:-1] + "é"
-        one, two = " ".join(words), " ".join(changed)
-        if _edits(one, two) <= max(len(one), len(two)) // lines.EDIT_SHARE:
-            rows += [(2 * len(rows), one), (2 * len(rows) + 1, two)]
-            pairs += 1
-    got = lines.repeated_lines(ready(spark).createDataFrame(rows, "doc_id bigint, text string"))
-    assert pairs > 45 and {r.doc for r in got.collect()} == {d for d, _ in rows if d % 2}
+        return "".join(made.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(made.randrange(2, 6)))
+    texts = []
+    for n in [1, 2, 3, 5, 8, 12, 30, 60, 90, 120] * 3:
+        words = [word() for _ in range(n)]
+        for changed in range(4):
+            other = list(words)
+            for at in made.sample(range(n), min(n, changed)):
+                other[at] = word()
+            texts.append(" ".join(other))
+        texts.append(" ".join(made.sample(words, n)))       # the same words in another order
+    gone, linked = _gone(texts)
+    assert linked > 20
+    df = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc for r in lines.repeated_lines(df).collect()} == gone
+
+
+def test_lines_of_one_document_many_times(spark):
+    text = "\n".join(["Again and again.", "once " * 30, "", "--", "x"] * 300)
+    df = ready(spark).createDataFrame([(1, text), (2, "x\nAGAIN, and again!\nnew")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert got[1].n_removed == 3 * 299 and got[1].text.split("\n")[:5] == text.split("\n")[:5] and got[1].n_lines == 1500
+    assert got[2].text == "new" and got[2].n_removed == 2
+
+
+def test_registered_query(spark, sf):
+    import hashlib
+
+    want = {r.doc_id: r for r in lines.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).collect()}
+    got = queries.op9_line_dedup(spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.doc_id]
+        assert (r.n_lines, r.n_removed, r.text_sha256) == (w.n_lines, w.n_removed, hashlib.sha256((w.text or "").encode()).hexdigest())

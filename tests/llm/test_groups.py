@@ -136,9 +136,9 @@ def _lines_by_hand(rows):
     for doc, text in rows:
         for n, line in enumerate(text.split("\n")) if doc is not None and text is not None else ():
             norm = " ".join(words(line))
-            if len(norm) >= lines.MIN_CHARS:
+            if norm:
                 where.setdefault(norm, set()).add((doc, n))
-                seen[norm] = _simhash(list(dict.fromkeys(words(line)))) if len(words(line)) >= lines.MIN_WORDS else None
+                seen[norm] = _simhash(list(dict.fromkeys(words(line))))
     norms = sorted(seen)
     def edits(a, b):
         row = list(range(len(b) + 1))
@@ -149,7 +149,7 @@ def _lines_by_hand(rows):
             row = new
         return row[-1]
     links = [
-        (a, b) for a in norms for b in norms if a < b and seen[a] is not None and seen[b] is not None
+        (a, b) for a in norms for b in norms if a < b
         and bin(seen[a] ^ seen[b]).count("1") <= lines.MAX_BITS and edits(a, b) <= max(len(a), len(b)) // lines.EDIT_SHARE
     ]
     label = _components(norms, links)

@@ -13,11 +13,11 @@ def plain_simhash(words):
 
 
 def test_simhash_of_short_and_long_lines(spark):
-    sizes = [4, 5, 6, 126, 127, 128, 254, 255, 1000, 40_000]
+    sizes = [1, 2, 4, 5, 6, 126, 127, 128, 254, 255, 1000, 40_000]
     texts = {n: [f"w{n}x{i}" for i in range(n)] for n in sizes}
     df = spark.createDataFrame([(n, " ".join(words)) for n, words in texts.items()], "doc_id bigint, text string")
     found = {r.doc: r.simhash for r in lines.occurrences(df).collect()}
-    assert found == {n: plain_simhash(words) if n >= lines.MIN_WORDS else None for n, words in texts.items()}
+    assert found == {n: plain_simhash(words) for n, words in texts.items()}
 
 
 @pytest.mark.parametrize("sign", ["-", "¿", " ", "\x00", "×"])
