@@ -61,7 +61,7 @@ def star_components(links: DataFrame) -> DataFrame:
 
 def joined_components(labels: DataFrame, more: DataFrame) -> DataFrame:
     """``labels`` (node, component) after further links ``more`` (a, b) between components, which are named by their labels."""
-    above = components(more).withColumnsRenamed({"node": "component", "component": "better"})
+    above = components(more).select(F.col("node").alias("component"), F.col("component").alias("better"))
     known = labels.join(above, "component", "left").select("node", F.coalesce("better", "component").alias("component"))
     alone = above.select(F.col("component").alias("node"), F.col("better").alias("component")).join(labels.select("node"), "node", "left_anti")
     return written(known.unionByName(alone), "graph-labels")
