@@ -1,23 +1,24 @@
 """Phrase collocation mining by HAT-trie counting.
 
 Texts are lower-cased (A-Z), split into pieces at marks and line ends, and into words at spaces and tabs. All counting is
-per language. Two passes over the texts:
-
-1. A hash filter of a fixed number of cells sums up single words and word pairs; a cell whose sum stays below the least
-   count proves that nothing in it is frequent. The filter is one bit a cell, ``MOST_CELLS`` bits at most, whatever the
-   corpus; it only saves work. Where the corpus outgrows it, it lets more through, and results stay the same.
-2. Each task counts the phrases whose word pairs all pass in a HAT-trie: a shallow trie over word ids whose leaves are
-   hash containers (suffix of the phrase to count); a container that grows too large bursts into one more trie level.
-   When the trie holds more than ``TRIE_ENTRIES`` counts, its largest subtrees are written out whole as sorted runs and
-   freed. Runs are dealt by language and the first two words of their phrases, and merged there: Spark's external sort
-   brings equal phrases of all runs together, and neighbours are added up.
+per language. Three passes over the texts:
+
+1. and 2. Hash filters of a fixed number of cells sum up words and word pairs, then triples of words whose pairs pass. A
+   cell whose sum stays below the least count proves that nothing in it is frequent. A filter is one bit a cell,
+   ``MOST_CELLS`` bits at most, whatever the corpus; it only saves work. Where the corpus outgrows it, it lets more
+   through, and results stay the same.
+3. Each task counts the phrases whose pairs and triples all pass in a HAT-trie: a shallow trie over word ids whose leaves
+   are hash containers (suffix of the phrase to count); a container that grows too large bursts into one more trie
+   level. When the trie holds more than ``TRIE_ENTRIES`` counts, its largest subtrees are written out whole as sorted
+   runs, in blocks, and freed. Blocks are dealt by language and a hash of the first two words of their phrases, and
+   ordered by their first phrase; there a heap merges the runs, which holds one block of each run at a time.
 
 A phrase of two words and more is a candidate if it is frequent enough; everything after that (cuts, scores, longer
-candidates, ranks) is DataFrame work on the few frequent phrases. Counts and scores are decimals, so no product wraps.
+candidates, ranks) is DataFrame work on the few frequent phrases. Scores are computed in decimals, so no product wraps.
 
 Defined cases: a null text has no words; a null language is ``und``; repeated rows count each; ties are settled as the
 ranking says (score, count, phrase in UTF-8 byte order; the smallest cut); a text of any length is counted whole; an
-empty table gives no rows; further columns are not read. Hot words, phrases and sources reach a reducer as one row per
+empty table gives no rows; further columns are not read. Hot words, phrases and sources reach a reducer as one entry per
 run; a prefix with very many different phrases is sorted on disk, not held.
 """
 
@@ -26,6 +27,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -37,7 +40,7 @@ MOST_WORDS = 5
 TOP = 2000
 UNKNOWN = "und"
 
-# Cells of the filter: one for each 16 bytes of text, between these bounds. At the most, 32 MB of bits are broadcast.
+# Cells of a filter: one for each 16 bytes of text, between these bounds. At the most, 32 MB of bits are broadcast.
 LEAST_CELLS, MOST_CELLS = 1 << 22, 1 << 28
 BYTES_PER_CELL = 16
 SLICE_BITS = 16
@@ -46,6 +49,9 @@ HELD_CELLS = 4_000_000
 KNOWN_WORDS = 500_000
 TRIE_ENTRIES = 600_000
 BURST = 4_096
+# Phrases in a block of a run; prefix partitions, one for each so many bytes of text, and their least number.
+BLOCK = 512
+BYTES_PER_PART, LEAST_PARTS = 1 << 28, 64
 # Groups that each slice of cells, and each language's ranking, is first reduced in.
 SALTS = 16
 
@@ -62,6 +68,7 @@ class Words(dict):
         super().__init__((bytes([mark]), BREAK) for mark in b".,;:!?\n\x0b\x0c\r")
         self.spelled: list[bytes] = [b""]
         self.hashes = np.zeros(1024, "uint64")
+        self.seen = np.zeros(0, "int64")        # occurrences by id, as far as counted
         self._head = lang.encode() + b"\0"
 
     def __missing__(self, word: bytes) -> int:
@@ -84,8 +91,34 @@ def word_cells(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (_mixed(hashes) & np.uint64(cells - 1)).astype("int64")
 
 
-def pair_cells(left: np.ndarray, right: np.ndarray, cells: int) -> np.ndarray:
-    return (_mixed(left * np.uint64(0x9E3779B97F4A7C15) + _mixed(right)) & np.uint64(cells - 1)).astype("int64")
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of a sequence and one more word."""
+    return left * np.uint64(0x9E3779B97F4A7C15) + _mixed(right)
+
+
+def _passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = word_cells(hashes, len(bits) << 3)
+    return (bits[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
+
+
+def _pairs(ids: np.ndarray, hashes: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where a pair of words begins that passes the filter, and hashes of the pairs there."""
+    at = np.flatnonzero((ids[:-1] != BREAK) & (ids[1:] != BREAK))
+    joined = _joined(hashes[at], hashes[at + 1])
+    if bits is not None:
+        good = _passing(bits, joined)
+        at, joined = at[good], joined[good]
+    return at, joined
+
+
+def _triples(at: np.ndarray, joined: np.ndarray, hashes: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places ``at`` of pairs those where a triple begins, whose second pair passes too, and that passes itself."""
+    follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+    at, joined = at[follows], _joined(joined[follows], hashes[at[follows] + 2])
+    if bits is not None:
+        good = _passing(bits, joined)
+        at, joined = at[good], joined[good]
+    return at, joined
 
 
 def _by_lang(batch) -> Iterator[tuple[str, bytes]]:
@@ -104,11 +137,15 @@ def _ids(words: Words, text: bytes) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, _WORDS(text)), "int64")
 
 
-def _cell_counts(cells: int):
-    """Pass 1: per slice of cells, the cells met and their counts, in parts of bounded size; and words per language."""
+def _cell_counts(cells: int, pairs_pass):
+    """Per slice of cells, the cells met and their counts, in parts of bounded size.
+
+    Of words and pairs, or, with the filter of these, of triples.
+    """
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        bits = None if pairs_pass is None else pairs_pass.value
         known: dict[str, Words] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, salt = 0, 0
@@ -135,18 +172,23 @@ def _cell_counts(cells: int):
                 if not ids.any():
                     continue
                 hashes = words.hashes[ids]
-                single, often = np.unique(ids[ids != BREAK], return_counts=True)
-                pair = (ids[:-1] != BREAK) & (ids[1:] != BREAK)
-                pairs, twice = np.unique(pair_cells(hashes[:-1][pair], hashes[1:][pair], cells), return_counts=True)
-                held.append((np.concatenate([word_cells(words.hashes[single], cells), pairs]), np.concatenate([often, twice])))
-                size += len(single) + len(pairs)
+                at, joined = _pairs(ids, hashes, bits)
+                if bits is not None:
+                    at, joined = _triples(at, joined, hashes, None)
+                met, often = np.unique(word_cells(joined, cells), return_counts=True)
+                held.append((met, often))
+                size += len(met)
+                if bits is None:
+                    single, often = np.unique(ids[ids != BREAK], return_counts=True)
+                    held.append((word_cells(words.hashes[single], cells), often))
+                    size += len(single)
                 salt += len(text)
             if size > HELD_CELLS:
                 yield handed_on()
                 held, size = [], 0
             if sum(len(w.spelled) for w in known.values()) > KNOWN_WORDS:
                 known = {}
-        if held:
+        if size:
             yield handed_on()
     return run
 
@@ -181,15 +223,16 @@ def _summed(last: bool, least: int):
     return run
 
 
-def frequent_cells(texts: DataFrame, cells: int, least: int) -> np.ndarray:
-    """The filter: ``cells`` bits, set where words and word pairs together reach ``least``. Counts stop at 255."""
+def frequent_cells(texts: DataFrame, cells: int, least: int, pairs_pass=None) -> np.ndarray:
+    """A filter: ``cells`` bits, set where all that falls into a cell reaches ``least`` together. Counts stop at 255."""
     schema = "slice int, salt int, cells binary, counts binary"
-    counted = texts.mapInArrow(_cell_counts(cells), schema)
+    counted = texts.mapInArrow(_cell_counts(cells, pairs_pass), schema)
     some = counted.repartition("slice", "salt").sortWithinPartitions("slice", "salt").mapInArrow(_summed(False, least), schema)
     bits = some.repartition("slice").sortWithinPartitions("slice", "salt").mapInArrow(_summed(True, min(least, 255)), schema)
     out = np.zeros(cells >> 3, "uint8")
     size = 1 << (SLICE_BITS - 3)
-    for row in bits.select("slice", "counts").toLocalIterator():
+    # At most MOST_CELLS bits in all.
+    for row in bits.select("slice", "counts").collect():
         out[row["slice"] * size:(row["slice"] + 1) * size] = np.frombuffer(row["counts"], "uint8")
     return out
 
@@ -199,7 +242,7 @@ class Trie:
 
     def __init__(self, burst: int = BURST):
         self.burst = burst
-        self.top: dict[bytes, list] = {}        # first word -> [count of the word, container or trie level, entries]
+        self.top: dict[bytes, list] = {}        # first word -> [count, container or trie level, entries]
         self.entries = 0
 
     def add(self, phrase: bytes, n: int) -> None:
@@ -277,29 +320,43 @@ def _collect(below: dict, head: bytes, out: list[tuple[bytes, int]]) -> None:
         out.extend((head + rest, n) for rest, n in below.items())
 
 
-def _runs(cells: int, bits, most: int, entries: int):
-    """Pass 2: sorted runs of phrases, of whole subtrees of each task's tries."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def _blocks(lang: str, entries: list[tuple[bytes, int]], parts: int) -> Iterator:
+    """A sorted run as rows: language, partition, first phrase, phrases one per line, counts."""
+    import pyarrow as pa
 
-        passes = bits.value
+    dealt: dict[int, list[tuple[bytes, int]]] = {}
+    for entry in entries:
+        dealt.setdefault(crc32(b" ".join(entry[0].split(b" ", 2)[:2])) % parts, []).append(entry)
+    rows = []
+    for part, some in sorted(dealt.items()):
+        some.sort()
+        for a in range(0, len(some), BLOCK):
+            block = some[a:a + BLOCK]
+            rows.append((lang, part, block[0][0], b"\n".join(p for p, _ in block), np.array([n for _, n in block], "<i8").tobytes()))
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    for a in range(0, len(rows), 256):
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*rows[a:a + 256]), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "part", "first", "phrases", "counts"])
+
+
+def _runs(pairs_pass, triples_pass, most: int, entries: int, parts: int):
+    """Pass 3: sorted runs of phrases, of whole subtrees of each task's tries, and of its words."""
+    def run(batches: Iterator) -> Iterator:
+        pair_bits, triple_bits = pairs_pass.value, triples_pass.value
         known: dict[str, tuple[Words, Trie]] = {}
 
-        def frequent(at: np.ndarray) -> np.ndarray:
-            return (passes[at >> 3] >> (at & 7).astype("uint8")) & 1 == 1
-
         def spilled(lang: str, words: Words, trie: Trie, keep: int):
+            spell = words.spelled.__getitem__
+            out = []
             for first in trie.largest(keep):
-                out = sorted(
-                    (b" ".join(map(words.spelled.__getitem__, np.frombuffer(p, "<i4").tolist())), len(p) // 4, n) for p, n in trie.cut_off(first)
-                )
-                for a in range(0, len(out), 8192):
-                    some = out[a:a + 8192]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(some), pa.string()), pa.array([b" ".join(p.split(b" ", 2)[:2]) for p, _, _ in some], pa.binary()).cast(pa.string()),
-                        pa.array([p for p, _, _ in some], pa.binary()).cast(pa.string()),
-                        pa.array([k for _, k, _ in some], pa.int32()), pa.array([n for _, _, n in some], pa.int64()),
-                    ], names=["lang", "prefix", "phrase", "k", "n"])
+                out += [(b" ".join(map(spell, np.frombuffer(p, "<i4").tolist())), n) for p, n in trie.cut_off(first)]
+            if not keep:
+                # All words count towards the language's total, under the empty phrase.
+                out.append((b"", int(words.seen[1:].sum())))
+                own = np.flatnonzero(words.seen)
+                own = own[(own != BREAK) & _passing(pair_bits, words.hashes[own])]
+                out += [(words.spelled[i], int(words.seen[i])) for i in own.tolist()]
+            yield from _blocks(lang, out, parts)
 
         for batch in batches:
             for lang, text in _by_lang(batch):
@@ -308,25 +365,25 @@ def _runs(cells: int, bits, most: int, entries: int):
                 words, trie = known[lang]
                 ids = _ids(words, text)
                 hashes, raw = words.hashes[ids], ids.astype("<i4").tobytes()
-                single, often = np.unique(ids[ids != BREAK], return_counts=True)
-                # Words of all cells count towards the language's total, under the empty phrase.
-                trie.add(b"\0\0\0\0", int(often.sum()))
-                good = frequent(word_cells(words.hashes[single], cells))
-                for i, n in zip(single[good].tolist(), often[good].tolist()):
-                    trie.add(i.to_bytes(4, "little"), n)
-                whole = np.zeros(len(ids), bool)
-                whole[:-1] = (ids[:-1] != BREAK) & (ids[1:] != BREAK)
-                at = np.flatnonzero(whole)
-                whole[at] = frequent(pair_cells(hashes[at], hashes[at + 1], cells))
-                starts = np.flatnonzero(whole)
+                seen = np.bincount(ids, minlength=len(words.spelled))
+                seen[:len(words.seen)] += words.seen
+                words.seen = seen
+                starts, joined = _pairs(ids, hashes, pair_bits)
+                longer = np.zeros(len(ids), bool)
                 for k in range(2, most + 1):
+                    if k == 3:
+                        starts, joined = _triples(starts, joined, hashes, triple_bits)
+                        longer[starts] = True
+                    elif k > 3:
+                        starts = starts[longer[starts + 1]]
                     for phrase, n in Counter([raw[4 * i:4 * (i + k)] for i in starts.tolist()]).items():
                         trie.add(phrase, n)
-                    starts = starts[starts + k - 1 < len(whole)]
-                    starts = starts[whole[starts + k - 1]]
+                    if k > 2:
+                        longer[:] = False
+                        longer[starts] = True
             while sum(t.entries for _, t in known.values()) > entries:
                 lang, (words, trie) = max(known.items(), key=lambda item: item[1][1].entries)
-                yield from spilled(lang, words, trie, trie.entries // 2)
+                yield from spilled(lang, words, trie, max(1, trie.entries // 2))
             if sum(len(w.spelled) for w, _ in known.values()) > KNOWN_WORDS:
                 # Ids of words end with their trie: all of it goes.
                 for lang, (words, trie) in known.items():
@@ -338,31 +395,56 @@ def _runs(cells: int, bits, most: int, entries: int):
 
 
 def _merged(least: int):
-    """Equal phrases that follow each other, of different runs, become one; those below ``least`` go."""
+    """Runs of each language and partition merged by a heap; phrases below ``least`` go.
+
+    Blocks come in the order of their first phrases, so what is smaller than the next one's is complete.
+    """
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, total = None, 0
+        heap: list[tuple] = []                  # (next phrase, number of the block, place, phrases, counts)
+        where, phrase, total, number = None, None, 0, 0
+        out: list[tuple] = []
+
+        def drained(limit: bytes | None) -> None:
+            nonlocal phrase, total
+            while heap and (limit is None or heap[0][0] < limit):
+                now, block, at, phrases, counts = heappop(heap)
+                if now == phrase:
+                    total += counts[at]
+                else:
+                    if phrase is not None and total >= least:
+                        out.append((where[0], phrase, phrase.count(b" ") + 1, total))
+                    phrase, total = now, counts[at]
+                if at + 1 < len(phrases):
+                    heappush(heap, (phrases[at + 1], block, at + 1, phrases, counts))
+
+        def ended() -> None:
+            nonlocal phrase
+            drained(None)
+            if phrase is not None and total >= least:
+                out.append((where[0], phrase, phrase.count(b" ") + 1, total))
+            phrase = None
+
+        def rows():
+            lang, phrases, k, n = zip(*out)
+            columns = [pa.array(lang, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "f"])
+
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "k", "n"))):
-                if row[:3] == now:
-                    total += row[3]
-                    continue
-                if now is not None and total >= least:
-                    out.append((*now, total))
-                now, total = row[:3], row[3]
+            for lang, part, first, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "first", "phrases", "counts"))):
+                if (lang, part) != where:
+                    ended()
+                    where = lang, part
+                drained(first)
+                number += 1
+                heappush(heap, (first, number, 0, phrases.split(b"\n"), np.frombuffer(counts, "<i8").tolist()))
             if out:
-                yield _rows(out)
-        if now is not None and total >= least:
-            yield _rows([(*now, total)])
-
-    def _rows(out: list[tuple]):
-        import pyarrow as pa
-
-        return pa.RecordBatch.from_arrays([
-            pa.array(column, kind) for column, kind in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.int64()))
-        ], names=["lang", "phrase", "k", "f"])
+                yield rows()
+        ended()
+        if out:
+            yield rows()
     return run
 
 
@@ -376,14 +458,16 @@ def phrase_counts(
     """
     spark = ready(df.sparkSession)
     texts = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("text <> ''")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if cells is None:
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // BYTES_PER_CELL).bit_length()))
-    bits = spark.sparkContext.broadcast(frequent_cells(texts, cells, least))
-    runs = texts.mapInArrow(_runs(cells, bits, most, entries), "lang string, prefix string, phrase string, k int, n bigint")
+    pairs_pass = spark.sparkContext.broadcast(frequent_cells(texts, cells, least))
+    triples_pass = spark.sparkContext.broadcast(frequent_cells(texts, cells, least, pairs_pass))
+    parts = max(LEAST_PARTS, size // BYTES_PER_PART)
+    runs = texts.mapInArrow(_runs(pairs_pass, triples_pass, most, entries, parts), "lang string, part int, first binary, phrases binary, counts binary")
     # One shuffle: a language's phrases with the same first two words meet, in order.
-    dealt = runs.repartition("lang", "prefix").sortWithinPartitions("lang", "phrase", "k")
-    return written(dealt.select("lang", "phrase", "k", "n").mapInArrow(_merged(least), "lang string, phrase string, k int, f bigint"), "phrase-counts")
+    dealt = runs.repartition("lang", "part").sortWithinPartitions("lang", "part", "first")
+    return written(dealt.mapInArrow(_merged(least), "lang string, phrase string, k int, f bigint"), "phrase-counts")
 
 
 def score_cuts(counts: DataFrame) -> DataFrame:
