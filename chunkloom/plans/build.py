@@ -8,7 +8,7 @@ from chunkloom.operators import tracking
 from chunkloom.operators.chunking import (
     cut_files, dedupe_chunks, describe_chunks, fingerprint, recursive_split,
 )
-from chunkloom.operators.context import build_prompts, pack_context
+from chunkloom.operators.context import best_passages, build_prompts, pack_context
 from chunkloom.operators.metadata import enrich_chunks
 from chunkloom.operators.questions import analyse_questions
 from chunkloom.operators.vectors import topk_search
@@ -81,13 +81,12 @@ def answer_batch(
     """Prompts for a batch of questions.
 
     ``questions(question_id, question)``, ``question_vectors(query_id, embedding)``,
-    ``chunks(vec_id, embedding, ...)`` with the chunk columns.
+    ``chunks(vec_id, embedding, ...)`` with the chunk columns; the chunks of a document share its vector.
     """
     analysed = analyse_questions(questions, profile)
-    hits = topk_search(question_vectors, chunks, options.top_k)
-    rows = (
-        hits.join(chunks.drop("embedding"), "vec_id")
-        .join(analysed.select("question_id", "question", "intent"), F.col("query_id") == F.col("question_id"))
-    )
+    documents = chunks.select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    hits = topk_search(question_vectors, documents, options.top_k).join(
+        analysed.select("question_id", "question", "intent"), F.col("query_id") == F.col("question_id"))
+    rows = best_passages(hits, chunks.drop("embedding"), options.top_k)
     packed = pack_context(rows, options)
     return build_prompts(analysed.join(packed.select("question_id", "context"), "question_id", "left"))

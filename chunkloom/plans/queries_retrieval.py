@@ -39,20 +39,29 @@ SEARCH = f"CASE WHEN intent = 'overview' THEN question || ' ' || {o.lit(', '.joi
 USERS = "SELECT DISTINCT conv_id FROM conversations WHERE role = 'user'"
 ITEMS = "SELECT item_id FROM benchmark"
 DOC = r"regexp_extract(path, '/(\d+)\.', 1)::BIGINT"
-# One row per question and hit; vector n belongs to the first chunk of document n.
-ROWS = f"""{ASKED}, {o.topk_cte(USERS, K)},
-  rows AS (SELECT question_id, question, intent, hits.rank, hits.distance, chunks.*
-    FROM asked JOIN hits ON conv_id = query_id JOIN chunks ON {DOC} = vec_id AND chunk_index = 0)"""
-PROBES = f"""probes AS (SELECT item_id AS question_id, text AS question, lower(substr(text, 1, 1)) AS suite FROM benchmark),
-  {o.topk_cte(ITEMS, 5)},
-  rows AS (SELECT question_id, question, hits.rank, hits.distance, chunks.*
-    FROM probes JOIN hits ON question_id = query_id JOIN chunks ON {DOC} = vec_id AND chunk_index = 0)"""
 
 
 def _words(x: str) -> str:
     return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
 
 
+def _passages(questions: str, more: str, k: int) -> str:
+    """One row per question and hit: the best chunks of the nearest documents; vector n belongs to document n."""
+    return f"""near AS (SELECT question_id, question, {more}, hits.distance, hits.rank AS near, chunks.*,
+      len(list_filter(list_distinct({_words('lower(question)')}), lambda t: contains(lower(content), t))) AS terms
+    FROM {questions} JOIN chunks ON {DOC} = vec_id),
+  own AS (SELECT *, row_number() OVER (PARTITION BY question_id, path ORDER BY terms DESC, chunk_index) AS place FROM near),
+  rows AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY terms DESC, near, chunk_index, {DOC}) AS rank
+    FROM own WHERE place <= 3) WHERE rank <= {k})"""
+
+
+ROWS = f"""{ASKED}, {o.topk_cte(USERS, K)},
+  {_passages('asked JOIN hits ON conv_id = query_id', 'intent', K)}"""
+PROBES = f"""probes AS (SELECT item_id AS question_id, text AS question, lower(substr(text, 1, 1)) AS suite FROM benchmark),
+  {o.topk_cte(ITEMS, 5)},
+  {_passages('probes JOIN hits ON question_id = query_id', 'suite', 5)}"""
+
+
 def on_rows(select: str) -> str:
     return f"WITH {o.chunks(PROSE, o.PROSE_FILES)}, {ROWS} {select}"
 
@@ -65,14 +74,14 @@ def asked(spark, sf):
     return q.analyse_questions(bridges.questions(spark, sf), WEB)
 
 
-def _first_chunks(spark, sf):
-    return bridges.prose_chunks(spark, sf).filter("chunk_index = 0").withColumn("vec_id", F.col("doc_id"))
+def _chunks(spark, sf):
+    return bridges.prose_chunks(spark, sf).withColumn("vec_id", F.col("doc_id"))
 
 
 def rows(spark, sf):
     hits = v.topk_search(bridges.question_vectors(spark, sf), bridges.vectors(spark, sf), K)
     people = asked(spark, sf).select("question_id", "conv_id", "question", "intent")
-    return people.join(hits, F.col("conv_id") == F.col("query_id")).join(_first_chunks(spark, sf), "vec_id")
+    return c.best_passages(people.join(hits, F.col("conv_id") == F.col("query_id")), _chunks(spark, sf), K)
 
 
 def probes(spark, sf):
@@ -83,7 +92,7 @@ def probes(spark, sf):
 
 def probe_rows(spark, sf):
     hits = v.topk_search(bridges.probe_vectors(spark, sf), bridges.vectors(spark, sf), 5)
-    return probes(spark, sf).join(hits, F.col("question_id") == F.col("query_id")).join(_first_chunks(spark, sf), "vec_id")
+    return c.best_passages(probes(spark, sf).join(hits, F.col("question_id") == F.col("query_id")), _chunks(spark, sf), 5)
 
 
 # -- questions -------------------------------------------------------------------------------
@@ -143,16 +152,20 @@ def impact_questions(spark, sf):
     return asked(spark, sf).select("question_id", "asks_impact")
 
 
+_EDGE = "([A-Z][a-z]+) +([a-z]+)"
+
+
 def _word_edges(spark, sf):
-    """Capitalised words of a document's start: the first depends on the word after it."""
+    """Every capitalised word of a text depends on the word after it."""
     docs = bridges.table(spark, sf, "documents")
-    word = "^([A-Z][a-z]+) +([a-z]+)"
-    return docs.select(F.regexp_extract("text", word, 1).alias("src"), F.initcap(F.regexp_extract("text", word, 2)).alias("dep")).filter("src <> ''").distinct()
+    pairs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_EDGE), F.lit(0)))).alias("pair")).distinct()
+    return pairs.select(
+        F.regexp_extract("pair", _EDGE, 1).alias("src"), F.initcap(F.regexp_extract("pair", _EDGE, 2)).alias("dep")).distinct()
 
 
-_IMPACT = f"""edges AS (SELECT DISTINCT regexp_extract(text, '^([A-Z][a-z]+) +([a-z]+)', 1) AS src,
-    upper(substr(regexp_extract(text, '^([A-Z][a-z]+) +([a-z]+)', 2), 1, 1)) || substr(regexp_extract(text, '^([A-Z][a-z]+) +([a-z]+)', 2), 2) AS dep FROM documents
-    WHERE regexp_extract(text, '^([A-Z][a-z]+) +([a-z]+)', 1) <> ''),
+_IMPACT = f"""pairs AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_EDGE}')) AS pair FROM documents),
+  edges AS (SELECT DISTINCT regexp_extract(pair, '{_EDGE}', 1) AS src,
+    upper(substr(regexp_extract(pair, '{_EDGE}', 2), 1, 1)) || substr(regexp_extract(pair, '{_EDGE}', 2), 2) AS dep FROM pairs),
   mentions AS (SELECT question_id, unnest({MENTIONS}) AS seed FROM asked WHERE {ASKS}),
   c AS (SELECT seed, e.src AS impacted FROM (SELECT DISTINCT seed FROM mentions) JOIN edges e ON e.dep = seed
     UNION SELECT c.seed, e.src FROM c JOIN edges e ON e.dep = c.impacted)"""
@@ -315,13 +328,16 @@ def build_prompts(spark, sf):
     return c.build_prompts(every).select("question_id", "prompt")
 
 
-@query("answer_batch")
+@query("answer_batch", on_rows("").rstrip() + f""", {PACKED}, {CONTEXT},
+  p AS (SELECT question_id, intent, context, {SEARCH} AS search_text FROM asked LEFT JOIN contexts USING (question_id)),
+  q AS (SELECT question_id, intent, {_prompt_sql()} AS prompt FROM p)
+  SELECT question_id, intent, prompt, CASE WHEN length(prompt) > 200 THEN substr(prompt, 1, 200) || '...' ELSE prompt END AS prompt_preview FROM q""")
 def answer(spark, sf):
     """The whole question batch: intent, search, context, prompt. Vector n asks for question n."""
     asked_ = bridges.questions(spark, sf).select("question_id", "question")
     vecs = bridges.vectors(spark, sf).withColumnRenamed("vec_id", "query_id")
     numbered = asked_.join(bridges.questions(spark, sf).select("question_id", F.col("conv_id").alias("query_id")), "question_id")
-    store = _first_chunks(spark, sf).join(bridges.vectors(spark, sf), "vec_id")
+    store = _chunks(spark, sf).join(bridges.vectors(spark, sf), "vec_id")
     per_question = numbered.join(vecs, "query_id").select(F.col("question_id").alias("query_id"), "embedding")
     return answer_batch(asked_, per_question, store, PROSE, OPTIONS).select("question_id", "intent", "prompt", "prompt_preview")
 
@@ -350,8 +366,9 @@ def context_business(spark, sf):
     return flat(c.context_business(business_level(bridges.prose_chunks(spark, sf))))
 
 
-_ASKED_PAIRS = f"""pairs AS (SELECT conv_id * 1000 + turn AS question_id,
-    'check the field ' || split_part(text, ' ', 2) || ' in ' || split_part(text, ' ', 1) || 'Screen' AS question FROM conversations),
+_ASKED_PAIRS = f"""said AS (SELECT conv_id * 1000 + turn AS question_id, string_split(coalesce(text, ''), ' ') AS w FROM conversations),
+  pairs AS (SELECT DISTINCT question_id, 'check the field ' || w[i + 1] || ' in ' || w[i] || 'Screen' AS question
+    FROM (SELECT question_id, w, unnest(range(1, len(w))) AS i FROM said)),
   named AS (SELECT question_id, regexp_extract(question, '(?:field|input|of)\\s+["'']?({W}+)["'']?', 1) AS field,
     regexp_extract(question, 'in\\s+([A-Z]{W}*Screen)', 1) AS screen_name FROM pairs)"""
 
@@ -365,11 +382,11 @@ _ASKED_PAIRS = f"""pairs AS (SELECT conv_id * 1000 + turn AS question_id,
     ELSE '## ✅ Validation Rules' || {o.NL} || '• `' || m.field || '` in `' || m.screen || '` is validated by: ' || rules || {o.NL} || {o.NL} END AS text
   FROM named LEFT JOIN m ON m.screen = screen_name AND m.field = named.field""")
 def context_validation(spark, sf):
-    """Questions that name a field and a screen, taken from the first two words of every turn."""
-    words = F.split("text", " ", -1)
-    pairs = bridges.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-        F.concat(F.lit("check the field "), F.coalesce(F.get(words, F.lit(1)), F.lit("")), F.lit(" in "), words[0], F.lit("Screen")).alias("question"))
+    """Questions that name a field and a screen, one for every two neighbouring words of every turn."""
+    said = bridges.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.split(F.coalesce("text", F.lit("")), " ", -1).alias("w"))
+    pairs = said.select("question_id", F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("screen"), F.slice("w", F.lit(2), F.size("w")).alias("field"))).alias("p")).select(
+        "question_id", F.concat(F.lit("check the field "), "p.field", F.lit(" in "), "p.screen", F.lit("Screen")).alias("question")).distinct()
     screens = screen_input_map(bridges.prose_chunks(spark, sf)).withColumn("screen_name", F.concat("screen_name", F.lit("Screen")))
     return c.context_validation(pairs, screens)
 
