@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chunkloom.operators import indexes
-from chunkloom.operators.graph import impact_closure
+from chunkloom.operators.graph import impact_closure, impact_of_all
 from chunkloom.plans import bridges, oracle as o
 from chunkloom.plans.registry import flat, query
 from chunkloom.profiles import BUSINESS_KEYS
@@ -162,23 +162,27 @@ def closure(spark, sf):
     return impact_closure(bridges.part_edges(spark, sf), seeds)
 
 
-_WORDS = """w AS (SELECT DISTINCT regexp_extract(text, '^([A-Za-z]+)', 1) AS src, regexp_extract(text, '^[A-Za-z]+ +([A-Za-z]+)', 1) AS second,
-    source FROM documents),
-  edges AS (SELECT DISTINCT lower(src) AS src, lower(second) AS dep FROM w WHERE src <> '' AND second <> '')"""
+_FIRST = "^([A-Za-z]+) +([A-Za-z]+)"
 
 
-@query("word_closure", f"""WITH RECURSIVE {_WORDS},
-  seeds AS (SELECT DISTINCT dep AS seed FROM edges),
-  c AS (SELECT e.dep AS seed, e.src AS impacted FROM edges e
-    UNION SELECT c.seed, e.src FROM c JOIN edges e ON e.dep = c.impacted)
-  SELECT seed, impacted FROM c""")
+@query("word_closure", f"""WITH RECURSIVE lines AS (SELECT DISTINCT regexp_extract(line, '{_FIRST}', 0) AS pair
+    FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '{_FIRST}')),
+  edges AS (SELECT DISTINCT lower(regexp_extract(pair, '{_FIRST}', 1)) AS src, lower(regexp_extract(pair, '{_FIRST}', 2)) AS dep FROM lines),
+  nodes AS (SELECT src AS node FROM edges UNION SELECT dep FROM edges),
+  c AS (SELECT dep AS seed, src AS impacted FROM edges
+    UNION SELECT c.seed, e.src FROM c JOIN edges e ON e.dep = c.impacted),
+  mutual AS (SELECT c.seed AS node, c.impacted AS other FROM c JOIN c r ON r.seed = c.impacted AND r.impacted = c.seed UNION SELECT node, node FROM nodes),
+  m AS (SELECT node, min(other) AS component, count(*) AS n_members FROM mutual GROUP BY node),
+  n AS (SELECT seed AS node, count(*) AS n_impacted FROM c GROUP BY seed)
+  SELECT node, component, n_members, coalesce(n_impacted, 0) AS n_impacted FROM m LEFT JOIN n USING (node)""")
 def word_closure(spark, sf):
-    """Cyclic graph: the first word of a document depends on its second; every node is a seed."""
+    """Cyclic graph over whole texts: the first word of every line depends on its second; all nodes at once."""
     docs = bridges.table(spark, sf, "documents")
-    edges = docs.select(
-        F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("src"),
-        F.lower(F.regexp_extract("text", "^[A-Za-z]+ +([A-Za-z]+)", 1)).alias("dep")).filter("src <> '' and dep <> ''").distinct()
-    return impact_closure(edges, edges.select(F.col("dep").alias("seed")).distinct())
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(_FIRST))
+    pairs = lines.select(F.regexp_extract("line", _FIRST, 0).alias("pair")).distinct()
+    edges = pairs.select(
+        F.lower(F.regexp_extract("pair", _FIRST, 1)).alias("src"), F.lower(F.regexp_extract("pair", _FIRST, 2)).alias("dep")).distinct()
+    return impact_of_all(edges)
 
 
 @query("resolved_edges", f"""WITH {o.chunks(bridges.CODE_PROFILES['de'], o.code_files('de'))},
