@@ -16,6 +16,7 @@ from chunkloom.plans.build import build_chunks, incremental_build
 from chunkloom.plans.registry import flat, query
 from chunkloom.session import scratch_path
 from chunkloom.sources import files as file_source, logs, manifest, stores
+from chunkloom.streaming import ingest
 
 # Snapshots of the corpus, see bridges.snapshots.
 SNAP = f"""f AS (SELECT path, content, quality, toxic FROM ({o.PROSE_FILES}) LEFT JOIN labels USING (doc_id)),
@@ -86,6 +87,45 @@ def incremental(spark, sf):
     return flat(stores.load_chunks(spark, store).select("path", "chunk_index", "fingerprint"))
 
 
+@query("stream_merge", f"""WITH {o.chunks(PROSE, "SELECT path, content FROM (" + o.PROSE_FILES + ") LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0")}
+  SELECT path, chunk_index, fingerprint FROM chunks""")
+def stream_merge(spark, sf):
+    """The old snapshot streamed into a store, then what changed and was deleted since, in several micro-batches each."""
+    new, old = bridges.snapshots(spark, sf)
+    files = bridges.prose_files(spark, sf).join(bridges.table(spark, sf, "labels"), "doc_id", "left")
+    before = F.when(F.col("quality") == 0, F.concat("content", F.lit("~"))).otherwise(F.col("content"))
+    feed = tracking.change_feed(new, old).filter("change <> 'same'")
+    folder, store, track, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "store", "tracking", "merge-checkpoint"))
+
+    def arrive(rows, at):
+        columns = ["path", "content", F.sha2("content", 256).alias("sha256"), F.length("content").cast("bigint").alias("size")]
+        rows.select(*columns, F.timestamp_seconds(F.lit(at)).alias("mtime"), "deleted").repartition(3, "path").write.mode("append").parquet(folder)
+        schema = "path string, content string, sha256 string, size bigint, mtime timestamp, deleted boolean"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        ingest.stream_merge(stream, store, track, PROSE, checkpoint, compact_after=3).awaitTermination()
+
+    arrive(files.filter("quality IS NOT NULL").select("path", before.alias("content"), F.lit(False).alias("deleted")), 1)
+    arrive(files.select("path", "content").join(feed, "path").withColumn("deleted", F.col("change") == "deleted"), 2)
+    return flat(stores.load_chunks(spark, store).select("path", "chunk_index", "fingerprint"))
+
+
+@query("load_tracking", f"""WITH {SNAP}, {CHANGED}
+  SELECT path, coalesce(n.content_hash, old.content_hash) AS content_hash, coalesce(n.size, old.size) AS size,
+    CASE WHEN n.path IS NOT NULL THEN 'c2' ELSE 'c1' END AS commit_sha
+  FROM old FULL JOIN (SELECT * FROM new WHERE path IN (SELECT path FROM changed)) n USING (path)
+  WHERE path IN (SELECT path FROM new)""")
+def load_tracking(spark, sf):
+    """The tracking table on disk: a snapshot, an upsert with deletes on top of it, a compaction, and read back."""
+    new, old = bridges.snapshots(spark, sf)
+    feed = tracking.change_feed(new, old)
+    processed = tracking.only_changed(new, feed.filter("change in ('added', 'modified')"))
+    table = scratch_path(spark, "tracking")
+    stores.write_tracking(_tracked(old, "c1", 1.0), table)
+    stores.merge_tracking(_tracked(processed, "c2", 2.0), table, feed.filter("change = 'deleted'"))
+    stores.tracking_table(spark, table).compact()
+    return stores.load_tracking(spark, table).select("path", "content_hash", "size", "commit_sha")
+
+
 @query("merge_chunks", f"""WITH {SNAP}, {CHANGED}
   SELECT path, content_hash, 'kept' AS origin FROM old
     WHERE path NOT IN (SELECT path FROM changed) AND path IN (SELECT path FROM new)
