@@ -1,12 +1,13 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 A line is normalised to its lower-case words (what stands between signs and spaces of Latin-1). Equal normalised lines are one line. Two
-lines are linked if their 64-bit SimHashes of words differ in ``MAX_BITS`` at most and nine tenths of the longer one need
-no edit. The group of a line is its connected component; the first occurrence in the group (smallest document, then
+lines are linked if their 64-bit SimHashes of words differ in ``MAX_BITS`` at most and nineteen twentieths of the longer one
+need no edit. The group of a line is its connected component; the first occurrence in the group (smallest document, then
 line) stays, every other is taken out. All of it is DataFrame expressions.
 
 Hashes that differ in three bits agree in at least two of five blocks, so lines meet on the ten pairs of blocks, and every
-linked pair does. In a bucket, lines meet the leader first; then, in buckets that are not one component, lines of different
+linked pair does. In a bucket, lines meet the leader first, whose hash the bucket carries, so that most chance meetings
+end there; then, in buckets that are not one component, lines of different
 components meet. Texts are fetched for lines whose hashes are near, for no others.
 
 Defined cases: lines without a word stay, as do rows without text or id; rows with one id are copies of one document and
@@ -25,7 +26,7 @@ from chunkloom.llm.graph import components
 
 MAX_BITS = 3
 # Edits allowed for: one in so many characters of the longer line.
-EDIT_SHARE = 10
+EDIT_SHARE = 20
 
 # Distinct words that one packed counter can count: eight fields of a long, below 2^7 each.
 CHUNK_WORDS = 127
@@ -100,18 +101,24 @@ def occurrences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     words = (
         lines.where(F.size("words") > 0)
         .select("row", "doc", "line", F.inline(F.array(F.struct(
-            F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("key"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("features"),
+            F.concat_ws(" ", "words").alias("norm"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("features"),
         ))))
-        .select("row", "doc", "line", "key", F.size("features").alias("n"), F.posexplode("features").alias("at", "feature"))
+        .select("row", "doc", "line", *_keys("norm"), F.size("features").alias("n"), F.posexplode("features").alias("at", "feature"))
     )
-    chunks = words.groupBy("row", "doc", "line", "key", F.expr(f"at div {CHUNK_WORDS}").alias("chunk")).agg(F.max("n").alias("n"), *_packed("feature"))
+    own = [F.max(c).alias(c) for c in ("doc", "key", "key2", "n")]      # one value per line
+    chunks = words.groupBy("row", "line", F.expr(f"at div {CHUNK_WORDS}").alias("chunk")).agg(*own, *_packed("feature"))
     short = chunks.where(F.col("n") <= CHUNK_WORDS)
-    long = chunks.where(F.col("n") > CHUNK_WORDS).groupBy("row", "doc", "line", "key").agg(F.max("n").alias("n"), *_counters())
-    return short.select("doc", "line", "key", _packed_majority("n").alias("simhash")).unionByName(
-        long.select("doc", "line", "key", _majority("n").alias("simhash"))
+    long = chunks.where(F.col("n") > CHUNK_WORDS).groupBy("row", "line").agg(*own, *_counters())
+    return short.select("doc", "line", "key", "key2", _packed_majority("n").alias("simhash")).unionByName(
+        long.select("doc", "line", "key", "key2", _majority("n").alias("simhash"))
     )
 
 
+def _keys(norm: str) -> list[Column]:
+    """128 bits that stand for a normalised line."""
+    return [F.xxhash64(norm).alias("key"), F.xxhash64(F.lit("second"), norm).alias("key2")]
+
+
 def _block_keys() -> Column:
     """Ten keys: the number of the block pair above the bits of its two blocks."""
     def block(i: int) -> Column:
@@ -128,12 +135,13 @@ def _near(a: str, b: str) -> Column:
 
 def _line_texts(ids: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
     """``line_id`` and normalised text of the lines in ``ids`` (line_id), taken from their first documents."""
-    wanted = distinct.join(ids, "line_id").groupBy("doc").agg(F.collect_list(F.struct("line", "line_id", "key")).alias("wanted"))
+    wanted = distinct.join(ids, "line_id").groupBy("doc").agg(F.collect_list(F.struct("line", "line_id", "key", "key2")).alias("wanted"))
     found = df.select(F.col(id).cast("bigint").alias("doc"), F.col(text).alias("raw")).join(wanted, "doc")
     found = found.select(F.inline(F.array(F.struct(F.split("raw", "\n").alias("raw"), "wanted")))).select("raw", F.explode("wanted").alias("w"))
     norms = found.select("w", F.inline(F.array(F.struct(F.concat_ws(" ", line_words(F.get("raw", F.col("w.line")))).alias("norm")))))
     # Rows with one id may have different texts.
-    return norms.where(F.unhex(F.md5("norm")) == F.col("w.key")).select("w.line_id", "norm").dropDuplicates(["line_id"])
+    same = norms.select("w", "norm", *_keys("norm")).where((F.col("key") == F.col("w.key")) & (F.col("key2") == F.col("w.key2")))
+    return same.select("w.line_id", "norm").dropDuplicates(["line_id"])
 
 
 def _similar(pairs: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
@@ -157,21 +165,20 @@ def _similar(pairs: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text
 def line_links(distinct: DataFrame, df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that join the lines of every group, and the labels of their components.
 
-    ``distinct``: line_id, simhash, key and the place (doc, line) of every distinct line of ``df``.
+    ``distinct``: line_id, simhash, key, key2 and the place (doc, line) of every distinct line of ``df``.
     """
     blocks = distinct.select("line_id", "simhash", F.explode(_block_keys()).alias("block"))
     buckets = written(
-        blocks.groupBy("block").agg(F.min("line_id").alias("leader"), F.max("line_id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1"),
-        "line-buckets",
+        blocks.groupBy("block").agg(
+            F.min("line_id").alias("leader"), F.min_by("simhash", "line_id").alias("led"), F.max("line_id").alias("other"),
+            F.max_by("simhash", "line_id").alias("last"), F.count(F.lit(1)).alias("n"),
+        ).where((F.col("n") > 2) | (F.col("n") == 2) & _near("led", "last")), "line-buckets",
     )
-    members = written(blocks.join(buckets.where("n > 2").select("block", "leader"), "block").where("line_id <> leader"), "line-members")
-    stars = buckets.where("n = 2").select(F.col("leader").alias("a"), F.col("other").alias("b")).unionByName(
-        members.select(F.col("leader").alias("a"), F.col("line_id").alias("b"))
-    ).distinct()
-    hashes = distinct.select("line_id", "simhash")
+    members = written(blocks.join(buckets.where("n > 2").select("block", "leader", "led"), "block").where("line_id <> leader"), "line-members")
     pairs = written(
-        stars.join(hashes.select(F.col("line_id").alias("a"), F.col("simhash").alias("ha")), "a")
-        .join(hashes.select(F.col("line_id").alias("b"), F.col("simhash").alias("hb")), "b").where(_near("ha", "hb")).select("a", "b"), "line-pairs",
+        buckets.where("n = 2").select(F.col("leader").alias("a"), F.col("other").alias("b")).unionByName(
+            members.where(_near("simhash", "led")).select(F.col("leader").alias("a"), F.col("line_id").alias("b"))
+        ).distinct(), "line-pairs",
     )
     dropped(buckets)
     links = _similar(pairs, distinct, df, id, text)
@@ -197,18 +204,18 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """``doc``, ``line`` of every occurrence that is not the first of its group."""
     occ = written(occurrences(df, id, text), "line-occurrences")
     distinct = written(
-        occ.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"))
-        .select("key", "first.doc", "first.line", "simhash", "n").withColumn("line_id", F.monotonically_increasing_id()), "distinct-lines",
+        occ.groupBy("key", "key2").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n"))
+        .select("key", "key2", "first.doc", "first.line", "simhash", "n").withColumn("line_id", F.monotonically_increasing_id()), "distinct-lines",
     )
     _, labels = line_links(distinct, df, id, text)
     # Only lines that recur or are linked matter from here on.
     grouped = distinct.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left").where("n > 1 OR component IS NOT NULL").select(
-        "key", "doc", "line", F.coalesce("component", "line_id").alias("group")
+        "key", "key2", "doc", "line", F.coalesce("component", "line_id").alias("group")
     )
     first = grouped.groupBy("group").agg(F.min(F.struct("doc", "line")).alias("first"))
-    kept = written(grouped.join(first, "group").select("key", F.col("first.doc").alias("kept_doc"), F.col("first.line").alias("kept_line")), "kept-lines")
+    kept = written(grouped.join(first, "group").select("key", "key2", F.col("first.doc").alias("kept_doc"), F.col("first.line").alias("kept_line")), "kept-lines")
     dropped(distinct)
-    return occ.join(kept, "key").where("doc <> kept_doc OR line <> kept_line").select("doc", "line")
+    return occ.join(kept, ["key", "key2"]).where("doc <> kept_doc OR line <> kept_line").select("doc", "line")
 
 
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
