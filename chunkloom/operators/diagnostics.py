@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from chunkloom.functions import paths
 from chunkloom.functions.text import head, joined
@@ -400,10 +400,24 @@ def full_report(chunks: DataFrame, vectors: DataFrame, collections: DataFrame) -
     return out
 
 
-def report_rows(report: dict[str, DataFrame]) -> DataFrame:
-    """A bundle as one table ``(section, row)``, rows as JSON, so it can be stored or hashed."""
+def _same_text(field: T.StructField) -> Column:
+    """A value as text that does not depend on the engine: six digits after the point, lists joined; ``null``, also for an empty list."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        value = F.format_string("%.6f", value.cast("double"))
+        return F.when(F.col(field.name).isNull(), "null").otherwise(value).alias(field.name)
+    if isinstance(field.dataType, T.ArrayType):
+        value = F.when(F.size(field.name) > 0, F.array_join(field.name, ", "))
+    return F.coalesce(value.cast("string"), F.lit("null")).alias(field.name)
+
+
+def report_rows(report: dict[str, DataFrame], as_text: bool = False) -> DataFrame:
+    """A bundle as one table ``(section, row)``, rows as JSON, so it can be stored or hashed.
+
+    With ``as_text`` all values are texts of one form, for comparison with reports made elsewhere.
+    """
     parts = [
-        df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("row"))
+        df.select(F.lit(name).alias("section"), F.to_json(F.struct(*([_same_text(f) for f in df.schema] if as_text else df.columns))).alias("row"))
         for name, df in report.items()
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chunkloom.operators import diagnostics as d
 from chunkloom.operators.indexes import file_level
 from chunkloom.plans import bridges, oracle as o
-from chunkloom.plans.registry import flat, query
+from chunkloom.plans.registry import ORACLES, flat, query
 from chunkloom.plans.queries_sources import _tracked
 
 L = "length(content)"
@@ -285,29 +285,60 @@ def missing_files(spark, sf):
 # -- bundles -----------------------------------------------------------------------------------
 
 def _sections(report):
-    """Rows per section of a bundle."""
-    return d.report_rows(report).groupBy("section").agg(F.count(F.lit(1)).alias("rows"))
+    """Section and row of a bundle."""
+    return d.report_rows(report, as_text=True)
 
 
-def _tops(*pairs: tuple[str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS section, {c} AS rows" for n, c in pairs)
+def _row(name: str, select: str, columns: str) -> str:
+    """Rows of a section; ``columns`` in their order, marked ``:d`` for a number with a fraction, ``:l`` for a list."""
+    def text(column: str) -> str:
+        name, _, kind = column.partition(":")
+        value = f"printf('%.6f', {name})" if kind == "d" else f"nullif(array_to_string({name}, ', '), '')" if kind == "l" else f"CAST({name} AS VARCHAR)"
+        return f"'{name}', coalesce({value}, 'null')"
+    return f"SELECT '{name}' AS section, CAST(json_object({', '.join(map(text, columns.split()))}) AS VARCHAR) AS row FROM ({select})"
 
 
-_FILES10, _FILES15 = "(SELECT least(count(DISTINCT path), 10) FROM chunks)", "(SELECT least(count(DISTINCT path), 15) FROM chunks)"
+def _known(name: str) -> str:
+    """The SQL of a registered query, without its chunk table."""
+    return ORACLES[name].removeprefix(o.prose(""))
+
+
+def _bundle(*rows: str) -> str:
+    return o.prose(" UNION ALL ".join(rows))
+
+
+_FILE = "file_path chunk_count avg_chunk_length:d min_chunk_length max_chunk_length chunk_type_count"
+_BY_COUNT = "FROM chunks GROUP BY path ORDER BY chunk_count DESC, path LIMIT"
+_CUT = "SELECT id, path AS source, type AS chunk_type, length(content) AS content_length"
 _QUICK = (
-    ("database_info", "1::BIGINT"), ("chunk_distribution", f"(SELECT count(DISTINCT {BAND}) FROM chunks)"),
-    ("metadata_completeness", "1"), ("top_files", _FILES10), ("chunk_types", "(SELECT count(DISTINCT type) FROM chunks)"))
+    _row("database_info", OVERVIEW, "total_chunks unique_files avg_chunk_length:d min_chunk_length max_chunk_length"),
+    _row("chunk_distribution", _known("length_histogram"), "length_category chunk_count percentage:d"),
+    _row("metadata_completeness", _known("metadata_completeness"), "total_chunks has_source has_class_names has_function_names has_screen_name has_business_logic "
+         "has_ui_elements has_dependencies has_api_endpoints has_semantic_anchors"),
+    _row("top_files", f"SELECT path AS file_path, {MEASURES} {_BY_COUNT} 10", "file_path chunk_count avg_chunk_length:d chunk_type_count"),
+    _row("chunk_types", _known("chunk_type_stats"), "chunk_type count avg_length:d percentage:d"),
+)
 _CHUNKING = (
-    ("very_short_chunks", "(SELECT count(*) FROM chunks WHERE length(content) < 50)"),
-    ("very_long_chunks", f"(SELECT least(count(*), 10) FROM chunks WHERE {L} > 3000)"), ("file_distribution", _FILES15))
+    _row("very_short_chunks", f"{_CUT}, content FROM chunks WHERE {L} < 50", "id source chunk_type content_length content"),
+    _row("very_long_chunks", _known("long_chunks"), "id source chunk_type content_length content_preview"),
+    _row("file_distribution", f"SELECT path AS file_path, {MEASURES} {_BY_COUNT} 15", _FILE),
+)
 _META = (
-    ("missing_metadata", "(SELECT least(count(*), 20) FROM chunks WHERE len(class_names) = 0 OR len(function_names) = 0 OR screen_name IS NULL)"),
-    ("semantic_anchors", "1"), ("sample_metadata", "(SELECT least(count(*), 10) FROM chunks)"))
-_RETRIEVAL = (("embedding_stats", "1"), ("sample_embeddings", "(SELECT least(count(*), 10) FROM embeddings)"))
-_PERF = (("database_size", "3"), ("file_extensions", "(SELECT count(DISTINCT right(path, 4)) FROM chunks)"))
-
-
-@query("quick_report", o.prose(f"SELECT section, rows FROM ({_tops(*_QUICK)})"))
+    _row("missing_metadata", _known("missing_metadata_first"), "id source chunk_type missing_field"),
+    _row("semantic_anchors", ANCHOR_STATS, "chunks_with_anchors chunks_without_anchors total_chunks anchor_percentage:d"),
+    _row("sample_metadata", _known("sample_metadata"), "id source class_names function_names screen_name chunk_type has_anchors content_length"),
+)
+_RETRIEVAL = (
+    _row("embedding_stats", _known("embedding_stats"), "total_embeddings avg_embedding_size:d min_embedding_size max_embedding_size"),
+    _row("sample_embeddings", _known("sample_embeddings"), "id embedding_size"),
+)
+_PERF = (
+    _row("database_size", _known("table_sizes"), "table_name row_count total_content_size total_embedding_size"),
+    _row("file_extensions", _known("extension_stats"), "file_extension chunk_count file_count avg_chunk_length:d"),
+)
+
+
+@query("quick_report", _bundle(*_QUICK))
 def quick_report(spark, sf):
     return _sections(d.quick_report(chunks(spark, sf)))
 
@@ -320,12 +351,12 @@ def _focused(kind: str):
 
 
 for _kind, _parts in (("chunking", _CHUNKING), ("metadata", _META), ("retrieval", _RETRIEVAL), ("performance", _PERF)):
-    query(f"focused_report_{_kind}", o.prose(f"SELECT section, rows::BIGINT AS rows FROM ({_tops(*_parts)}) WHERE rows > 0"))(_focused(_kind))
+    query(f"focused_report_{_kind}", _bundle(*_parts))(_focused(_kind))
 
 
-@query("full_report", o.prose(f"""SELECT section, rows::BIGINT AS rows FROM ({_tops(*_QUICK, *_CHUNKING, *_META, *_RETRIEVAL, *_PERF,
-    ("semantic_entities", "(SELECT least(count(*), 20) FROM (SELECT DISTINCT class_names, function_names, screen_name FROM chunks WHERE len(class_names) > 0 OR len(function_names) > 0 OR screen_name IS NOT NULL))"),
-    ("file_processing_stats", "(SELECT count(DISTINCT path) FROM chunks)"))}) WHERE rows > 0"""))
+@query("full_report", _bundle(
+    *_QUICK, *_CHUNKING, *_META, *_RETRIEVAL, *_PERF, _row("semantic_entities", _known("semantic_entities"), "class_names function_names screen_name count"),
+    _row("file_processing_stats", f"SELECT path AS file_path, {MEASURES} FROM chunks GROUP BY path", _FILE)))
 def full_report(spark, sf):
     collections = bridges.table(spark, sf, "documents").select("source").distinct()
     return _sections(d.full_report(chunks(spark, sf), stored_vectors(spark, sf), collections))
@@ -338,23 +369,42 @@ def debug_report(spark, sf):
     return d.debug_report(c, file_level(c), _tracked(bridges.snapshots(spark, sf)[1], "c1", 1.0))
 
 
-@query("chunk_overview", o.prose(f"SELECT section, rows::BIGINT AS rows FROM ({_tops(('totals', '1'), ('top_files', _FILES10), ('processed', '(SELECT least(count(*), 10) FROM labels)'), ('processed_rest', '1'), ('anchors', '1'))})"))
+_OLD = "SELECT DISTINCT path FROM (" + o.PROSE_FILES + ") JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
+
+
+@query("chunk_overview", _bundle(
+    _row("totals", "SELECT count(*) AS total_chunks, count(DISTINCT path) AS unique_files FROM chunks", "total_chunks unique_files"),
+    _row("top_files", f"SELECT path, count(*) AS chunk_count {_BY_COUNT} 10", "path chunk_count"),
+    _row("processed", f"{_OLD} ORDER BY path LIMIT 10", "path"),
+    _row("processed_rest", f"SELECT greatest(count(*) - 10, 0) AS more_files FROM ({_OLD})", "more_files"),
+    _row("anchors", _known("anchor_counts"), "screen_name class_names function_names component_name no_anchors total_chunks coverage:d")))
 def chunk_overview(spark, sf):
     return _sections(d.chunk_overview(chunks(spark, sf), bridges.snapshots(spark, sf)[1]))
 
 
-@query("index_panel", o.prose(f"""SELECT section, rows::BIGINT AS rows FROM ({_tops(('anchorless_total', '1'),
-    ('anchorless_first', '(SELECT least(count(*), 20) FROM chunks WHERE NOT has_semantic_anchors)'),
-    ('files_first', '(SELECT least(count(DISTINCT path), 5) FROM chunks)'), ('extensions', '(SELECT count(DISTINCT lang) FROM documents)'))})"""))
+_BARE = "FROM chunks WHERE NOT has_semantic_anchors"
+
+
+@query("index_panel", _bundle(
+    _row("anchorless_total", f"SELECT count(*) AS anchorless {_BARE}", "anchorless"),
+    _row("anchorless_first", f"""SELECT path, chunk_index, substr(summary, 1, 80) AS summary, screen_name, class_names, function_names, component_name
+      {_BARE} ORDER BY path, chunk_index LIMIT 20""", "path chunk_index summary screen_name class_names:l function_names:l component_name"),
+    _row("files_first", "SELECT path, count(*) AS chunk_count, arg_min(file_type, chunk_index) AS file_type FROM chunks GROUP BY path ORDER BY path LIMIT 5",
+         "path chunk_count file_type"),
+    _row("missing_first", "SELECT 'missing_files' AS level, path, chunk_index FROM chunks WHERE path IS NULL", "level path chunk_index"),
+    _row("extensions", f"SELECT {o.dotted_ext('path')} AS extension, count(*) AS files, false AS supported FROM ({o.PROSE_FILES}) GROUP BY 1",
+         "extension files supported")))
 def index_panel(spark, sf):
     c = chunks(spark, sf)
     return _sections(d.index_panel(c, file_level(c), bridges.prose_files(spark, sf)))
 
 
-@query("canned_queries", o.prose(f"""SELECT section, rows::BIGINT AS rows FROM ({_tops(('row_count', '1'), ('distinct_sources', '1'), ('length_stats', '1'),
-    ('chunks_per_file', _FILES10), ('types', '(SELECT count(DISTINCT type) FROM chunks)'), ('anchors', '1'),
-    ('extensions', '(SELECT count(DISTINCT right(path, 4)) FROM chunks)'), ('embedding_size', '1'), ('sample', '(SELECT least(count(*), 5) FROM chunks)'))})"""))
+@query("canned_queries", _bundle(
+    _row("row_count", "SELECT count(*) AS n FROM chunks", "n"), _row("distinct_sources", "SELECT count(DISTINCT path) AS n FROM chunks", "n"),
+    _row("length_stats", OVERVIEW, "avg_chunk_length:d min_chunk_length max_chunk_length"),
+    _row("chunks_per_file", f"SELECT path AS file_path, count(*) AS chunk_count {_BY_COUNT} 10", "file_path chunk_count"),
+    _row("types", _known("chunk_type_stats"), "chunk_type count"), _row("anchors", ANCHOR_STATS, "total_chunks chunks_with_anchors"),
+    _row("extensions", _known("extension_stats"), "file_extension chunk_count"), _row("embedding_size", _known("embedding_stats"), "avg_embedding_size:d"),
+    _row("sample", f"{_CUT} FROM chunks ORDER BY md5(id), id LIMIT 5", "id source content_length")))
 def canned_queries(spark, sf):
     return _sections(d.canned_queries(chunks(spark, sf), stored_vectors(spark, sf)))
-
-

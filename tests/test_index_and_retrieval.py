@@ -75,6 +75,22 @@ def test_search_of_mixed_lengths_nulls_and_few_vectors(spark):
     assert v.topk_search(a.limit(0), s, 3).count() == 0 and v.topk_search(a, s.limit(0), 3).count() == 0
 
 
+def test_best_passages_look_at_every_chunk(spark):
+    hits = spark.createDataFrame(
+        [(1, "Where is the red fox", 10, 1), (1, "Where is the red fox", 20, 2), (2, "nothing here", 20, 1), (3, None, 10, 1)],
+        "question_id long, question string, vec_id long, rank long")
+    texts = {10: ["the start", "a red fox is the thing", "red", "the red", "fox red the", None], 20: ["x", "the RED fox"]}
+    chunks = spark.createDataFrame(
+        [(d, f"{d}#{i}", i, t) for d, some in texts.items() for i, t in enumerate(some)], "vec_id long, id string, chunk_index int, content string")
+    got = context.best_passages(hits, chunks, 4, per_document=3)
+    rows = sorted((r.question_id, r["rank"], r.id, r.terms) for r in got.collect())
+    # Of document 10 three chunks at most; equal ones by nearness, then by place.
+    assert [r for r in rows if r[0] == 1] == [(1, 1, "10#1", 4), (1, 2, "10#4", 3), (1, 3, "20#1", 3), (1, 4, "10#3", 2)]
+    assert [r[2] for r in rows if r[0] == 2] == ["20#0", "20#1"]
+    assert {"question", "content", "vec_id", "terms"} <= set(got.columns)
+    assert context.best_passages(hits.limit(0), chunks, 4).count() == 0
+
+
 def test_intents(spark):
     cases = {
         "What is the main purpose?": ("overview", 0.95), "show the overall structure": ("overview", 0.9),
