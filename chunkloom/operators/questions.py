@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions.text import contains_any
 from chunkloom.operators.graph import impact_closure
 from chunkloom.profiles import Profile
+from chunkloom.session import scratch_path
 
 # ---------------------------------------------------------------------------------------
 # Intent phrases, hint words, impact words, overview search terms.
@@ -136,3 +138,35 @@ def search_with_fallback(stages: list[DataFrame]) -> DataFrame:
         all_hits = all_hits.unionByName(hits.withColumn("stage", F.lit(n)))
     first = F.min("stage").over(Window.partitionBy("query_id"))
     return all_hits.withColumn("_first", first).filter("stage = _first").drop("_first")
+
+
+def staged_search(
+    questions: DataFrame, texts: list[Column], search: Callable[[DataFrame], DataFrame], accept: Column, key: str = "question_id"
+) -> DataFrame:
+    """Hits ``(query_id, stage, ...)`` of the first of several wordings of a question that finds anything.
+
+    ``texts`` are the wordings, best first (as rewritten, as asked, its key terms); ``search`` takes ``(query_id, content)``
+    and gives hits, of which ``accept`` says which count. A stage searches only for questions that all earlier ones left
+    open, and not at all once none is; a wording that is null or blank leaves its question open. Each stage is written to
+    the shared folder, which is read by the next one and by the result.
+    """
+    spark = questions.sparkSession
+    folder = scratch_path(spark, "stages")
+    stages, hits = 0, None
+    left = questions
+    for number, text in enumerate(texts, 1):
+        asked = left.select(F.col(key).alias("query_id"), text.alias("content")).where(F.trim("content") != "")
+        if asked.isEmpty():
+            continue
+        found = search(asked).where(accept)
+        path = f"{folder}-{stages}"
+        found.write.parquet(path)
+        here = spark.read.schema(found.schema).parquet(path)
+        part = here.withColumn("stage", F.lit(number).cast("bigint"))
+        hits = part if hits is None else hits.unionByName(part)
+        left = left.join(here.select(F.col("query_id").alias(key)).distinct(), key, "left_anti")
+        stages += 1
+    if hits is None:
+        empty = spark.createDataFrame([], "query_id bigint, content string")
+        return search(empty).withColumn("stage", F.lit(0).cast("bigint")).limit(0)
+    return hits

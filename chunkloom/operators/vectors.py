@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer,
 )
@@ -47,6 +47,28 @@ def embed_with(function: Callable[[list[str]], list[list[float]]], text: Column)
     return apply(text)
 
 
+def write_text_index(chunks: DataFrame, folder: str, dims: int = 256) -> None:
+    """Fits one text model on the chunks and keeps it with their vectors, so that questions are embedded as the store was.
+
+    ``chunks(id, content)``; a chunk without words gets a vector of zeros. The model is written first: an index without
+    vectors is empty, one without a model cannot be.
+    """
+    texts = chunks.select("id", F.coalesce("content", F.lit("")).alias("content"))
+    model = text_model(texts, dims=dims)
+    model.write().overwrite().save(f"{folder}/model")
+    embedded = embed_texts(texts.withColumn("vec_id", F.monotonically_increasing_id()), model)
+    embedded.select("vec_id", "id", "embedding").write.mode("overwrite").parquet(f"{folder}/vectors")
+
+
+def text_search(questions: DataFrame, folder: str, k: int) -> DataFrame:
+    """``query_id, id, distance, rank``: the k nearest chunks of a text index per ``questions(query_id, content)``."""
+    spark = questions.sparkSession
+    model = PipelineModel.load(f"{folder}/model")
+    store = spark.read.schema("vec_id bigint, id string, embedding array<float>").parquet(f"{folder}/vectors")
+    asked = embed_texts(questions.select("query_id", F.coalesce("content", F.lit("")).alias("content")), model)
+    return topk_search(asked, store, k).join(store.select("vec_id", "id"), "vec_id").select("query_id", "id", "distance", "rank")
+
+
 def check_dimensions(vectors: DataFrame) -> DataFrame:
     """``(dimension, n, matches)``: vectors per length against the most frequent length."""
     counts = vectors.groupBy(F.size("embedding").cast("bigint").alias("dimension")).agg(F.count(F.lit(1)).alias("n"))

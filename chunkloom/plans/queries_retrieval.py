@@ -15,6 +15,7 @@ from chunkloom.plans.bridges import PROSE, WEB
 from chunkloom.plans.build import answer_batch
 from chunkloom.plans.registry import flat, query
 from chunkloom.profiles import INDEX_LEVELS
+from chunkloom.session import scratch_path
 
 K = 10
 OPTIONS = Options(top_k=K, context_words=1000)
@@ -239,6 +240,16 @@ def search_with_fallback(spark, sf):
     return flat(q.search_with_fallback(stages), "query_id", "stage", "vec_id", "rank")
 
 
+@query("staged_search")
+def staged_search(spark, sf):
+    """Questions against a text index of all chunks: as rewritten, as asked, by their key terms; each asks what is still open."""
+    folder = scratch_path(spark, "text-index")
+    v.write_text_index(bridges.prose_chunks(spark, sf), folder)
+    wordings = [F.col("search_text"), F.col("question"), F.array_join("key_terms", " ")]
+    found = q.staged_search(asked(spark, sf), wordings, lambda questions: v.text_search(questions, folder, K), F.col("distance") < 0.6)
+    return found.select(F.col("query_id").alias("question_id"), "stage", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query("check_dimensions", """WITH d AS (SELECT len(embedding) AS dimension FROM embeddings UNION ALL SELECT length(event_type) FROM events),
   c AS (SELECT dimension, count(*) AS n FROM d GROUP BY 1)
   SELECT dimension, n, dimension = (SELECT dimension FROM c ORDER BY n DESC, dimension LIMIT 1) AS matches FROM c""")
