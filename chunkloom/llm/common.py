@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.session import prepare, scratch_path
 
-# Rows that one Arrow batch carries to Python. Whole texts travel in these batches, so it is kept small.
+# Rows and bytes that one Arrow batch carries to Python. Whole texts travel in these batches, so they are kept small.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings that bound what one Python batch holds."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return spark
 
 

@@ -52,17 +52,20 @@ def _within(places: np.ndarray, size: int, offsets: np.ndarray) -> tuple[np.ndar
     return places[whole], row[whole]
 
 
-def _displacement(n: int, starts: Sequence[np.ndarray], moves: Sequence[np.ndarray]) -> np.ndarray:
-    """Per byte the move of the segment that holds it; segments of a text follow each other and texts do too."""
-    change = np.zeros(n + 1, "int64")
+def _moved_to(n: int, starts: Sequence[np.ndarray], moves: Sequence[np.ndarray]) -> np.ndarray:
+    """Per byte its place plus the move of the segment that holds it; segments of a text follow each other and texts do too."""
+    kind = "int32" if n + max((int(np.abs(m).max(initial=0)) for m in moves), default=0) < 1 << 31 else "int64"
+    change = np.zeros(n + 1, kind)
     before = np.zeros(len(moves[0]), "int64")
     for at, move in zip(starts, moves):
-        np.add.at(change, at, move - before)
+        np.add.at(change, at, (move - before).astype(kind))
         before = move
-    if len(before):
-        # Where the next text begins, the last move of the one before ends.
-        np.add.at(change, starts[0][1:], -before[:-1])
-    return np.cumsum(change[:-1])
+    # Where the next text begins, the last move of the one before ends.
+    np.add.at(change, starts[0][1:], -before[:-1].astype(kind))
+    place = change[:-1]
+    np.cumsum(place, out=place)
+    place += np.arange(n, dtype=kind)
+    return place
 
 
 def draws(ids: list, seed: int) -> np.ndarray:
@@ -96,9 +99,8 @@ def scatter(data: np.ndarray, offsets: np.ndarray, drawn: np.ndarray, marks: lis
     to_prefix = np.select([form == PSM, form == SPM], [q + p, q + s + suffix + p], q)
     to_suffix = np.select([form == PSM, form == SPM], [q + p + prefix + s, q + s], q + prefix)
     to_middle = np.where(moved, q + p + s + m + prefix + suffix, q + prefix)
-    shift = _displacement(len(data), [begins, one, two], [to_prefix - begins, to_middle - one, to_suffix - two])
     out = np.zeros(out_offsets[-1], "uint8")
-    out[np.arange(len(data)) + shift] = data
+    out[_moved_to(len(data), [begins, one, two], [to_prefix - begins, to_middle - one, to_suffix - two])] = data
     for mark, places in zip(marks, (to_prefix - p, to_suffix - s, to_middle - m)):
         out[(places[moved][:, None] + np.arange(len(mark))).ravel()] = np.tile(mark, int(moved.sum()))
     return out, out_offsets, form, n, np.where(moved, cuts[:, 0], -1), np.where(moved, cuts[:, 1] - cuts[:, 0], -1)
@@ -126,8 +128,7 @@ def gather(out: np.ndarray, offsets: np.ndarray, form: np.ndarray, marks: list[n
     from_prefix = np.where(moved, at_p + p, begins) - r
     from_middle = np.where(moved, at_m + m - (r + prefix), from_prefix)
     from_suffix = np.where(moved, at_s + s - (r + prefix + middle), from_prefix)
-    shift = _displacement(int(back[-1]), [r, r + prefix, r + prefix + middle], [from_prefix, from_middle, from_suffix])
-    return out[np.arange(int(back[-1])) + shift], back
+    return out[_moved_to(int(back[-1]), [r, r + prefix, r + prefix + middle], [from_prefix, from_middle, from_suffix])], back
 
 
 def _strings(data: np.ndarray, offsets: np.ndarray):
