@@ -13,6 +13,7 @@ SAMPLE = [
     "chunk_properties_web", "length_histogram", "duplicate_content", "anchor_counts", "file_export_stats", "change_feed",
     "tracking_merge", "ignore_filter", "file_members", "business_level", "dependency_level", "impact_closure",
     "topk_search", "topk_search_blocks", "classify_intent", "rerank", "pack_context", "suite_metrics", "log_tail", "build_timeouts",
+    "stream_merge", "load_tracking", "incremental_build", "word_closure", "answer_batch", "context_validation", "full_report", "index_panel",
 ]
 
 
