@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from chunkloom.operators import tracking
 from chunkloom.operators.chunking import (
-    cut_files, dedupe_chunks, describe_chunks, fingerprint, recursive_split,
+    cut_files, dedupe_chunks, describe_chunks, fingerprint, one_row, recursive_split,
 )
 from chunkloom.operators.context import best_passages, build_prompts, pack_context
+from chunkloom.operators.indexes import build_index
 from chunkloom.operators.metadata import enrich_chunks
 from chunkloom.operators.questions import analyse_questions
 from chunkloom.operators.vectors import topk_search
@@ -75,6 +76,34 @@ def incremental_build(
         feed.unpersist()
 
 
+def run_build(
+    spark: SparkSession, files: DataFrame, profile: Profile, store: str, tracking_table: str, index_folder: str | None = None,
+    force: bool = False, options: Options = Options(), splitter=recursive_split,
+) -> Row:
+    """Decides what the state of store and tracking asks for, does it, and returns the decision with what was deleted.
+
+    Nothing stored, nothing tracked or ``force``: everything is built anew. Else the files whose hash differs are built and
+    the chunks of deleted ones leave, also if nothing but deletes happened. The index follows the store.
+    """
+    chunk_store = stores.chunk_store(spark, store)
+    stored = chunk_store.read("path string")
+    old = stores.load_tracking(spark, tracking_table).select("path", "content_hash")
+    new = _processed(files).select("path", "content_hash")
+    changed = tracking.changed_by_hash(new, old)
+    deleted = tracking.deleted_paths(new, old)
+    decision = one_row(
+        tracking.rebuild_decision(stored, old, changed, force), deleted.agg(F.count(F.lit(1)).alias("n_deleted"))).first()
+    if decision.reason in ("forced", "no_database", "no_tracking"):
+        full_build(files, profile, store, tracking_table, options, splitter)
+    elif decision.rebuild or decision.n_deleted:
+        incremental_build(spark, store, files, new, old, profile, options, splitter, tracking_table=tracking_table)
+    else:
+        return decision
+    if index_folder is not None:
+        stores.write_index(build_index(stores.load_chunks(spark, store)), index_folder)
+    return decision
+
+
 def answer_batch(
     questions: DataFrame, question_vectors: DataFrame, chunks: DataFrame, profile: Profile, options: Options = Options()
 ) -> DataFrame:

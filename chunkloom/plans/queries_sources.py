@@ -12,7 +12,7 @@ from chunkloom.operators.indexes import build_index, index_level_counts, relatio
 from chunkloom.operators.metadata import drop_empty_fields
 from chunkloom.plans import bridges, oracle as o
 from chunkloom.plans.bridges import PROSE
-from chunkloom.plans.build import build_chunks, incremental_build
+from chunkloom.plans.build import build_chunks, incremental_build, run_build
 from chunkloom.plans.registry import flat, query
 from chunkloom.session import scratch_path
 from chunkloom.sources import files as file_source, logs, manifest, stores
@@ -87,6 +87,24 @@ def incremental(spark, sf):
     return flat(stores.load_chunks(spark, store).select("path", "chunk_index", "fingerprint"))
 
 
+@query("run_build", f"""WITH {SNAP}, {CHANGED}
+  SELECT 1 AS round, true AS rebuild, 'no_database' AS reason, NULL::BIGINT AS n_files, 0 AS n_deleted
+  UNION ALL SELECT 2, true, 'files_changed', (SELECT count(*) FROM changed), (SELECT count(*) FROM old WHERE path NOT IN (SELECT path FROM new))
+  UNION ALL SELECT 3, false, 'no_changes', 0, 0
+  UNION ALL SELECT 4, true, 'forced', NULL, 0""")
+def build_rounds(spark, sf):
+    """Four builds one after another: nothing stored, a newer snapshot, the same one again, and by force."""
+    files = bridges.prose_files(spark, sf).join(bridges.table(spark, sf, "labels"), "doc_id", "left")
+    before = F.when(F.col("quality") == 0, F.concat("content", F.lit("~"))).otherwise(F.col("content"))
+    old = files.filter("quality IS NOT NULL").select("path", before.alias("content"))
+    new = files.filter("coalesce(toxic, 0) = 0").select("path", "content")
+    store, track = scratch_path(spark, "store"), scratch_path(spark, "tracking")
+    rounds = [run_build(spark, f, PROSE, store, track, force=n == 4) for n, f in enumerate((old, new, new, new), 1)]
+    return spark.createDataFrame(
+        [(n, r.rebuild, r.reason, r.n_files, r.n_deleted) for n, r in enumerate(rounds, 1)],
+        "round bigint, rebuild boolean, reason string, n_files bigint, n_deleted bigint")
+
+
 @query("stream_merge", f"""WITH {o.chunks(PROSE, "SELECT path, content FROM (" + o.PROSE_FILES + ") LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0")}
   SELECT path, chunk_index, fingerprint FROM chunks""")
 def stream_merge(spark, sf):

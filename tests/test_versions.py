@@ -9,7 +9,7 @@ from chunkloom.options import Options
 from chunkloom.profiles import PROFILES
 from chunkloom.sources import files as fs, stores
 from chunkloom.sources.versions import Commit, VersionedTable
-from chunkloom.plans.build import build_chunks, full_build, incremental_build
+from chunkloom.plans.build import build_chunks, full_build, incremental_build, run_build
 from chunkloom.streaming import ingest
 
 PY = PROFILES["python"]
@@ -128,6 +128,28 @@ def test_incremental_build_keeps_tracking(spark, tmp_path):
     assert {r.path for r in stores.load_tracking(spark, track).collect()} == set(before)
 
 
+def test_build_rounds(spark, tmp_path):
+    def state(files):
+        return spark.createDataFrame(list(files.items()), "path string, content string")
+    files = {f"m{i}.py": body(f"f{i}") for i in range(5)}
+    store, track, index = (str(tmp_path / n) for n in ("s", "t", "i"))
+
+    def go(files, **more):
+        r = run_build(spark, state(files), PY, store, track, index, **more)
+        stored = {c.path for c in stores.load_chunks(spark, store).collect()}
+        indexed = {c.path for c in stores.load_index(spark, index)["file_level"].collect()}
+        assert stored == indexed == {r.path for r in stores.load_tracking(spark, track).collect()} == set(files)
+        return r.reason, r.n_files, r.n_deleted
+
+    assert go(files) == ("no_database", None, 0)
+    files["m1.py"], files["n.py"] = body("other"), body("new")
+    assert go(files) == ("files_changed", 2, 0)
+    assert go(files) == ("no_changes", 0, 0)
+    del files["m2.py"]
+    assert go(files) == ("no_changes", 0, 1)               # nothing to build, but a file to take out
+    assert go(files, force=True) == ("forced", None, 0)
+
+
 def test_tree_rounds_see_hidden_changed_and_deleted_files(spark, tmp_path):
     root = tmp_path / "in"
     (root / "pkg" / "_private").mkdir(parents=True)
