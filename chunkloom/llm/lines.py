@@ -1,12 +1,13 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 A line is normalised to its lower-case words (what stands between signs and spaces of Latin-1). Equal normalised lines are one line. Two
-lines are linked if their 64-bit SimHashes of words differ in ``MAX_BITS`` at most and nineteen twentieths of the longer one
-need no edit. The group of a line is its connected component; the first occurrence in the group (smallest document, then
+lines are linked if their 64-bit SimHashes of words differ in ``MAX_BITS`` at most and the longer one needs no more than one
+edit in ``EDIT_SHARE`` characters. The group of a line is its connected component; the first occurrence in the group (smallest document, then
 line) stays, every other is taken out. All of it is DataFrame expressions.
 
 Hashes that differ in three bits agree in at least two of five blocks, so lines meet on the ten pairs of blocks, and every
-linked pair does. In a bucket, lines meet the leader first, whose hash the bucket carries, so that most chance meetings
+linked pair does. Lines whose sets of neighbouring words differ by more than the edits allowed for can explain are told
+apart without an edit distance. In a bucket, lines meet the leader first, whose hash the bucket carries, so that most chance meetings
 end there; then, in buckets that are not one component, lines of different
 components meet. Texts are fetched for lines whose hashes are near, for no others.
 
@@ -26,7 +27,9 @@ from chunkloom.llm.graph import components
 
 MAX_BITS = 3
 # Edits allowed for: one in so many characters of the longer line.
-EDIT_SHARE = 20
+EDIT_SHARE = 40
+# Pairs of neighbouring words that one edit can take away, by joining two words.
+PAIRS_PER_EDIT = 3
 
 # Distinct words that one packed counter can count: eight fields of a long, below 2^7 each.
 CHUNK_WORDS = 127
@@ -144,16 +147,23 @@ def _line_texts(ids: DataFrame, distinct: DataFrame, df: DataFrame, id: str, tex
     return same.select("w.line_id", "norm").dropDuplicates(["line_id"])
 
 
+def _word_pairs(norm: str) -> Column:
+    words = F.split(norm, " ")
+    both = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.xxhash64(a, b))
+    return F.array_distinct(both)
+
+
 def _similar(pairs: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
     """Of ``pairs`` (a, b: line ids) those whose normalised lines are alike by edits."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    texts = written(_line_texts(ids, distinct, df, id, text), "line-texts")
+    texts = written(_line_texts(ids, distinct, df, id, text).withColumn("beside", _word_pairs("norm")), "line-texts")
     longer = F.greatest(F.length("na"), F.length("nb"))
     most = F.floor(longer / EDIT_SHARE).cast("int")
     out = written(
-        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na")), "a")
-        .join(texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb")), "b")
+        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na"), F.col("beside").alias("wa")), "a")
+        .join(texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb"), F.col("beside").alias("wb")), "b")
         .where(F.abs(F.length("na") - F.length("nb")) <= most).withColumn("most", most)
+        .where(reduce(Column.__and__, [F.size(F.array_except(*two)) <= PAIRS_PER_EDIT * F.col("most") for two in (("wa", "wb"), ("wb", "wa"))]))
         # A narrow band settles most pairs; only the others need wider ones.
         .where(reduce(Column.__or__, [F.expr(f"levenshtein(na, nb, CAST(most div {n} AS INT))") >= 0 for n in (64, 16, 4, 1)])).select("a", "b"),
         "line-links",

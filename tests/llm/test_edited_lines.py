@@ -42,7 +42,7 @@ def test_edited_lines(spark):
     def word():
         return "".join(made.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(made.randrange(2, 6)))
     texts = []
-    for n in [1, 2, 3, 5, 8, 12, 30, 60, 90, 120] * 3:
+    for n in [1, 2, 3, 5, 8, 12, 30, 60, 90, 120, 200, 300] * 3:
         words = [word() for _ in range(n)]
         for changed in range(4):
             other = list(words)
