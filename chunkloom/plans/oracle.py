@@ -306,10 +306,10 @@ def questions_cte() -> str:
 SQUARED = "list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i]::DOUBLE - b[i]::DOUBLE) * (a[i]::DOUBLE - b[i]::DOUBLE)))"
 
 
-def topk_cte(query_ids: str, k: int, name: str = "hits") -> str:
-    """``hits(query_id, vec_id, distance, rank)``; ``query_ids`` selects the vectors asked for."""
+def topk_cte(query_ids: str, k: int, name: str = "hits", stored: str = "SELECT vec_id FROM embeddings") -> str:
+    """``hits(query_id, vec_id, distance, rank)``; ``query_ids`` selects the vectors asked for, ``stored`` those searched."""
     return f"""pairs AS (SELECT q.vec_id AS query_id, s.vec_id, q.embedding AS a, s.embedding AS b
-        FROM embeddings q CROSS JOIN embeddings s WHERE q.vec_id IN ({query_ids})),
+        FROM embeddings q CROSS JOIN embeddings s WHERE q.vec_id IN ({query_ids}) AND s.vec_id IN ({stored})),
       distances AS (SELECT query_id, vec_id, {SQUARED} AS distance FROM pairs),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM distances),
       {name} AS (SELECT query_id, vec_id, distance, rank FROM ranked WHERE rank <= {k})"""

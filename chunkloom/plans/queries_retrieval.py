@@ -58,6 +58,9 @@ def _passages(questions: str, more: str, k: int) -> str:
 
 ROWS = f"""{ASKED}, {o.topk_cte(USERS, K)},
   {_passages('asked JOIN hits ON conv_id = query_id', 'intent', K)}"""
+# The same over a store that holds only the vectors of documents with chunks.
+STORED_ROWS = f"""{ASKED}, {o.topk_cte(USERS, K, stored=f"SELECT {DOC} FROM chunks")},
+  {_passages('asked JOIN hits ON conv_id = query_id', 'intent', K)}"""
 PROBES = f"""probes AS (SELECT item_id AS question_id, text AS question, lower(substr(text, 1, 1)) AS suite FROM benchmark),
   {o.topk_cte(ITEMS, 5)},
   {_passages('probes JOIN hits ON question_id = query_id', 'suite', 5)}"""
@@ -339,7 +342,7 @@ def build_prompts(spark, sf):
     return c.build_prompts(every).select("question_id", "prompt")
 
 
-@query("answer_batch", on_rows("").rstrip() + f""", {PACKED}, {CONTEXT},
+@query("answer_batch", f"""WITH {o.chunks(PROSE, o.PROSE_FILES)}, {STORED_ROWS}, {PACKED}, {CONTEXT},
   p AS (SELECT question_id, intent, context, {SEARCH} AS search_text FROM asked LEFT JOIN contexts USING (question_id)),
   q AS (SELECT question_id, intent, {_prompt_sql()} AS prompt FROM p)
   SELECT question_id, intent, prompt, CASE WHEN length(prompt) > 200 THEN substr(prompt, 1, 200) || '...' ELSE prompt END AS prompt_preview FROM q""")
