@@ -1,4 +1,4 @@
-"""Session helpers: defaults for local runs, the shared folder, size checks before shipping data."""
+"""Session helpers: defaults for local runs, the shared folder, rows over all cores."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A relation is shipped whole to the executors only when it has at most this many rows.
-SMALL_ROWS = 20_000
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that results depend on.
@@ -72,8 +69,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` is proven to hold at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
