@@ -62,8 +62,9 @@ def log_tail(spark, sf):
 # -- streams -----------------------------------------------------------------------------------
 
 def _stream(spark, sf, name: str):
-    schema = bridges.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream; it may be one file or a folder of part files."""
+    # A pattern: without one, Spark's file stream takes the path for a folder.
+    return spark.readStream.schema(bridges.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_log_counts", COUNTS)
@@ -89,7 +90,7 @@ def stream_dedupe_(spark, sf):
         stream_dedupe(texts, horizon="36500 days").writeStream.format("parquet").option("path", target)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.parquet(target).select("fingerprint")
+    return spark.read.schema("fingerprint string, mtime timestamp").parquet(target).select("fingerprint")
 
 
 @query("stream_timeouts")
