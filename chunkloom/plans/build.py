@@ -15,6 +15,7 @@ from chunkloom.operators.questions import analyse_questions
 from chunkloom.operators.vectors import topk_search
 from chunkloom.options import Options
 from chunkloom.profiles import Profile
+from chunkloom.session import scratch_path, spread
 from chunkloom.sources import stores
 
 
@@ -113,7 +114,10 @@ def answer_batch(
     ``chunks(vec_id, embedding, ...)`` with the chunk columns; the chunks of a document share its vector.
     """
     analysed = analyse_questions(questions, profile)
-    documents = chunks.select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    # The search reads its store once per block of questions: it is cut out of the chunks once, and lies over all cores.
+    folder = scratch_path(chunks.sparkSession, "documents")
+    chunks.select("vec_id", "embedding").dropDuplicates(["vec_id"]).write.parquet(folder)
+    documents = spread(chunks.sparkSession.read.schema("vec_id bigint, embedding array<float>").parquet(folder))
     hits = topk_search(question_vectors, documents, options.top_k).join(
         analysed.select("question_id", "question", "intent"), F.col("query_id") == F.col("question_id"))
     rows = best_passages(hits, chunks.drop("embedding"), options.top_k)
