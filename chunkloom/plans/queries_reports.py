@@ -9,6 +9,7 @@ from chunkloom.operators.indexes import file_level
 from chunkloom.plans import bridges, oracle as o
 from chunkloom.plans.registry import ORACLES, flat, query
 from chunkloom.plans.queries_sources import _tracked
+from chunkloom.session import scratch_path
 
 L = "length(content)"
 BAND = f"""CASE WHEN {L} < 100 THEN 'Very Short (<100)' WHEN {L} < 500 THEN 'Short (100-500)'
@@ -25,6 +26,14 @@ def chunks(spark, sf):
     return bridges.prose_chunks(spark, sf)
 
 
+def stored_chunks(spark, sf):
+    """The chunks without their bodies, made once and written to the shared folder: a bundle reads them once per section."""
+    folder = scratch_path(spark, "report-chunks")
+    made = chunks(spark, sf).drop("body")
+    made.write.parquet(folder)
+    return spark.read.schema(made.schema).parquet(folder)
+
+
 def stored_vectors(spark, sf):
     return bridges.vectors(spark, sf).withColumnRenamed("vec_id", "id")
 
@@ -340,13 +349,13 @@ _PERF = (
 
 @query("quick_report", _bundle(*_QUICK))
 def quick_report(spark, sf):
-    return _sections(d.quick_report(chunks(spark, sf)))
+    return _sections(d.quick_report(stored_chunks(spark, sf)))
 
 
 def _focused(kind: str):
     def run(spark, sf):
         collections = bridges.table(spark, sf, "documents").select("source").distinct()
-        return _sections(d.focused_report(kind, chunks(spark, sf), stored_vectors(spark, sf), collections))
+        return _sections(d.focused_report(kind, stored_chunks(spark, sf) if kind != "retrieval" else chunks(spark, sf), stored_vectors(spark, sf), collections))
     return run
 
 
@@ -359,13 +368,13 @@ for _kind, _parts in (("chunking", _CHUNKING), ("metadata", _META), ("retrieval"
     _row("file_processing_stats", f"SELECT path AS file_path, {MEASURES} FROM chunks GROUP BY path", _FILE)))
 def full_report(spark, sf):
     collections = bridges.table(spark, sf, "documents").select("source").distinct()
-    return _sections(d.full_report(chunks(spark, sf), stored_vectors(spark, sf), collections))
+    return _sections(d.full_report(stored_chunks(spark, sf), stored_vectors(spark, sf), collections))
 
 
 @query("debug_report", o.prose("""SELECT count(*) AS total_chunks, count(DISTINCT path) AS unique_files, count(DISTINCT path) AS file_count,
   count(*) AS indexed_chunks, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS tracked_files, 'c1' AS last_commit FROM chunks"""))
 def debug_report(spark, sf):
-    c = chunks(spark, sf)
+    c = stored_chunks(spark, sf)
     return d.debug_report(c, file_level(c), _tracked(bridges.snapshots(spark, sf)[1], "c1", 1.0))
 
 
@@ -379,7 +388,7 @@ _OLD = "SELECT DISTINCT path FROM (" + o.PROSE_FILES + ") JOIN labels USING (doc
     _row("processed_rest", f"SELECT greatest(count(*) - 10, 0) AS more_files FROM ({_OLD})", "more_files"),
     _row("anchors", _known("anchor_counts"), "screen_name class_names function_names component_name no_anchors total_chunks coverage:d")))
 def chunk_overview(spark, sf):
-    return _sections(d.chunk_overview(chunks(spark, sf), bridges.snapshots(spark, sf)[1]))
+    return _sections(d.chunk_overview(stored_chunks(spark, sf), bridges.snapshots(spark, sf)[1]))
 
 
 _BARE = "FROM chunks WHERE NOT has_semantic_anchors"
@@ -395,7 +404,7 @@ _BARE = "FROM chunks WHERE NOT has_semantic_anchors"
     _row("extensions", f"SELECT {o.dotted_ext('path')} AS extension, count(*) AS files, false AS supported FROM ({o.PROSE_FILES}) GROUP BY 1",
          "extension files supported")))
 def index_panel(spark, sf):
-    c = chunks(spark, sf)
+    c = stored_chunks(spark, sf)
     return _sections(d.index_panel(c, file_level(c), bridges.prose_files(spark, sf)))
 
 
@@ -407,4 +416,4 @@ def index_panel(spark, sf):
     _row("extensions", _known("extension_stats"), "file_extension chunk_count"), _row("embedding_size", _known("embedding_stats"), "avg_embedding_size:d"),
     _row("sample", f"{_CUT} FROM chunks ORDER BY md5(id), id LIMIT 5", "id source content_length")))
 def canned_queries(spark, sf):
-    return _sections(d.canned_queries(chunks(spark, sf), stored_vectors(spark, sf)))
+    return _sections(d.canned_queries(stored_chunks(spark, sf), stored_vectors(spark, sf)))
