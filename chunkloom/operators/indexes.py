@@ -87,17 +87,23 @@ def business_level(chunks: DataFrame, keys: DataFrame | None = None) -> DataFram
     text = head(F.col("content"), 200)
     # This level marks 200 characters as cut even when nothing was cut.
     shown = F.when(F.length(text) >= 200, F.concat(text, F.lit("..."))).otherwise(text)
-    by_indicator = (
-        chunks.select("path", "chunk_index", shown.alias("preview"),
-                      F.explode(_items(chunks, "business_logic_indicators")).alias("indicator"))
-        .join(F.broadcast(keys), "indicator")
-        .select("index_key", "path", "chunk_index", "preview", F.lit(None).cast("string").alias("rule"))
+    def entry(indicator: Column, text: Column, rule: Column, ruled: bool) -> Column:
+        return F.struct(indicator.alias("indicator"), text.alias("preview"), rule.alias("rule"), F.lit(ruled).alias("ruled"))
+
+    none = F.lit(None).cast("string")
+    # Indicators and rules leave in one pass over the chunks.
+    entries = F.concat(
+        F.transform(_items(chunks, "business_logic_indicators"), lambda i: entry(i, shown, none, False)),
+        F.transform(_items(chunks, "validation_rules"), lambda r: entry(none, none, r, True)),
     )
-    by_rule = chunks.select(
-        F.lit("validation_rules").alias("index_key"), "path", "chunk_index",
-        F.lit(None).cast("string").alias("preview"), F.explode(_items(chunks, "validation_rules")).alias("rule"),
+    rows = chunks.select("path", "chunk_index", F.explode(entries).alias("e")).select("path", "chunk_index", "e.*")
+    return (
+        rows.join(F.broadcast(keys), "indicator", "left").where(F.col("ruled") | F.col("index_key").isNotNull())
+        .select(
+            F.when(F.col("ruled"), "validation_rules").otherwise(F.col("index_key")).alias("index_key"),
+            "path", "chunk_index", "preview", "rule",
+        )
     )
-    return by_indicator.unionByName(by_rule)
 
 
 # -- user-interface level --------------------------------------------------------------------
