@@ -160,3 +160,26 @@ def test_timeouts_equal_join(spark, sf):
     s, f = e.filter("level = 'SIGNUP'"), e.filter("level = 'PURCHASE'")
     ids = lambda df: sorted(r.build_id for r in df.collect())
     assert ids(monitor.build_timeouts_batch(s, f)) == ids(monitor.build_timeouts(s, f))
+
+
+def test_single_precision_loses_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for shift, scale in ((0.0, 1.0), (1000.0, 1e-3), (0.0, 1e18)):
+        queries, part = (shift + scale * rng.normal(size=(n, 16)).astype("float32").astype("float64") for n in (40, 60))
+        squared = ((queries[:, None, :] - part[None, :, :]) ** 2).sum(axis=2)
+        limits = np.sort(squared, axis=1)[:, 4]
+        found = set(zip(*map(np.ndarray.tolist, v._close(queries, part, limits)), strict=True))
+        assert found >= set(zip(*map(np.ndarray.tolist, np.nonzero(squared <= limits[:, None])), strict=True))
+        assert shift or len(found) < 6 * len(queries)
+
+
+def test_best_ranks_hits_in_any_order():
+    import numpy as np
+
+    best = v._Best(np.full(2, np.inf), 2)
+    for rows, ids, distances in (([0, 1, 0], [5, 6, 7], [3.0, 1.0, 2.0]), ([0, 0], [4, 9], [2.0, 8.0]), ([1], [1], [1.0])):
+        best.add(np.array(rows), np.array(ids), np.array(distances))
+    assert [x.tolist() for x in best.hits()] == [[0, 0, 1, 1], [4, 7, 1, 6], [2.0, 2.0, 1.0, 1.0]]
+    assert best.bounds.tolist() == [2.0, 1.0]
