@@ -9,7 +9,8 @@ Hashes that differ in three bits agree in at least two of five blocks, so lines
 linked pair does. Lines whose sets of neighbouring words differ by more than the edits allowed for can explain are told
 apart without an edit distance. In a bucket, lines meet the leader first, whose hash the bucket carries, so that most chance meetings
 end there; then, in buckets that are not one component, lines of different
-components meet. Texts are fetched for lines whose hashes are near, for no others.
+components meet, on the first block pair that they share, and only links come out. Texts are fetched for lines whose hashes are
+near, for no others.
 
 Defined cases: lines without a word stay, as do rows without text or id; rows with one id are copies of one document and
 keep or lose the same lines; a document may become empty; other columns pass through, those named ``n_lines`` and
@@ -23,13 +24,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.llm.common import dropped, written
-from chunkloom.llm.graph import components
+from chunkloom.llm.graph import components, joined_components
 
 MAX_BITS = 3
 # Edits allowed for: one in so many characters of the longer line.
 EDIT_SHARE = 40
 # Pairs of neighbouring words that one edit can take away, by joining two words.
 PAIRS_PER_EDIT = 3
+# Lines of a bucket that one task compares with the others of the bucket.
+SHARE_LINES = 512
 
 # Distinct words that one packed counter can count: eight fields of a long, below 2^7 each.
 CHUNK_WORDS = 127
@@ -153,27 +156,82 @@ def _word_pairs(norm: str) -> Column:
     return F.array_distinct(both)
 
 
+def _alike() -> Column:
+    """Whether the lines ``na`` and ``nb`` are alike by edits; ``wa`` and ``wb`` are their neighbouring words. Cheap conditions come first."""
+    most = f"greatest(length(na), length(nb)) div {EDIT_SHARE}"
+    conditions = [F.expr(f"abs(length(na) - length(nb)) <= {most}")]
+    conditions += [F.expr(f"size(array_except({a}, {b})) <= {PAIRS_PER_EDIT} * ({most})") for a, b in (("wa", "wb"), ("wb", "wa"))]
+    # A narrow band settles most pairs; only the others need wider ones.
+    conditions.append(reduce(Column.__or__, [F.expr(f"levenshtein(na, nb, CAST({most} div {n} AS INT)) >= 0") for n in (64, 16, 4, 1)]))
+    return reduce(Column.__and__, conditions)
+
+
 def _similar(pairs: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
     """Of ``pairs`` (a, b: line ids) those whose normalised lines are alike by edits."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
     texts = written(_line_texts(ids, distinct, df, id, text).withColumn("beside", _word_pairs("norm")), "line-texts")
-    longer = F.greatest(F.length("na"), F.length("nb"))
-    most = F.floor(longer / EDIT_SHARE).cast("int")
     out = written(
         pairs.join(texts.select(F.col("line_id").alias("a"), F.col("norm").alias("na"), F.col("beside").alias("wa")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("norm").alias("nb"), F.col("beside").alias("wb")), "b")
-        .where(F.abs(F.length("na") - F.length("nb")) <= most).withColumn("most", most)
-        .where(reduce(Column.__and__, [F.size(F.array_except(*two)) <= PAIRS_PER_EDIT * F.col("most") for two in (("wa", "wb"), ("wb", "wa"))]))
-        # A narrow band settles most pairs; only the others need wider ones.
-        .where(reduce(Column.__or__, [F.expr(f"levenshtein(na, nb, CAST(most div {n} AS INT))") >= 0 for n in (64, 16, 4, 1)])).select("a", "b"),
+        .where(_alike()).select("a", "b"),
         "line-links",
     )
     dropped(texts)
     return out
 
 
+def _first_shared(a: str, b: str) -> Column:
+    """Number of the first block pair on which two hashes agree: only there are two lines compared."""
+    apart = F.col(a).bitwiseXOR(F.col(b))
+    same = [F.shiftrightunsigned(apart, first).bitwiseAND(F.lit((1 << width) - 1)) == 0 for first, width in _BLOCKS]
+    return F.coalesce(*[F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(_BLOCK_PAIRS)])
+
+
+def _side(rows: DataFrame, n: str) -> DataFrame:
+    """Columns of one side of a meeting: line_id, label, simhash, norm, words become ``n`` with the first letter before it."""
+    names = {"line_id": n, "label": f"l{n}", "simhash": f"s{n}", "norm": f"n{n}", "words": f"w{n}", "block": f"block_{n}", "share": f"share_{n}"}
+    return rows.select(*[F.col(c).alias(names[c]) for c in names if c in rows.columns])
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """Per bucket the first line with its commonest hash: most near copies lie around such a line."""
+    seen = rows.groupBy("block", "simhash").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id"))
+    return seen.groupBy("block").agg(F.max_by("line_id", F.struct("n", -F.col("line_id"))).alias("line_id"))
+
+
+def _links_between(lines: DataFrame, distinct: DataFrame, df: DataFrame, id: str, text: str) -> DataFrame:
+    """Pairs (a, b) of labels whose lines are linked in a bucket; ``lines``: block, line_id, simhash, label.
+
+    Lines that face no near line of another label go first, by a semi-join. The others meet the centre of their bucket with
+    their texts, which leaves few labels. Lines of labels that still differ meet in shares of the bucket. Every meeting
+    decides by edits itself, so that links come out of it, however many near pairs there are.
+    """
+    apart = (F.col("la") != F.col("lb")) & _near("sa", "sb")
+    together = F.col("block_a") == F.col("block_b")
+    facing = written(
+        _side(lines, "a").join(_side(lines, "b"), together & apart, "left_semi")
+        .select(F.col("block_a").alias("block"), F.col("a").alias("line_id"), F.col("sa").alias("simhash"), F.col("la").alias("label")), "facing-lines",
+    )
+    texts = _line_texts(facing.select("line_id").distinct(), distinct, df, id, text).withColumn("words", _word_pairs("norm"))
+    rows = written(facing.join(texts, "line_id"), "facing-texts")
+    middle = rows.join(_centres(facing), ["block", "line_id"], "left_semi")
+    met = written(_side(middle, "a").join(_side(rows, "b"), together & apart & _alike()).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "centre-links")
+    merged = components(met)
+    shares = facing.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SHARE_LINES).cast("int").alias("shares"))
+    left = rows.join(merged.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label")).join(shares, "block")
+    one = _side(left.withColumn("share", F.pmod(F.xxhash64("line_id"), F.col("shares")).cast("int")), "a")
+    two = _side(left.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))), "b")
+    once = (F.col("a") < F.col("b")) & apart & (_first_shared("sa", "sb") == F.shiftright("block_a", 26))
+    rest = written(
+        one.join(two, together & (F.col("share_a") == F.col("share_b")) & once & _alike()).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(),
+        "label-links",
+    )
+    dropped(facing, rows)
+    return met.unionByName(rest)
+
+
 def line_links(distinct: DataFrame, df: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that join the lines of every group, and the labels of their components.
+    """Links (a, b) of lines, or of the components that the first links make, and the labels of the components of all.
 
     ``distinct``: line_id, simhash, key, key2 and the place (doc, line) of every distinct line of ``df``.
     """
@@ -198,15 +256,15 @@ def line_links(distinct: DataFrame, df: DataFrame, id: str = "doc_id", text: str
         members.join(labels.withColumnRenamed("node", "line_id"), "line_id", "left")
         .select("block", "line_id", "simhash", F.coalesce("component", "line_id").alias("label")), "line-labels",
     )
+    dropped(members)
     mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("block")
     open_lines = written(labelled.join(mixed, "block", "left_semi"), "open-lines")
-    one, two = open_lines.alias("one"), open_lines.alias("two")
-    met = one.join(two, (F.col("one.block") == F.col("two.block")) & (F.col("one.line_id") < F.col("two.line_id")) & (F.col("one.label") != F.col("two.label")) & _near("one.simhash", "two.simhash"))
-    rest = written(met.select(F.col("one.line_id").alias("a"), F.col("two.line_id").alias("b")).distinct(), "line-pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(_similar(rest, distinct, df, id, text))
-        labels = components(links)
-    dropped(members, labelled, open_lines, rest)
+    dropped(labelled)
+    more = _links_between(open_lines, distinct, df, id, text)
+    dropped(open_lines)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = joined_components(labels, more)
     return links, labels
 
 

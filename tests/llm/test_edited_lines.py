@@ -73,3 +73,32 @@ def test_registered_query(spark, sf):
     for r in got:
         w = want[r.doc_id]
         assert (r.n_lines, r.n_removed, r.text_sha256) == (w.n_lines, w.n_removed, hashlib.sha256((w.text or "").encode()).hexdigest())
+
+
+def test_near_copies_that_are_not_alike(spark, monkeypatch):
+    """Lines of nearly equal hash that too many edits part: all links are found, and no pair that is not a link becomes a row."""
+    made = random.Random(11)
+    words = ["".join(made.choice("abcdefgh") for _ in range(4)) for _ in range(40)]
+    texts = []
+    for n in range(22):
+        other = list(words)
+        for at in made.sample(range(40), n % 5):
+            other[at] = "".join(made.choice("abcdefgh") for _ in range(4))
+        texts.append(" ".join(other))
+    made.shuffle(texts)
+    gone, linked = _gone(texts)
+    tables = []
+    real = lines.written
+
+    def noted(df, name):
+        out = real(df, name)
+        tables.append((name, out.count() if out.columns == ["a", "b"] else None))
+        return out
+
+    monkeypatch.setattr(lines, "written", noted)
+    monkeypatch.setattr(lines, "SHARE_LINES", 3, raising=False)
+    df = ready(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc for r in lines.repeated_lines(df).collect()} == gone
+    names = [name for name, _ in tables]
+    assert "open-lines" in names
+    assert all(n is None or n <= linked for _, n in tables[names.index("open-lines"):])
