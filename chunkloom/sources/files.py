@@ -11,13 +11,17 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chunkloom.functions import paths
 from chunkloom.session import scratch_path
 
 LISTING = "path string, is_dir boolean, size bigint, mtime timestamp"
+# Bytes read at a time past the listed size of a file.
+READ_ON = 1 << 20
 
 
 def _list_children(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -68,21 +72,36 @@ def ends_with_any(path: Column, extensions: tuple[str, ...] | list[str]) -> Colu
     return reduce(lambda a, b: a | b, [F.endswith(path, F.lit(e)) for e in extensions], F.lit(False))
 
 
-def _read_bytes(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole(stream, size: int) -> pa.Buffer:
+    """All that a stream holds. Its listed size is read at once and not copied; a stream of another length is read on."""
+    parts = [stream.read_buffer(max(size, 1))]
+    while parts[-1].size:
+        parts.append(stream.read_buffer(READ_ON))
+    return parts[0] if len(parts) <= 2 else pa.py_buffer(b"".join(parts))
+
+
+def _read_bytes(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Listed files with their bytes, a row at a time. A worker holds the bytes of one file, once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as arrow_fs
 
         file_system, base = arrow_fs.FileSystem.from_uri(root)
         base = base.rstrip("/")
+
+        def read(row: pa.RecordBatch) -> pa.RecordBatch:
+            try:
+                with file_system.open_input_stream(f"{base}/{row['path'][0].as_py()}") as stream:
+                    data = _whole(stream, row["size"][0].as_py())
+                ends = pa.py_buffer(np.array([0, data.size], dtype="int32"))
+                raw, error = pa.Array.from_buffers(pa.binary(), 1, [None, ends, data]), None
+            except OSError as problem:
+                raw, error = pa.nulls(1, pa.binary()), str(problem)
+            return pa.RecordBatch.from_arrays(
+                [row["path"], row["size"], row["mtime"], raw, pa.array([error], pa.string())], ["path", "size", "mtime", "raw", "error"])
+
         for batch in batches:
-            for at in range(len(batch)):
-                row = batch.iloc[at:at + 1]
-                try:
-                    with file_system.open_input_stream(f"{base}/{row['path'].iloc[0]}") as stream:
-                        data, error = stream.read(), None
-                except OSError as problem:
-                    data, error = None, str(problem)
-                yield row.assign(raw=[data], error=[error])
+            for at in range(batch.num_rows):
+                yield read(batch.slice(at, 1))      # no name here holds on to the bytes
     return run
 
 
@@ -104,7 +123,7 @@ def scan_files(
     # Shuffling by path spreads neighbouring files, and so the bytes, over the tasks.
     return (
         listing.repartition("path")
-        .mapInPandas(_read_bytes(root), "path string, size bigint, mtime timestamp, raw binary, error string")
+        .mapInArrow(_read_bytes(root), "path string, size bigint, mtime timestamp, raw binary, error string")
         .select(
             F.lit(project).alias("project"), "path", paths.file_ext(F.col("path")).alias("ext"),
             "raw", "size", "mtime", "error",

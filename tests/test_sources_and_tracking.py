@@ -43,6 +43,24 @@ def test_scan_reads_hidden_names_and_lossy_text(spark, tree):
     assert by_path["pkg/m.py"].content == "ok \nend" and by_path["pkg/m.py"].error is None
 
 
+def test_scan_holds_the_bytes_of_one_file_once(tmp_path):
+    import pyarrow as pa
+
+    sizes = {"a.bin": 48 << 20, "b.bin": 48 << 20, "empty.bin": 0, "longer.bin": 3 << 20}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(name.encode()[:1] * size)
+    listed = {**sizes, "longer.bin": 1, "gone.bin": 5}      # one grew after it was listed, one went
+    listing = pa.RecordBatch.from_arrays(
+        [pa.array(list(listed)), pa.array(list(listed.values()), pa.int64()), pa.nulls(len(listed), pa.timestamp("us", "UTC"))], ["path", "size", "mtime"])
+    before, held, got = pa.total_allocated_bytes(), [], {}
+    for row in fs._read_bytes(f"file://{tmp_path}")(iter([listing])):
+        held.append(pa.total_allocated_bytes() - before)
+        got[row["path"][0].as_py()] = (None if row["raw"].null_count else row["raw"][0].as_buffer().size, row["error"][0].as_py() is None)
+        del row
+    assert got == {**{n: (size, True) for n, size in sizes.items()}, "gone.bin": (None, False)}
+    assert held[0] < 50 << 20 and max(held) < 50 << 20
+
+
 def test_ignore_filter(spark, tree):
     listing = fs.list_tree(spark, f"file://{tree}").select("path")
     texts = fs.read_text_lossy(fs.scan_files(spark, f"file://{tree}", (".gitignore",))).select(
