@@ -1,6 +1,7 @@
 """Closure, dependency scopes, search, packing, and the streams' batch forms."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -91,6 +92,14 @@ def test_best_passages_look_at_every_chunk(spark):
     assert context.best_passages(hits.limit(0), chunks, 4).count() == 0
 
 
+def test_words_inside_equals_substring_search(spark):
+    rows = [("the the fox\u00a0\u3000é", "é thefox"), ("", "x"), (" \t ", "x"), ("a", None), (None, "a"), (None, None), ("\U0001f600 b\x85c", "\U0001f600c")]
+    df = spark.createDataFrame(rows * 3, "q string, t string").repartition(2)
+    got = {(r.q, r.t): r.n for r in df.select("q", "t", context.words_inside(F.col("q"), F.col("t")).alias("n")).collect()}
+    assert got == {
+        (q, t): None if q is None else sum(w in (t or "") for w in set(re.split("[\t\u0085\u00a0\u3000 ]+", q)) - {""}) for q, t in rows}
+
+
 def test_intents(spark):
     cases = {
         "What is the main purpose?": ("overview", 0.95), "show the overall structure": ("overview", 0.9),
