@@ -42,3 +42,26 @@ def test_stages_ask_only_for_what_is_open(spark):
     assert asked == [[(1, "a"), (2, "no"), (3, "no"), (4, "no")], [(2, "a"), (3, "no"), (4, "no")], [(3, "a"), (4, "no"), (5, "a")]]
     none = q.staged_search(questions.limit(0), wordings, search, F.col("distance") < 0.5)
     assert none.count() == 0 and "stage" in none.columns
+
+
+def test_an_index_makes_its_texts_once(spark, tmp_path):
+    """Each text is made once, however many passes the model and the vectors need."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        made.add(1)
+        return f"red fox {n}"
+
+    chunks = spark.range(20).repartition(1).select(F.concat(F.lit("c"), "id").alias("id"), text("id").alias("content"))
+    v.write_text_index(chunks, str(tmp_path / "index"), dims=32)
+    assert spark.read.parquet(str(tmp_path / "index/vectors")).count() == 20 and made.value == 20
+
+
+def test_search_within_a_distance_keeps_all_nearer_hits(spark):
+    made = np.random.default_rng(3)
+    store = spark.createDataFrame([(n, made.normal(size=6).tolist()) for n in range(300)], "vec_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(n, made.normal(size=6).tolist()) for n in range(40)], "query_id bigint, embedding array<double>")
+    for within in (0.0, 1.5, 4.0):
+        got = {tuple(r) for r in v.topk_search(asked, store, 5, within=within).where(F.col("distance") < within).collect()}
+        assert got == {tuple(r) for r in v.topk_search(asked, store, 5).collect() if r.distance < within}
