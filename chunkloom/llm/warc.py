@@ -1,7 +1,8 @@
 """WARC archives and an external merge of their capture index.
 
 Pages become WARC/1.1 records, written by Spark's text sink with the record end as line end, so that archives lie in
-any store Spark can write and a lost task leaves nothing behind. Of records with equal payloads the first is a
+any store Spark can write and a lost task leaves nothing behind. Archives are compressed with gzip; offsets and lengths
+count the bytes inside. Of records with equal payloads the first is a
 response, the others revisit it. Reading takes whole archives and walks them by Content-Length; each archive gives a
 run of captures sorted by URL key and time. Runs are cut at common range bounds, and per range a loser tree merges the
 slices of all runs into one sorted history.
@@ -88,7 +89,8 @@ def records(rows: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives in folder ``path``. A file holds what one task has, and so many records at most."""
-    (records(typed(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    (records(typed(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
+     .text(path, compression="gzip"))
 
 
 def url_key(url: str) -> str:
@@ -121,6 +123,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     arrow_schema = _arrow(CAPTURES)
 
     def run(batches: Iterator) -> Iterator:
+        import gzip
         import hashlib
 
         import pyarrow as pa
@@ -128,7 +131,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content")):
                 name, captures = name.as_py().rsplit("/", 1)[-1], []
-                for headers, payload, offset, length in walk(content.as_py()):
+                for headers, payload, offset, length in walk(gzip.decompress(content.as_py())):
                     digest, size = headers["WARC-Payload-Digest"].split(":")[1], int(headers["X-Payload-Length"])
                     if headers["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, size):
                         raise ValueError(f"the payload at {offset} of {name} is not the one announced")
@@ -141,7 +144,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(captures), 5000):
                     yield pa.RecordBatch.from_pylist([dict(zip(arrow_schema.names, c)) for c in captures[i:i + 5000]], schema=arrow_schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
     return files.mapInArrow(run, CAPTURES)
 
 

@@ -259,3 +259,11 @@ def test_pipeline(spark, sf):
     assert exact and not clean & exact
     rows = pipeline.run(spark, sf).collect()
     assert rows and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows) and {r.doc_id for r in rows} <= {d for d, _ in kept}
+
+
+def test_archives_take_less_room_than_their_records(spark, sf, tmp_path):
+    pages = ready(spark).read.parquet(f"{sf}/pages.parquet")
+    warc.write_archives(pages, str(tmp_path / "archives"))
+    runs = warc.read_runs(spark, str(tmp_path / "archives")).collect()
+    assert len(runs) == pages.count()
+    assert sum(f.stat().st_size for f in (tmp_path / "archives").iterdir()) < sum(r.length for r in runs) / 2
