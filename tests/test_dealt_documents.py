@@ -14,7 +14,7 @@ def test_documents_of_one_file_are_dealt_anew(spark, tmp_path):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")       # else eight rows are put together again
     try:
-        got = bridges.prose_chunks_of(spark, str(tmp_path), asked).select("doc_id", "vec_id", F.spark_partition_id().alias("task")).collect()
+        got = bridges.prose_chunks_of(spark, str(tmp_path), asked, deal=True).select("doc_id", "vec_id", F.spark_partition_id().alias("task")).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert sorted(r.doc_id for r in got) == list(range(8)) and all(r.vec_id == r.doc_id for r in got)
