@@ -15,7 +15,7 @@ from chunkloom.operators.questions import analyse_questions
 from chunkloom.operators.vectors import topk_search
 from chunkloom.options import Options
 from chunkloom.profiles import Profile
-from chunkloom.session import scratch_path, spread
+from chunkloom.session import brief_shuffles, scratch_path, spread
 from chunkloom.sources import stores
 
 
@@ -38,12 +38,15 @@ def build_chunks(
 
 def full_build(
     files: DataFrame, profile: Profile, store: str, tracking_table: str | None = None, options: Options = Options(),
-    splitter=recursive_split,
+    splitter=recursive_split, processed: DataFrame | None = None,
 ) -> None:
-    """Store first, tracking last, so that a failed build is tried again. Tracking knows just these files afterwards."""
+    """Store first, tracking last, so that a failed build is tried again. Tracking knows just these files afterwards.
+
+    ``processed`` are the tracking rows of the files, where they are known already.
+    """
     stores.write_chunks(build_chunks(files, profile, options, splitter), store)
     if tracking_table is not None:
-        stores.write_tracking(_processed(files), tracking_table)
+        stores.write_tracking(_processed(files) if processed is None else processed, tracking_table)
 
 
 def _processed(files: DataFrame) -> DataFrame:
@@ -59,20 +62,24 @@ def _processed(files: DataFrame) -> DataFrame:
 def incremental_build(
     spark: SparkSession, store: str, files: DataFrame, new: DataFrame, old: DataFrame, profile: Profile,
     options: Options = Options(), splitter=recursive_split, dedupe: bool = False, tracking_table: str | None = None,
+    processed: DataFrame | None = None,
 ) -> None:
     """Reads only changed files, replaces their chunks, drops chunks of deleted files.
 
     ``new`` and ``old`` are tracking states ``(path, content_hash)``. Duplicates are removed
     within one run only when asked: a copy kept in an earlier run may have lost its original.
-    Tracking, where given, is brought up to date last.
+    Tracking, where given, is brought up to date last. ``processed`` are the tracking rows of all files, where they are known already.
     """
     feed = tracking.change_feed(new, old).filter("change <> 'same'").persist()
     try:
-        changed = tracking.only_changed(files, feed.filter("change <> 'deleted'"))
-        chunks = build_chunks(changed, profile, options, splitter, dedupe)
+        wanted = feed.filter("change <> 'deleted'")
+        changed = tracking.only_changed(files, wanted)
+        # The store keeps the files that tasks write; few changed files are in few tasks, so their texts are dealt, not the longer chunks.
+        chunks = build_chunks(changed.hint("rebalance"), profile, options, splitter, dedupe)
         stores.merge_chunks(spark, store, feed.select("path"), chunks, profile.name)
         if tracking_table is not None:
-            stores.merge_tracking(_processed(changed), tracking_table, feed.filter("change = 'deleted'"))
+            told = _processed(changed) if processed is None else tracking.only_changed(processed, wanted)
+            stores.merge_tracking(told, tracking_table, feed.filter("change = 'deleted'"))
     finally:
         feed.unpersist()
 
@@ -84,20 +91,31 @@ def run_build(
     """Decides what the state of store and tracking asks for, does it, and returns the decision with what was deleted.
 
     Nothing stored, nothing tracked or ``force``: everything is built anew. Else the files whose hash differs are built and
-    the chunks of deleted ones leave, also if nothing but deletes happened. The index follows the store.
+    the chunks of deleted ones leave, also if nothing but deletes happened. The index follows the store. Files are hashed once.
     """
+    with brief_shuffles(spark):
+        return _run_build(spark, files, profile, store, tracking_table, index_folder, force, options, splitter)
+
+
+def _run_build(
+    spark: SparkSession, files: DataFrame, profile: Profile, store: str, tracking_table: str, index_folder: str | None,
+    force: bool, options: Options, splitter,
+) -> Row:
     chunk_store = stores.chunk_store(spark, store)
     stored = chunk_store.read("path string")
     old = stores.load_tracking(spark, tracking_table).select("path", "content_hash")
-    new = _processed(files).select("path", "content_hash")
+    told, folder = _processed(files), scratch_path(spark, "state")
+    told.write.option("compression", "zstd").parquet(folder)
+    processed = spark.read.schema(told.schema).parquet(folder)
+    new = processed.select("path", "content_hash")
     changed = tracking.changed_by_hash(new, old)
     deleted = tracking.deleted_paths(new, old)
     decision = one_row(
         tracking.rebuild_decision(stored, old, changed, force), deleted.agg(F.count(F.lit(1)).alias("n_deleted"))).first()
     if decision.reason in ("forced", "no_database", "no_tracking"):
-        full_build(files, profile, store, tracking_table, options, splitter)
+        full_build(files, profile, store, tracking_table, options, splitter, processed)
     elif decision.rebuild or decision.n_deleted:
-        incremental_build(spark, store, files, new, old, profile, options, splitter, tracking_table=tracking_table)
+        incremental_build(spark, store, files, new, old, profile, options, splitter, tracking_table=tracking_table, processed=processed)
     else:
         return decision
     if index_folder is not None:

@@ -47,10 +47,14 @@ class Snapshot:
 
 
 class VersionedTable:
-    """``group`` and ``key`` name the columns that say which rows a commit replaces."""
+    """``group`` and ``key`` name the columns that say which rows a commit replaces.
 
-    def __init__(self, spark: SparkSession, folder: str, group: str = "project_type", key: str = "path"):
-        self.spark, self.folder, self.group, self.key = spark, folder.rstrip("/"), group, key
+    ``gather`` brings the rows of a group together before they are written, for few files of short rows. Without it rows are
+    written by the tasks that made them, since a shuffle of long rows takes as much disk again as the table.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, group: str = "project_type", key: str = "path", gather: bool = True):
+        self.spark, self.folder, self.group, self.key, self.gather = spark, folder.rstrip("/"), group, key, gather
 
     # -- the log -------------------------------------------------------------------------------
 
@@ -101,9 +105,12 @@ class VersionedTable:
 
     # -- writing -------------------------------------------------------------------------------
 
-    def _write_rows(self, rows: DataFrame, name: str) -> str:
+    def _gathered(self, rows: DataFrame) -> DataFrame:
         # Rows of a group come together, so that it gets few files; a large group is written by several tasks.
-        rows.hint("rebalance", self.group).write.partitionBy(self.group).parquet(f"{self.folder}/rows/commit={name}")
+        return rows.hint("rebalance", self.group) if self.gather else rows
+
+    def _write_rows(self, rows: DataFrame, name: str) -> str:
+        rows.write.option("compression", "zstd").partitionBy(self.group).parquet(f"{self.folder}/rows/commit={name}")
         return rows.schema.json()
 
     def _groups_of(self, name: str) -> list[str]:
@@ -118,7 +125,7 @@ class VersionedTable:
         if token is not None and token in self.snapshot().tokens:
             return self.snapshot().last
         name = f"c-{uuid.uuid4().hex}"
-        schema = self._write_rows(rows, name)
+        schema = self._write_rows(self._gathered(rows), name)
         return self._publish(Commit(0, rows=name, groups=self._groups_of(name), schema=schema, token=token)).version
 
     def merge(self, rows: DataFrame | None, gone: DataFrame | None, token: str | None = None) -> int:
@@ -126,7 +133,7 @@ class VersionedTable:
         if token is not None and token in self.snapshot().tokens:
             return self.snapshot().last
         name = f"c-{uuid.uuid4().hex}"
-        schema = self._write_rows(rows, name) if rows is not None else None
+        schema = self._write_rows(self._gathered(rows), name) if rows is not None else None
         if gone is not None:
             gone.select(F.col(self.group).cast("string"), F.col(self.key).cast("string")).distinct().write.parquet(f"{self.folder}/gone/commit={name}")
         return self._publish(
@@ -187,10 +194,8 @@ class VersionedTable:
         if len(snapshot.commits) < 2:
             return snapshot.last
         name = f"c-{uuid.uuid4().hex}"
-        rows = self.read(snapshot=snapshot)
-        schema = rows.schema.json()
-        rows.hint("rebalance", self.group).sortWithinPartitions(self.group, self.key).write.partitionBy(self.group).parquet(
-            f"{self.folder}/rows/commit={name}")
+        rows = self._gathered(self.read(snapshot=snapshot))
+        schema = self._write_rows(rows.sortWithinPartitions(self.group, self.key), name)
         return self._publish(Commit(0, rows=name, schema=schema, as_of=snapshot.last)).version
 
     def vacuum(self, hours: float = 24.0) -> list[str]:
