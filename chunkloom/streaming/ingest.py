@@ -12,6 +12,7 @@ from chunkloom.operators.chunking import cut_files, describe_chunks
 from chunkloom.operators.metadata import enrich_chunks
 from chunkloom.options import Options
 from chunkloom.profiles import Profile
+from chunkloom.session import brief_shuffles
 from chunkloom.sources import stores
 from chunkloom.sources.files import lossy_text, read_text_lossy, scan_files
 
@@ -96,7 +97,8 @@ def stream_merge(
             told = "deleted" in latest.columns
             left = latest.filter("deleted IS NOT TRUE").drop("deleted") if told else latest
             deleted = latest.filter("deleted") if told else None
-            _merge_files(batch.sparkSession, left, deleted, store, tracking, profile, options, compact_after)
+            with brief_shuffles(batch.sparkSession):
+                _merge_files(batch.sparkSession, left, deleted, store, tracking, profile, options, compact_after)
         finally:
             latest.unpersist()
         if on_batch is not None:
