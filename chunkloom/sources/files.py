@@ -7,6 +7,7 @@ the bytes are read in tasks, through Arrow's file systems (local mount, HDFS, S3
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
@@ -105,6 +106,34 @@ def _read_bytes(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _read_digests(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Listed files with the SHA-256 of their bytes, which are read a piece at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as arrow_fs
+
+        file_system, base = arrow_fs.FileSystem.from_uri(root)
+        base = base.rstrip("/")
+
+        def read(path: str) -> tuple[str | None, str | None]:
+            digest = hashlib.sha256()
+            try:
+                with file_system.open_input_stream(f"{base}/{path}") as stream:
+                    while (piece := stream.read_buffer(READ_ON)).size:
+                        digest.update(piece)
+                return digest.hexdigest(), None
+            except OSError as problem:
+                return None, str(problem)
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                digest, error = read(row["path"][0].as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [row["path"], row["size"], row["mtime"], pa.array([digest], pa.string()), pa.array([error], pa.string())],
+                    ["path", "size", "mtime", "sha256", "error"])
+    return run
+
+
 def scan_files(
     spark: SparkSession,
     root: str,
@@ -112,21 +141,24 @@ def scan_files(
     project: str = "",
     keep_dir: Callable[[DataFrame], DataFrame] | None = None,
     keep_file: Callable[[DataFrame], DataFrame] | None = None,
+    digest: bool = False,
 ) -> DataFrame:
     """``files(project, path, ext, raw, size, mtime, error)`` for names with one of the extensions.
 
-    A file that cannot be read keeps its row with a null ``raw`` and the reason in ``error``.
+    A file that cannot be read keeps its row with a null ``raw`` and the reason in ``error``. With ``digest`` there is
+    ``sha256`` of all bytes in place of ``raw``: a task then holds a piece of a file at a time, however large the file is.
     """
     listing = list_tree(spark, root, keep_dir).filter(ends_with_any(F.col("path"), extensions))
     if keep_file is not None:
         listing = keep_file(listing)
     # Shuffling by path spreads neighbouring files, and so the bytes, over the tasks.
+    value, reader = ("sha256 string", _read_digests) if digest else ("raw binary", _read_bytes)
     return (
         listing.repartition("path")
-        .mapInArrow(_read_bytes(root), "path string, size bigint, mtime timestamp, raw binary, error string")
+        .mapInArrow(reader(root), f"path string, size bigint, mtime timestamp, {value}, error string")
         .select(
             F.lit(project).alias("project"), "path", paths.file_ext(F.col("path")).alias("ext"),
-            "raw", "size", "mtime", "error",
+            value.split()[0], "size", "mtime", "error",
         )
     )
 

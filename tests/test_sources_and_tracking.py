@@ -61,6 +61,28 @@ def test_scan_holds_the_bytes_of_one_file_once(tmp_path):
     assert held[0] < 50 << 20 and max(held) < 50 << 20
 
 
+def test_scan_takes_the_digest_of_a_file_in_pieces(spark, tmp_path):
+    import hashlib
+
+    import pyarrow as pa
+
+    from chunkloom.plans.queries_sources import scan_files
+
+    contents = {"a.parquet": b"a" * (24 << 20) + b"z", "empty.parquet": b"", "sub/_b.parquet": b"\xff\x00b"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = scan_files(spark, f"file://{tmp_path}")
+    assert {r.path: (r.size, r.sha256, r.error) for r in found.collect()} == {
+        n: (len(x), hashlib.sha256(x).hexdigest(), None) for n, x in contents.items()}
+    assert "raw#" not in found._jdf.queryExecution().analyzed().treeString()        # no row holds a whole file
+    listed = ["a.parquet", "gone.parquet"]
+    listing = pa.RecordBatch.from_arrays([pa.array(listed), pa.array([1, 5], pa.int64()), pa.nulls(2, pa.timestamp("us", "UTC"))], ["path", "size", "mtime"])
+    rows = [r.to_pylist()[0] for r in fs._read_digests(f"file://{tmp_path}")(iter([listing]))]
+    assert rows[0]["sha256"] == hashlib.sha256(contents["a.parquet"]).hexdigest() and rows[0]["error"] is None
+    assert rows[1]["sha256"] is None and rows[1]["error"] is not None
+
+
 def test_ignore_filter(spark, tree):
     listing = fs.list_tree(spark, f"file://{tree}").select("path")
     texts = fs.read_text_lossy(fs.scan_files(spark, f"file://{tree}", (".gitignore",))).select(
